@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, rules
+from . import decontaminate, mixing, quality, rules, toxicity
 
 QUERIES = {
+    "op1_compression_quality": quality.query,
     "op3_threshold_rules": rules.query,
     "op6_winnow_decontaminate": decontaminate.query,
     "op8_mix_sources": mixing.query,
+    "op9_toxicity_nbsvm": toxicity.query,
 }
 
 ORACLES = {
