@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, rules, toxicity
+from . import decontaminate, mixing, ngram_join, quality, rules, toxicity, warc
 
 QUERIES = {
     "op1_compression_quality": quality.query,
+    "op2_arc_to_warc": warc.query,
     "op3_threshold_rules": rules.query,
     "op6_winnow_decontaminate": decontaminate.query,
+    "op7_ngram_jaccard": ngram_join.query,
     "op8_mix_sources": mixing.query,
     "op9_toxicity_nbsvm": toxicity.query,
 }
 
 ORACLES = {
+    "op2_arc_to_warc": warc.ORACLE,
     "op6_winnow_decontaminate": decontaminate.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }
