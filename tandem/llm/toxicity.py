@@ -15,7 +15,7 @@ from .labelled import remainder, sample
 ORDERS = (4, 5, 6)
 BITS = 18
 #: Bounds of what is fitted on: rows of each label, and bytes of all texts.
-FIT_ROWS, FIT_BYTES = 2500, 24_000_000
+FIT_ROWS, FIT_BYTES = 1500, 12_000_000
 #: Weight of a toxic row against another one, ridge penalty and steps of the fit.
 TOXIC_WEIGHT, RIDGE, STEPS = 4.0, 1e-6, 30
 #: Added to the counts before the ratio.
@@ -106,18 +106,27 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     for g, label in zip(found, y):
         counts[int(label)][g] += 1
     ratio = np.log(counts[1] / (y.sum() + 2 * SMOOTH)) - np.log(counts[0] / ((1 - y).sum() + 2 * SMOOTH))
-    at, of = np.concatenate(found), np.repeat(np.arange(len(rows), dtype=np.int32), [len(g) for g in found])
-    length = 1 / np.sqrt(np.maximum(np.bincount(of, ratio[at] ** 2, minlength=len(rows)), 1e-9))
     cost = np.where(y == 1, TOXIC_WEIGHT, 1.0)
     cost /= cost.sum()
+    blocks = []  # of rows, so that what a step holds beside the features stays small
+    for s in range(0, len(found), 100):
+        part = found[s : s + 100]
+        at, of = np.concatenate(part), np.repeat(np.arange(len(part)), [len(g) for g in part])
+        length = 1 / np.sqrt(np.maximum(np.bincount(of, ratio[at] ** 2, minlength=len(part)), 1e-9))
+        blocks.append((at, np.array([len(g) for g in part]), length, y[s : s + 100], cost[s : s + 100]))
+    del found
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = x[:-1], x[-1]
-        z = np.bincount(of, (ratio * w)[at], minlength=len(rows)) * length + b
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        e = (p - y) * cost
-        grad = np.bincount(at, (e * length)[of], minlength=size) * ratio + RIDGE * w
-        return float(-(cost * np.log(np.where(y == 1, p, 1 - p) + 1e-12)).sum() + RIDGE / 2 * (w @ w)), np.r_[grad, e.sum()]
+        v, value, grad, bias = ratio * w, 0.0, np.zeros(size), 0.0
+        for at, n, length, label, own in blocks:
+            of = np.repeat(np.arange(len(n)), n)
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(of, v[at], minlength=len(n)) * length + b, -30, 30)))
+            e = (p - label) * own
+            grad += np.bincount(at, (e * length)[of], minlength=size)
+            bias += e.sum()
+            value -= (own * np.log(np.where(label == 1, p, 1 - p) + 1e-12)).sum()
+        return float(value + RIDGE / 2 * (w @ w)), np.r_[grad * ratio + RIDGE * w, bias]
 
     x = minimise(loss, np.zeros(size + 1), STEPS)
     return Model((ratio * x[:-1]).astype(np.float32), (ratio**2).astype(np.float32), float(x[-1]))
