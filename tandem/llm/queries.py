@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, quality, rules, toxicity, warc
+from . import decontaminate, mixing, ngram_join, passages, quality, rules, toxicity, warc
 
 QUERIES = {
     "op1_compression_quality": quality.query,
@@ -12,9 +12,11 @@ QUERIES = {
     "op7_ngram_jaccard": ngram_join.query,
     "op8_mix_sources": mixing.query,
     "op9_toxicity_nbsvm": toxicity.query,
+    "op10_substring_dedup": passages.query,
 }
 
 ORACLES = {
+    "op10_substring_dedup": passages.ORACLE,
     "op2_arc_to_warc": warc.ORACLE,
     "op6_winnow_decontaminate": decontaminate.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
