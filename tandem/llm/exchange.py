@@ -100,7 +100,7 @@ def gathered(batches: Iterator[Arrays], key: str) -> Iterator[Arrays]:
 
 def meet(
     rows: DataFrame, produce: Callable[[Iterator[pa.RecordBatch]], Iterator[Arrays]],
-    settle: Callable[[Arrays, bool], tuple[Arrays, Arrays]], entries: float,
+    settle: Callable[[Arrays, bool], tuple[Arrays, ...]], entries: float,
 ) -> DataFrame:
     """Run one exchange; returns (doc, rid, data: packed arrays) for each document with a reply.
 
@@ -122,22 +122,29 @@ def meet(
         kinds, blobs = t.column("kind").to_pylist(), t.column("data").to_pylist()
         out = []
         if asks := [b for k, b in zip(kinds, blobs) if k == "ask"]:
-            _, reply = settle(load(asks), True)
+            _, reply, *notes = settle(load(asks), True)
             if len(reply["doc"]):
                 out.append(packed("reply", spread(doc_key(reply["doc"], reply["rid"]), bits), reply))
+            out += [packed("note", np.zeros(len(next(iter(n.values()))), np.int32), n) for n in notes]
         bucket = t.column("bucket")[0].as_py()
         same = [b for k, b in zip(kinds, blobs) if k == "reply"]
         out.append(pa.RecordBatch.from_arrays([pa.array([bucket] * len(same), pa.int32()), pa.array(["reply"] * len(same), pa.string()), pa.array(same, pa.binary())], ["bucket", "kind", "data"]))
         return pa.Table.from_batches(out)
 
     def by_doc(t: pa.Table) -> pa.Table:
-        a = load(t.column("data").to_pylist())
+        kinds, blobs = t.column("kind").to_pylist(), t.column("data").to_pylist()
+        notes = [b for k, b in zip(kinds, blobs) if k == "note"]
+        out = [pa.table([pa.array([None] * len(notes), pa.int64()), pa.array([None] * len(notes), pa.int64()), pa.array(notes, pa.binary())], ["doc", "rid", "data"])]
+        if not (blobs := [b for k, b in zip(kinds, blobs) if k == "reply"]):
+            return out[0]
+        a = load(blobs)
         order = np.lexsort((a["rid"], a["doc"]))
         a = {k: v[order] for k, v in a.items()}
         at = np.flatnonzero(np.r_[True, (a["doc"][1:] != a["doc"][:-1]) | (a["rid"][1:] != a["rid"][:-1])])
         ends = np.r_[at[1:], len(a["doc"])]
         rest = [k for k in a if k not in ("doc", "rid")]
-        return pa.Table.from_arrays([pa.array(a["doc"][at].astype(np.int64)), pa.array(a["rid"][at].astype(np.int64)), pa.array([dump({k: a[k][s:e] for k in rest}) for s, e in zip(at, ends)], pa.binary())], ["doc", "rid", "data"])
+        out.append(pa.table([pa.array(a["doc"][at].astype(np.int64)), pa.array(a["rid"][at].astype(np.int64)), pa.array([dump({k: a[k][s:e] for k in rest}) for s, e in zip(at, ends)], pa.binary())], ["doc", "rid", "data"]))
+        return pa.concat_tables(out)
 
     sent = rows.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(answer, PACKED)
     return cut(sent.groupBy("bucket").applyInArrow(by_doc, "doc long, rid long, data binary"))

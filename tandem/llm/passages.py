@@ -104,14 +104,25 @@ class Seeds:
         return mark
 
 
-def repeated(part: Arrays, last: bool) -> tuple[Arrays, Arrays]:
-    """Entries whose key is there twice or more are told so; one of each key goes on."""
-    order = np.argsort(part["key"], kind="stable")
-    part = {k: v[order] for k, v in part.items()}
-    head = np.r_[True, part["key"][1:] != part["key"][:-1]]
-    alone = head & np.r_[head[1:], True]
-    told = {k: part[k][~alone] for k in ("doc", "rid", "ordinal")}
-    return ({} if last else {k: v[head] for k, v in part.items()}), told
+def repeated(limit: float):
+    """Entries whose key is there twice or more are told so; one of each key goes on, with their count.
+
+    Keys that occur more than ``limit`` times are noted.
+    """
+
+    def settle(part: Arrays, last: bool) -> tuple[Arrays, ...]:
+        order = np.argsort(part["key"], kind="stable")
+        part = {k: v[order] for k, v in part.items()}
+        head = np.r_[True, part["key"][1:] != part["key"][:-1]]
+        alone = head & np.r_[head[1:], True]
+        told = {k: part[k][~alone] for k in ("doc", "rid", "ordinal")}
+        count = np.add.reduceat(part["count"].astype(np.int64), np.flatnonzero(head)) if len(head) else np.zeros(0, np.int64)
+        if not last:
+            return {**{k: v[head] for k, v in part.items()}, "count": count}, told
+        many = part["key"][head][count > limit]
+        return ({}, told, {"key": many}) if len(many) else ({}, told)
+
+    return settle
 
 
 def later(part: Arrays, last: bool) -> tuple[Arrays, Arrays]:
@@ -129,16 +140,16 @@ def column(b: pa.RecordBatch, name: str) -> pa.Array:
     return b.column(b.schema.get_field_index(name))
 
 
-def find_seeds(rows: DataFrame, tokenise, window: int, anchor: int, entries: float) -> DataFrame:
-    """Replies (doc, rid, ordinals) of the anchors that occur twice or more in all texts."""
+def find_seeds(rows: DataFrame, tokenise, window: int, anchor: int, entries: float, limit: float = float("inf")) -> DataFrame:
+    """Replies (doc, rid, ordinals) of the anchors that occur twice or more in all texts; keys of more than ``limit`` are noted."""
 
     def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[Arrays]:
         for b in chunks(batches):
             seeds = Seeds(*tokenise(*pack(column(b, "text"))), window, anchor)
             of = seeds.of[seeds.at]
-            yield {"key": seeds.hash[seeds.at], "doc": np.asarray(column(b, "doc"))[of], "rid": np.asarray(column(b, "rid"))[of], "ordinal": seeds.ordinals()}
+            yield {"key": seeds.hash[seeds.at], "doc": np.asarray(column(b, "doc"))[of], "rid": np.asarray(column(b, "rid"))[of], "ordinal": seeds.ordinals(), "count": np.ones(len(of), np.int64)}
 
-    return meet(rows, produce, repeated, entries)
+    return meet(rows, produce, repeated(limit), entries)
 
 
 def later_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:

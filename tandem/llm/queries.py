@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fuzzy_lines, mixing, ngram_join, passages, quality, rules, toxicity, warc
+from . import decontaminate, fuzzy_lines, mixing, ngram_join, passages, quality, rules, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_compression_quality": quality.query,
     "op2_arc_to_warc": warc.query,
     "op3_threshold_rules": rules.query,
+    "op4_suffix_dedup": suffixes.query,
     "op5_fuzzy_lines": fuzzy_lines.query,
     "op6_winnow_decontaminate": decontaminate.query,
     "op7_ngram_jaccard": ngram_join.query,
