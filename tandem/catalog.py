@@ -219,7 +219,7 @@ def _(spark, d):
     return rounded(project.to_long(project.to_wide(_by_stratum(spark, d, "cell_type"), [f"T{i}" for i in range(10)])), "pearson_r")
 
 
-@register("p15_heatmap_cells", f"{_by('donor_id')} SELECT pair_id, stratum, {rd('greatest(least(r, 0.05), -0.1)')} AS shown FROM bs")
+@register("p15_heatmap_cells", f"{_by('donor_id')} SELECT pair_id, stratum, {rd('CASE WHEN r IS NOT NULL THEN greatest(least(r, 0.05), -0.1) END')} AS shown FROM bs")
 def _(spark, d):
     return rounded(project.heatmap_cells(_by_stratum(spark, d), -0.1, 0.05), "shown")
 

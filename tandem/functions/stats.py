@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def clamp(r: Column) -> Column:
     """Into [-1, 1]; null stays null and NaN stays NaN."""
-    return F.when(F.isnan(r), r).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    return F.when(r.isNull() | F.isnan(r), r).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
 
 
 def pearson(x: str, y: str) -> Column:

@@ -89,4 +89,5 @@ def to_long(wide: DataFrame, key: str = "pair_id", value: str = "pearson_r") ->
 
 def heatmap_cells(coupling: DataFrame, lo: float = -0.5, hi: float = 1.0) -> DataFrame:
     """pair_id, stratum and r clipped to what a heat map shows."""
-    return coupling.select("pair_id", "stratum", F.greatest(F.least("pearson_r", F.lit(hi)), F.lit(lo)).alias("shown"))
+    shown = F.when(F.col("pearson_r").isNotNull(), F.greatest(F.least("pearson_r", F.lit(hi)), F.lit(lo)))
+    return coupling.select("pair_id", "stratum", shown.alias("shown"))
