@@ -16,11 +16,11 @@ from .common import table
 from .labelled import remainder, sample
 
 #: Bytes in a piece that is compressed by itself, so that the dictionary counts in every part of a long text.
-PIECE = 512
+PIECE = 256
 DICTIONARY_BYTES = 65536
 LEVEL = 3
 #: Bounds of what is fitted on: rows of each label, and bytes of all texts.
-FIT_ROWS, FIT_BYTES = 3000, 48_000_000
+FIT_ROWS, FIT_BYTES = 3000, 24_000_000
 #: Pieces of each label that a dictionary is built from.
 FIT_PIECES = 8000
 
@@ -38,13 +38,23 @@ def dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
+#: Bytes below which a text is short: its difference says less.
+SHORT = 100
+
+
+def features(difference: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The difference, how short the text is (0 to 1), and their product."""
+    short = 1 / (1 + np.asarray(size, float) / SHORT)
+    return np.column_stack([difference, short, difference * short])
+
+
 @dataclass(frozen=True)
 class Model:
     """Two dictionaries and the logistic calibration of the difference they make."""
 
     good: bytes
     bad: bytes
-    slope: float
+    slope: tuple[float, float, float]
     intercept: float
 
     def differences(self, texts) -> np.ndarray:
@@ -61,19 +71,22 @@ class Model:
         return out
 
     def scores(self, texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.differences(texts) + self.intercept, -40, 40)))
+        size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+        z = features(self.differences(texts), size) @ np.array(self.slope) + self.intercept
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept by Newton steps, on the standardised x."""
-    mean, std = x.mean(), x.std() or 1.0
-    z, w = np.column_stack([(x - mean) / std, np.ones_like(x)]), np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Slopes and intercept by Newton steps, on standardised columns."""
+    mean, std = x.mean(0), x.std(0) + 1e-12
+    z = np.column_stack([(x - mean) / std, np.ones(len(x))])
+    w = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) + ridge * w
-        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
-        w = w - np.linalg.solve(h, g)
-    return w[0] / std, w[1] - w[0] * mean / std
+        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+        w = w - np.linalg.solve(h, z.T @ (p - y) + ridge * w)
+    slope = w[:-1] / std
+    return slope, float(w[-1] - slope @ mean)
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -88,11 +101,12 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     stock = {y: [p for (t, label), h in zip(rows, half) if h == 0 and label == y for p in pieces(t) if len(p) >= 16] for y in (0, 1)}
     held = [(t, y) for (t, y), h in zip(rows, half) if h == 1 and t]
     if not stock[0] or not stock[1] or len({y for _, y in held}) < 2:
-        return Model(b"", b"", 0.0, flat)
+        return Model(b"", b"", (0.0, 0.0, 0.0), flat)
     pick = lambda s: s if len(s) <= FIT_PIECES else [s[i] for i in np.random.default_rng(0).permutation(len(s))[:FIT_PIECES]]
-    raw = Model(dictionary(pick(stock[1])), dictionary(pick(stock[0])), 0.0, 0.0)
-    slope, intercept = logistic(raw.differences([t for t, _ in held]), np.array([y for _, y in held], float))
-    return Model(raw.good, raw.bad, float(slope), float(intercept))
+    raw = Model(dictionary(pick(stock[1])), dictionary(pick(stock[0])), (0.0, 0.0, 0.0), 0.0)
+    texts = [t for t, _ in held]
+    slope, intercept = logistic(features(raw.differences(texts), [len(t.encode("utf-8", "surrogatepass")) for t in texts]), np.array([y for _, y in held], float))
+    return Model(raw.good, raw.bad, tuple(slope.tolist()), intercept)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
