@@ -43,38 +43,52 @@ RULES = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once wherever the optimiser moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(w: Column) -> Column:
+    """Words that three-word windows occurring twice or more cover.
+
+    Windows' 64-bit hashes are sorted together with their places, so equal ones are neighbours.
+    """
+    hashed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    near = lambda g, i, j: F.coalesce(F.get(g, i)["h"] == F.get(g, j)["h"], F.lit(False))
+    places = lambda g: F.transform(F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: near(g, i, i - 1) | near(g, i, i + 1)), lambda k: F.get(g, k)["i"])
+    covered = lambda d: F.size(F.array_distinct(F.flatten(F.transform(d, lambda i: F.array(i, i + 1, i + 2)))))
+    return F.when(F.size(w) >= 4, let(let(F.sort_array(hashed), places), covered)).otherwise(0)
+
+
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """Add what the rules weigh, all as long; a null text has none of it.
 
-    Equal three-word windows are found by sorting the windows' 64-bit hashes together
-    with their places, inside the row, so no row is exploded and nothing is shuffled.
+    Everything is computed inside the row, so no row is exploded and nothing is shuffled.
     """
     t = text_of(text)
-    n = F.size("_w")
-    hashed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i")))
-    same = lambda i: (F.get("_g", i)["h"] == F.get("_g", i - 1)["h"]) | (F.get("_g", i)["h"] == F.get("_g", i + 1)["h"])
-    twice = F.filter(F.sequence(F.lit(0), F.size("_g") - 1), lambda i: F.coalesce(F.get("_g", i - 1)["h"] == F.get("_g", i)["h"], F.lit(False)) | F.coalesce(F.get("_g", i + 1)["h"] == F.get("_g", i)["h"], F.lit(False)))
-    del same
-    covered = F.size(F.array_distinct(F.flatten(F.transform("_d", lambda i: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda j: F.get("_g", i)["i"] + j)))))
-    with_word = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     plain = F.translate(t, SPACES, "")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    words = F.array_remove(F.split(F.translate(t, SPACES, " " * len(SPACES)), " "), "")
+    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    of_words = let(words, lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"),
+        F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+    ))
+    of_lines = let(lines, lambda x: F.struct(
+        F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.size(F.filter(x, lambda y: F.ltrim(y).rlike(r"^[*•\-|]"))).cast("long").alias("n_bullet_lines"),
+    ))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return (
-        df.withColumn("_w", F.array_remove(F.split(F.translate(t, SPACES, " " * len(SPACES)), " "), ""))
-        .withColumn("_g", F.when(n >= 4, F.sort_array(hashed)))
-        .withColumn("_d", F.when(F.col("_g").isNotNull(), twice))
-        .withColumn("_l", with_word)
-        .withColumn("n_words", n.cast("long"))
-        .withColumn("word_chars", F.length(plain).cast("long"))
-        .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-        .withColumn("n_repeat_words", F.coalesce(F.when(F.size("_d") > 0, covered), F.lit(0)).cast("long"))
-        .withColumn("n_stop_words", F.size(F.filter("_w", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"))
-        .withColumn("n_lines", F.size("_l").cast("long"))
-        .withColumn("n_bullet_lines", F.size(F.filter("_l", lambda x: F.ltrim(x).rlike(r"^[*•\-|]"))).cast("long"))
-        .withColumn("n_upper", (F.length(plain) - F.length(F.translate(plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"))
-        .drop("_w", "_g", "_d", "_l")
-    )
+        df.withColumns({"_words": of_words, "_lines": of_lines})
+        .withColumns({
+            **{c: F.col("_words")[c] for c in ("n_words", "n_repeat_words", "n_stop_words")},
+            **{c: F.col("_lines")[c] for c in ("n_lines", "n_dup_lines", "n_bullet_lines")},
+            "word_chars": F.length(plain).cast("long"),
+            "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+            "n_upper": (F.length(plain) - F.length(F.translate(plain, upper, ""))).cast("long"),
+        })
+        .drop("_words", "_lines")
+    )
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
