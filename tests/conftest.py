@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -46,8 +47,14 @@ def duck():
 
 
 def normal(rows):
-    """Rows as sorted tuples of strings; null and NaN alike."""
-    return sorted(tuple("null" if x is None or x != x else str(x) for x in r) for r in rows)
+    """Rows as sorted tuples of strings; null and NaN alike, whole floats as integers."""
+
+    def show(x):
+        if x is None or x is pd.NA or x != x:
+            return "null"
+        return str(int(x)) if isinstance(x, float) and x.is_integer() else str(x)
+
+    return sorted(tuple(map(show, r)) for r in rows)
 
 
 @pytest.fixture(scope="session")
