@@ -20,15 +20,20 @@ from .common import cut
 from .tokens import mix
 
 #: Entries that a bucket holds, about, and that a task gathers before it sends.
-BUCKET, GATHER = 400_000, 1_500_000
-#: Bytes of replies up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_BYTES = 24_000_000
+BUCKET, GATHER = 250_000, 250_000
+#: Bits of a key that go along with its bucket where keys may be shortened.
+SHORT_BITS = 40
 Arrays = dict[str, np.ndarray]
 PACKED = "bucket int, kind string, data binary"
 
 
-def bits_for(entries: float) -> int:
-    return max(0, math.ceil(math.log2(max(1.0, entries / BUCKET))))
+def bits_for(entries: float, bucket: int = BUCKET) -> int:
+    return max(0, math.ceil(math.log2(max(1.0, entries / bucket))))
+
+
+def shortened(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits that tell keys apart in an exchange with short keys."""
+    return keys >> np.uint64(max(0, 64 - bits - SHORT_BITS))
 
 
 def narrow(a: np.ndarray) -> np.ndarray:
@@ -84,51 +89,64 @@ def doc_key(doc: np.ndarray, rid: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.int64).view(np.uint64)) ^ rid.astype(np.uint64))
 
 
-def gathered(batches: Iterator[Arrays], key: str) -> Iterator[Arrays]:
-    """Batches joined up to about GATHER entries."""
-    held, size = [], 0
-    for b in batches:
-        if len(b[key]):
-            held.append(b)
-            size += len(b[key])
-        if size >= GATHER:
-            yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            held, size = [], 0
-    if held:
-        yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+def gathered(batches: Iterator[tuple[str, Arrays]]) -> Iterator[tuple[str, Arrays]]:
+    """Arrays of one kind joined up to about GATHER entries."""
+    held: dict[str, list[Arrays]] = {}
+    join = lambda parts: {k: np.concatenate([h[k] for h in parts]) for k in parts[0]}
+    for kind, b in batches:
+        if len(b["key"]):
+            held.setdefault(kind, []).append(b)
+        if sum(len(h["key"]) for h in held.get(kind, [])) >= GATHER:
+            yield kind, join(held.pop(kind))
+    for kind, parts in held.items():
+        yield kind, join(parts)
 
 
 def meet(
-    rows: DataFrame, produce: Callable[[Iterator[pa.RecordBatch]], Iterator[Arrays]],
-    settle: Callable[[Arrays, bool], tuple[Arrays, ...]], entries: float,
+    rows: DataFrame, produce: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, Arrays]]],
+    settle: dict[str, Callable[[Arrays, bool], tuple[Arrays, ...]]], entries: float, bucket: int = BUCKET, short: bool = False,
 ) -> DataFrame:
     """Run one exchange; returns (doc, rid, data: packed arrays) for each document with a reply.
 
-    ``produce`` gives arrays with ``key`` (uint64).  ``settle(arrays, last)`` gives what must
-    still meet others and replies with ``doc`` and ``rid``; it runs once in the task that made
-    the entries and, with last, once for each bucket of keys.
+    ``produce`` gives a kind and arrays with ``key`` (uint64); keys of a kind meet only each
+    other.  ``settle[kind](arrays, last)`` gives what must still meet others and replies with
+    ``doc`` and ``rid``; it runs once in the task that made the entries and, with last, once for
+    each bucket of keys.  With last it may give notes too, arrays that are no reply: they come
+    back in rows whose doc and rid are null.  ``short`` keeps only the leading bits of keys,
+    for uses in which a rare false match does no harm.
     """
-    bits = bits_for(entries)
+    bits = bits_for(entries, bucket)
+    back = max(0, bits - 3)  # replies go to fewer buckets, as each bucket of keys writes to all of them
+    cut_off = np.uint64(max(0, 64 - bits - SHORT_BITS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in gathered(produce(batches), "key"):
-            rest, reply = settle(part, False)
+        for kind, part in gathered(produce(batches)):
+            if short:
+                part["key"] = part["key"] >> cut_off << cut_off
+            rest, reply = settle[kind](part, False)
             if len(rest["key"]):
-                yield packed("ask", spread(rest["key"], bits), rest)
+                at = spread(rest["key"], bits)
+                if short:
+                    low = (rest.pop("key") >> cut_off) & np.uint64(2**SHORT_BITS - 1)
+                    rest |= {"key_a": (low >> np.uint64(8)).astype(np.uint32), "key_b": (low & np.uint64(255)).astype(np.uint8)}
+                yield packed(kind, at, rest)
             if len(reply["doc"]):
-                yield packed("reply", spread(doc_key(reply["doc"], reply["rid"]), bits), reply)
+                yield packed("reply", spread(doc_key(reply["doc"], reply["rid"]), back), reply)
 
     def answer(t: pa.Table) -> pa.Table:
         kinds, blobs = t.column("kind").to_pylist(), t.column("data").to_pylist()
-        out = []
-        if asks := [b for k, b in zip(kinds, blobs) if k == "ask"]:
-            _, reply, *notes = settle(load(asks), True)
-            if len(reply["doc"]):
-                out.append(packed("reply", spread(doc_key(reply["doc"], reply["rid"]), bits), reply))
-            out += [packed("note", np.zeros(len(next(iter(n.values()))), np.int32), n) for n in notes]
-        bucket = t.column("bucket")[0].as_py()
+        where, out = t.column("bucket")[0].as_py(), []
+        for kind in settle:
+            if asks := [b for k, b in zip(kinds, blobs) if k == kind]:
+                part = load(asks)
+                if short:
+                    part["key"] = (np.uint64(where) << np.uint64(64 - bits) if bits else np.uint64(0)) | (((part.pop("key_a").astype(np.uint64) << np.uint64(8)) | part.pop("key_b").astype(np.uint64)) << cut_off)
+                _, reply, *notes = settle[kind](part, True)
+                if len(reply["doc"]):
+                    out.append(packed("reply", spread(doc_key(reply["doc"], reply["rid"]), back), reply))
+                out += [packed("note", np.zeros(len(next(iter(n.values()))), np.int32), n) for n in notes]
         same = [b for k, b in zip(kinds, blobs) if k == "reply"]
-        out.append(pa.RecordBatch.from_arrays([pa.array([bucket] * len(same), pa.int32()), pa.array(["reply"] * len(same), pa.string()), pa.array(same, pa.binary())], ["bucket", "kind", "data"]))
+        out.append(pa.RecordBatch.from_arrays([pa.array([where] * len(same), pa.int32()), pa.array(["reply"] * len(same), pa.string()), pa.array(same, pa.binary())], ["bucket", "kind", "data"]))
         return pa.Table.from_batches(out)
 
     def by_doc(t: pa.Table) -> pa.Table:
@@ -150,7 +168,11 @@ def meet(
     return cut(sent.groupBy("bucket").applyInArrow(by_doc, "doc long, rid long, data binary"))
 
 
+def entries_of(replies: DataFrame) -> float:
+    """About how many entries of two bytes the replies hold, without the frame of each message."""
+    return replies.where("doc is not null").agg(F.coalesce(F.sum(F.greatest(F.length("data") - 350, F.lit(2))), F.lit(0))).first()[0] / 2
+
+
 def attach(rows: DataFrame, replies: DataFrame) -> DataFrame:
-    """Rows with the data of their replies or null; replies are broadcast only if they are few."""
-    size = replies.agg(F.coalesce(F.sum(F.length("data") + 24), F.lit(0))).first()[0]
-    return rows.join(F.broadcast(replies) if size <= BROADCAST_BYTES else replies, ["doc", "rid"], "left")
+    """Rows with the data of their replies or null."""
+    return rows.join(replies, ["doc", "rid"], "left")

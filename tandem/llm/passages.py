@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import cut, pack, table, text_of
-from .exchange import Arrays, attach, load, meet
+from .exchange import Arrays, attach, entries_of, load, meet
 
 #: Words of a window and of the anchor inside it.
 WINDOW, ANCHOR = 20, 10
 #: Bytes of text that are hashed at a time.
-CHUNK = 2_000_000
+CHUNK = 600_000
 #: Copies up to this many ids are left out by a broadcast; more by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -147,9 +147,9 @@ def find_seeds(rows: DataFrame, tokenise, window: int, anchor: int, entries: flo
         for b in chunks(batches):
             seeds = Seeds(*tokenise(*pack(column(b, "text"))), window, anchor)
             of = seeds.of[seeds.at]
-            yield {"key": seeds.hash[seeds.at], "doc": np.asarray(column(b, "doc"))[of], "rid": np.asarray(column(b, "rid"))[of], "ordinal": seeds.ordinals(), "count": np.ones(len(of), np.int64)}
+            yield "seed", {"key": seeds.hash[seeds.at], "doc": np.asarray(column(b, "doc"))[of], "rid": np.asarray(column(b, "rid"))[of], "ordinal": seeds.ordinals(), "count": np.ones(len(of), np.int64)}
 
-    return meet(rows, produce, repeated(limit), entries)
+    return meet(rows, produce, {"seed": repeated(limit)}, entries, short=True)
 
 
 def later_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -171,11 +171,10 @@ def later_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
             at = np.flatnonzero(s.valid & (shown == s.low) & (shown != ~np.uint64(0)))
             key = s.runs(at, at + window)
             other = s.runs(at + 1, at + window - 1)
-            yield {"key": key, "check": (other >> np.uint64(32)).astype(np.uint32), "doc": np.asarray(column(b, "doc"))[s.of[at]], "rid": np.asarray(column(b, "rid"))[s.of[at]], "start": at - s.off[s.of[at]]}
+            yield "window", {"key": key, "check": (other >> np.uint64(32)).astype(np.uint32), "doc": np.asarray(column(b, "doc"))[s.of[at]], "rid": np.asarray(column(b, "rid"))[s.of[at]], "start": at - s.off[s.of[at]]}
 
-    n = seeds.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     near = attach(rows, seeds).where(F.col("data").isNotNull())
-    return meet(near, produce, later, 2 * n)
+    return meet(near, produce, {"window": later}, 6 * entries_of(seeds))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
