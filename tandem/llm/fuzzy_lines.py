@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import cut, pack, table, text_of
-from .exchange import BROADCAST_BYTES
-from .near import components, pick, star_edges, verified
+from .near import BROADCAST_NODES, components, pick, star_edges, verified
 from .passages import chunks, column
 
 #: Characters of a shingle, and the similarity from which lines count as the same.
@@ -33,22 +32,26 @@ def line_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[some], end[some], of[some], number[some]
 
 
-def line_nodes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def byte_runs(buf: np.ndarray) -> tokens.Runs:
+    return tokens.Runs(tokens.BYTES[buf], tokens.BYTE)
+
+
+def line_nodes(runs: tokens.Runs, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Names a line by 64 bits of hash of its bytes."""
-    return tokens.Runs(tokens.BYTES[buf], tokens.BYTE)(start, end).view(np.int64)
+    return runs(start, end).view(np.int64)
 
 
-def line_shingles(buf: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Character shingles of each line, and offsets by line; lines of fewer characters are one shingle."""
-    tok, _ = tokens.chars(buf, np.array([0, len(buf)]))
+def line_shingles(buf: np.ndarray, runs: tokens.Runs, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of k characters of each line, and offsets by line; lines of fewer characters are one run."""
     place = np.flatnonzero((buf & 0xC0) != 0x80)
     first, last = np.searchsorted(place, start), np.searchsorted(place, end)
+    place = np.r_[place, len(buf)]
     n = last - first
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     goff = np.r_[0, np.cumsum(count)]
     of = np.repeat(np.arange(len(n)), count)
-    s = np.arange(goff[-1]) - goff[of] + first[of]
-    return tokens.Runs(tok, tokens.TOKEN)(s, np.minimum(s + k, last[of])), goff
+    s = np.arange(goff[-1]) - (goff[:-1] - first)[of]
+    return runs(place[s], place[np.minimum(s + k, last[of])]), goff
 
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
@@ -56,27 +59,35 @@ def numbered_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text_of()).alias("rid"), text_of().alias("text"))
 
 
-def lines_of(rows: DataFrame, k: int, threshold: float) -> DataFrame:
-    """doc, rid, line, node and bands of every line with a word."""
-    bands = tokens.bands_for(threshold, RECALL, BAND_ROWS)
+def lines_of(rows: DataFrame) -> DataFrame:
+    """doc, rid, line and node of every line with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             buf, off = pack(column(b, "text"))
             start, end, of, number = line_spans(buf, off)
-            if not len(of):
-                continue
-            keys = tokens.band_keys(tokens.min_hashes(*line_shingles(buf, start, end, k), bands * BAND_ROWS), BAND_ROWS).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(np.ascontiguousarray(keys).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(column(b, "doc"))[of]), pa.array(np.asarray(column(b, "rid"))[of]), pa.array(number.astype(np.int32)), pa.array(line_nodes(buf, start, end)), lists], ["doc", "rid", "line", "node", "bands"]
-            )
+            doc, rid = (np.asarray(column(b, c))[of] for c in ("doc", "rid"))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rid), pa.array(number.astype(np.int32)), pa.array(line_nodes(byte_runs(buf), start, end))], ["doc", "rid", "line", "node"])
+
+    return rows.select("doc", "rid", "text").mapInArrow(run, "doc long, rid long, line int, node long")
 
-    return rows.select("doc", "rid", "text").mapInArrow(run, "doc long, rid long, line int, node long, bands array<long>")
 
+def banded(k: int, bands: int):
+    """Nodes and band keys of the lines in batches of texts."""
+
+    def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in chunks(batches):
+            buf, off = pack(column(b, "text"))
+            start, end, _, _ = line_spans(buf, off)
+            if len(start):
+                runs = byte_runs(buf)
+                yield line_nodes(runs, start, end), tokens.band_keys(tokens.min_hashes(*line_shingles(buf, runs, start, end, k), bands * BAND_ROWS), BAND_ROWS)
 
-def line_sets(rows: DataFrame, k: int) -> DataFrame:
-    """node and shingles (packed, sorted) of the lines that ``data`` names, by number."""
+    return produce
+
+
+def line_texts(rows: DataFrame) -> DataFrame:
+    """node and raw text of the lines that ``lines`` names, by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -88,33 +99,39 @@ def line_sets(rows: DataFrame, k: int) -> DataFrame:
                 own = slice(first[i], first[i + 1])
                 asked[own] = np.isin(number[own], np.array(d.as_py()))
             start, end = start[asked], end[asked]
-            if not len(start):
-                continue
-            g, goff = line_shingles(buf, start, end, k)
-            sets = [np.unique(g[s:e]).tobytes() for s, e in zip(goff[:-1], goff[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(line_nodes(buf, start, end)), pa.array(sets, pa.binary())], ["node", "shingles"])
+            raw = pa.array([buf[s:e].tobytes() for s, e in zip(start, end)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(line_nodes(byte_runs(buf), start, end)), raw], ["node", "raw"])
+
+    return rows.select("text", "lines").mapInArrow(run, "node long, raw binary")
+
+
+def shingle(k: int):
+    """Shingles of an array of single lines, and offsets."""
+
+    def run(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        buf, off = pack(raw)
+        return line_shingles(buf, byte_runs(buf), off[:-1], off[1:], k)
 
-    return rows.select("text", "lines").mapInArrow(run, "node long, shingles binary")
+    return run
 
 
 def removed_lines(rows: DataFrame, k: int = CHARS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc, rid, lines: their numbers) of the lines that are not the first of their component."""
     bands = tokens.bands_for(threshold, RECALL, BAND_ROWS)
-    lines = lines_of(rows, k, threshold)
-    slim = cut(lines.select("doc", "rid", "line", "node"))
-    edges = star_edges(lines, slim.count(), bands)
+    slim = cut(lines_of(rows))
+    edges = star_edges(rows.select("text"), banded(k, bands), slim.count() * bands)
     place = F.struct("doc", "rid", "line")
-    nodes = slim.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    nodes = cut(slim.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")))
 
     # the first place of a line lends its text
-    def sets(wanted: DataFrame) -> DataFrame:
+    def fetch(wanted: DataFrame) -> DataFrame:
         at = pick(nodes, wanted, "node").select("first.*").groupBy("doc", "rid").agg(F.collect_set("line").alias("lines"))
-        few = at.count() <= 200_000
-        return line_sets(rows.join(F.broadcast(at) if few else at, ["doc", "rid"]), k)
+        few = at.count() <= BROADCAST_NODES
+        return line_texts(rows.join(F.broadcast(at) if few else at, ["doc", "rid"]))
 
-    found = verified(edges, sets, threshold)
+    found = verified(edges, fetch, shingle(k), threshold)
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first", "n")
+    named = nodes.join(roots, "node", "left").where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first", "n")
     groups = named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1").select("root", "kept")
     gone = slim.join(named.select("node", "root").join(groups, "root").select("node", "kept"), "node").where(place != F.col("kept"))
 
@@ -133,9 +150,8 @@ def dedup(docs: DataFrame, k: int = CHARS, threshold: float = THRESHOLD) -> Data
     """
     rows = numbered_rows(docs)
     gone = removed_lines(rows, k, threshold).select(F.col("doc").alias("_doc"), F.col("rid").alias("_rid"), F.col("lines").alias("_gone"))
-    size = gone.agg(F.coalesce(F.sum(4 * F.size("_gone") + 40), F.lit(0))).first()[0]
     own = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_rid": F.xxhash64(text_of())})
-    out = own.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, ["_doc", "_rid"], "left")
+    out = own.join(gone, ["_doc", "_rid"], "left")
     none = F.coalesce("_gone", F.array().cast("array<int>"))
     left = F.filter(F.transform(F.split(text_of(), "\n"), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
     return (

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 #: Members of a candidate group that are compared in one task with as many others.
 TILE = 128
 #: (key, node) pairs that a task of the band exchange holds, about.
-BUCKET_PAIRS = 1_000_000
+BUCKET_PAIRS = 500_000
 #: Nodes up to this many (8 bytes each) are broadcast to pick their texts; more are shuffled.
 BROADCAST_NODES = 1_000_000
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -32,14 +32,15 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[head], nodes[head], edges
 
 
-def star_edges(rows: DataFrame, n_rows: int, n_bands: int) -> DataFrame:
+def star_edges(rows: DataFrame, produce: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], n_pairs: float) -> DataFrame:
     """Edges (a, b) that connect all nodes with a band key in common.
 
-    ``rows`` holds node (long) and bands (array of long).  Each task first joins up its own
-    rows, so of a key that is everywhere only one node a task is sent on; keys go to
-    buckets by their leading bits, as many as the pairs ask for, packed into arrays.
+    ``produce`` turns batches of rows into nodes (int64) and their band keys (a row of
+    uint64 each).  Each task first joins up its own, so of a key that is everywhere only
+    one node a task is sent on; keys go to buckets by their leading bits, as many as
+    the number of pairs asks for, packed into arrays.
     """
-    bits = max(0, math.ceil(math.log2(max(1, n_rows * n_bands / BUCKET_PAIRS))))
+    bits = max(0, math.ceil(math.log2(max(1, n_pairs / BUCKET_PAIRS))))
 
     def emit(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
         keys, nodes, edges = _stars(keys, nodes)
@@ -54,13 +55,11 @@ def star_edges(rows: DataFrame, n_rows: int, n_bands: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, size = [], [], 0
-        for b in batches:
-            if b.num_rows:
-                k = np.asarray(b.column(1).flatten()).view(np.uint64)
-                keys.append(k)
-                nodes.append(np.repeat(np.asarray(b.column(0)), len(k) // b.num_rows))
-                size += len(k)
-            if size > 8_000_000:
+        for node, key in produce(batches):
+            keys.append(key.ravel())
+            nodes.append(np.repeat(node, key.shape[1]))
+            size += key.size
+            if size > 2_000_000:
                 yield emit(np.concatenate(keys), np.concatenate(nodes))
                 keys, nodes, size = [], [], 0
         if size:
@@ -72,7 +71,7 @@ def star_edges(rows: DataFrame, n_rows: int, n_bands: int) -> DataFrame:
         edges = np.concatenate([edges.reshape(-1, 2), np.frombuffer(raw[2], np.int64).reshape(-1, 2)])
         return pa.Table.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=EDGES)
 
-    packed = rows.select("node", "bands").mapInArrow(pack, "bucket int, keys binary, nodes binary, edges binary")
+    packed = rows.mapInArrow(pack, "bucket int, keys binary, nodes binary, edges binary")
     return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
@@ -97,6 +96,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = least(large)
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = cut(small)
+        release(now.sparkSession)
         if (new := mark(now)) == seen:
             break
         seen = new
@@ -105,6 +105,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the pairwise intersections, from the elements that several sets hold."""
+    if len(sets) == 2:
+        n = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([[len(sets[0]), n], [n, len(sets[1])]], float)
     flat = np.concatenate(sets)
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
@@ -142,10 +145,11 @@ def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def verified(edges: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingle: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], threshold: float) -> DataFrame:
     """Rows (node, other, links): exact links among the nodes that candidate edges connect.
 
-    ``sets`` gives (node, shingles: packed sorted 64-bit hashes) for the nodes asked for.
+    ``fetch`` gives (node, raw: its text in UTF-8) for the nodes asked for, ``shingle`` the hashes
+    of an array of texts and their offsets; a text is cut into shingles where it is compared.
     Every two members of a candidate group are compared: a group is cut into tiles of
     about TILE members by a hash, and each pair of tiles is one unit of work, so no task
     holds a large group and no pair becomes a row.  A row with links > 0 counts links of a
@@ -155,15 +159,16 @@ def verified(edges: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
     tiled = groups.join(sizes.select("group", F.ceil(F.col("n") / TILE).alias("tiles")), "group").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     total = tiled.count()
-    unit = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("group"), F.lit(max(1, total // 64)))).otherwise(F.col("group"))
-    have = sets(groups.select("node"))
+    unit = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("group"), F.lit(max(1, total // 256)))).otherwise(F.col("group"))
+    have = fetch(groups.select("node"))
     rows = tiled.join(have, "node").withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int"))))
-    rows = rows.select(unit.alias("unit"), F.least("tile", "j").alias("lo"), F.greatest("tile", "j").alias("hi"), (F.col("tiles") > 1).alias("big"), "group", "node", "tile", "shingles")
+    rows = rows.select(unit.alias("unit"), F.least("tile", "j").alias("lo"), F.greatest("tile", "j").alias("hi"), (F.col("tiles") > 1).alias("big"), "group", "node", "tile", "raw")
 
     def check(t: pa.Table) -> pa.Table:
         group, node, tile = (np.asarray(t.column(c)) for c in ("group", "node", "tile"))
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        lo, hi, raw = t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), t.column("raw").combine_chunks()
         out: list[tuple] = []
+        g, off = shingle(raw)
         order = np.lexsort((node, group))
         cuts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
         for s, e in zip(cuts, np.r_[cuts[1:], len(order)]):
@@ -171,7 +176,7 @@ def verified(edges: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold
             own = own[np.r_[True, node[own][1:] != node[own][:-1]]]
             if len(own) < 2:
                 continue
-            held = [np.frombuffer(t.column("shingles")[int(i)].as_py(), np.uint64) for i in own]
+            held = [np.unique(g[off[i] : off[i + 1]]) for i in own]
             n = np.array([len(x) for x in held], float)
             common = _common(held)
             link = common >= threshold * (n[:, None] + n[None, :] - common) - 1e-9

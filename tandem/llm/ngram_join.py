@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import cut, pack, table
 from .near import components, pick, star_edges, verified
+from .passages import chunks
 
 WORDS, THRESHOLD = 5, 0.8
 #: Hashes in a band, and the share of pairs at the threshold that some band must find.
@@ -23,10 +24,9 @@ def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens.shingles(*tokens.words(*pack(batch.column(1))), k)
 
 
-def _node(g: np.ndarray) -> tuple[int, np.ndarray]:
-    """Names a set of shingles by the first 8 bytes of its digest; also the sorted set."""
-    s = np.unique(g)
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True), s
+def _node(g: np.ndarray) -> int:
+    """Names a set of shingles by 8 bytes of digest."""
+    return int.from_bytes(hashlib.blake2b(np.unique(g).tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def signatures(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -35,30 +35,30 @@ def signatures(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for s in range(0, whole.num_rows, 1000):
-                b = whole.slice(s, 1000)
+            for b in chunks([whole]):
                 g, off = _sets(b, k)
                 some = np.flatnonzero(np.diff(off))
                 keys = tokens.band_keys(tokens.min_hashes(g, np.r_[off[some], off[-1]], bands * BAND_ROWS), BAND_ROWS)
                 node, lists = [None] * b.num_rows, [None] * b.num_rows
                 for row, i in enumerate(some):
-                    node[i], lists[i] = _node(g[off[i] : off[i + 1]])[0], keys[row].view(np.int64)
+                    node[i], lists[i] = _node(g[off[i] : off[i + 1]]), keys[row].view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """node and shingles (packed, sorted) of documents with words."""
+def named_texts(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """node and raw text of documents with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for s in range(0, whole.num_rows, 200):
-                g, off = _sets(whole.slice(s, 200), k)
-                out = [_node(g[off[i] : off[i + 1]]) for i in np.flatnonzero(np.diff(off))]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([x.tobytes() for _, x in out], pa.binary())], ["node", "shingles"])
+            for b in chunks([whole]):
+                g, off = _sets(b, k)
+                some = np.flatnonzero(np.diff(off))
+                node = [_node(g[off[i] : off[i + 1]]) for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), b.column(1).take(pa.array(some)).cast(pa.binary())], ["node", "raw"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, raw binary")
 
 
 def similar(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -73,14 +73,20 @@ def similar(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> Da
     bands = tokens.bands_for(threshold, RECALL, BAND_ROWS)
     slim = cut(signatures(docs, k, threshold))
     known = slim.where(F.col("node").isNotNull())
-    edges = star_edges(known, known.count(), bands)
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for b in batches:
+            if b.num_rows:
+                yield np.asarray(b.column(0)), np.asarray(b.column(1).flatten()).view(np.uint64).reshape(b.num_rows, bands)
+
+    edges = star_edges(known.select("node", "bands"), banded, known.count() * bands)
 
     # a document of each class of copies lends its text; ids that are not unique are told apart by node
-    def sets(nodes: DataFrame) -> DataFrame:
+    def fetch(nodes: DataFrame) -> DataFrame:
         wanted = pick(known.select("node", "doc_id"), nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        return shingle_sets(pick(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id"), k)
+        return named_texts(pick(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id"), k)
 
-    found = verified(edges, sets, threshold)
+    found = verified(edges, fetch, lambda raw: tokens.shingles(*tokens.words(*pack(raw)), k), threshold)
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     copies = known.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"))

@@ -85,9 +85,10 @@ def shingles(tok: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def min_hashes(g: np.ndarray, goff: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     """(texts x n) minima of n hash functions over each text's shingles; texts need one at least."""
     rng = np.random.default_rng(seed)
-    mult = rng.integers(0, 2**63, n, dtype=np.int64).astype(U) * U(2) + U(1)
-    add = rng.integers(0, 2**63, n, dtype=np.int64).astype(U)
-    out = np.empty((len(goff) - 1, n), U)
+    mult = rng.integers(0, 2**31, n, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 2**32, n, dtype=np.int64).astype(np.uint32)
+    out = np.empty((len(goff) - 1, n), np.uint32)
+    g = (g >> U(32)).astype(np.uint32)
     step = 0
     while step < len(goff) - 1:  # some 64k shingles at a time, to stay in the cache
         last = max(step + 1, int(np.searchsorted(goff, goff[step] + 65536, "right")) - 1)
