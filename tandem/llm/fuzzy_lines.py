@@ -45,13 +45,14 @@ def line_shingles(buf: np.ndarray, runs: tokens.Runs, start: np.ndarray, end: np
     """Hashes of the runs of k characters of each line, and offsets by line; lines of fewer characters are one run."""
     place = np.flatnonzero((buf & 0xC0) != 0x80)
     first, last = np.searchsorted(place, start), np.searchsorted(place, end)
-    place = np.r_[place, len(buf)]
     n = last - first
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     goff = np.r_[0, np.cumsum(count)]
-    of = np.repeat(np.arange(len(n)), count)
-    s = np.arange(goff[-1]) - (goff[:-1] - first)[of]
-    return runs(place[s], place[np.minimum(s + k, last[of])]), goff
+    at = np.arange(goff[-1]) + np.repeat(first - goff[:-1], count)
+    whole, short = runs.every(k, np.r_[place, len(buf)]), np.flatnonzero((n < k) & (n > 0))
+    g = whole[np.minimum(at, len(whole) - 1)] if len(whole) else np.zeros(len(at), np.uint64)
+    g[goff[short]] = runs(start[short], end[short])
+    return g, goff
 
 
 def numbered_rows(docs: DataFrame) -> DataFrame:

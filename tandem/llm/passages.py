@@ -76,9 +76,9 @@ class Seeds:
         left = off[self.of + 1] - np.arange(total)  # tokens from here to the end of the text
         self.valid = left >= window
         self.runs = tokens.Runs(tok, tokens.TOKEN)
-        start = np.flatnonzero(left >= anchor)
+        whole = self.runs.every(anchor)
         self.hash = np.full(total, ~np.uint64(0))
-        self.hash[start] = self.runs(start, start + anchor)
+        self.hash[: len(whole)] = np.where(left[: len(whole)] >= anchor, whole, self.hash[: len(whole)])
         if not self.valid.any():
             self.low, self.at = np.full(total, ~np.uint64(0)), np.zeros(0, np.int64)
             return

@@ -11,6 +11,8 @@ import numpy as np
 U = np.uint64
 #: Odd multipliers for bytes and for tokens, and their inverses modulo 2^64.
 BYTE, TOKEN = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Multiplies the length of a run into its hash.
+LENGTH = 0xA0761D6478BD642F
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -40,7 +42,20 @@ class Runs:
         self.back = powers(pow(base, -1, 2**64), len(values) + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U) * U(0xA0761D6478BD642F))
+        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U) * U(LENGTH))
+
+    def every(self, k: int, bounds: np.ndarray | None = None) -> np.ndarray:
+        """The same for all runs of k neighbours, values or pieces between bounds, without a gather for each."""
+        if bounds is None:
+            h = self.sums[k:] - self.sums[:-k]
+            h *= self.back[: len(h)]
+            h += U(k * LENGTH % 2**64)
+        else:
+            at = self.sums[bounds]
+            h = at[k:] - at[:-k]
+            h *= self.back[bounds[:-k]]
+            h += (bounds[k:] - bounds[:-k]).astype(U) * U(LENGTH)
+        return mix(h)
 
 
 BYTES = mix(np.arange(1, 257, dtype=U) * U(0x632BE59BD9B4E019))
@@ -77,9 +92,11 @@ def shingles(tok: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     goff = np.r_[0, np.cumsum(count)]
     of = np.repeat(np.arange(len(n)), count)
-    start = np.arange(goff[-1]) - goff[of] + off[of]
-    end = np.minimum(start + k, off[of + 1])
-    return Runs(tok, TOKEN)(start, end), goff
+    runs, start = Runs(tok, TOKEN), np.arange(goff[-1]) + (off[:-1] - goff[:-1])[of]
+    whole, short = runs.every(k), np.flatnonzero((n < k) & (n > 0))
+    g = whole[np.minimum(start, len(whole) - 1)] if len(whole) else np.zeros(len(start), U)
+    g[goff[short]] = runs(off[short], off[short + 1])
+    return g, goff
 
 
 def min_hashes(g: np.ndarray, goff: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
