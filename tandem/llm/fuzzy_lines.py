@@ -15,7 +15,7 @@ from .near import BROADCAST_NODES, components, pick, star_edges, verified
 from .passages import chunks, column
 
 #: Characters of a shingle, and the similarity from which lines count as the same.
-CHARS, THRESHOLD = 8, 0.8
+CHARS, THRESHOLD = 5, 0.8
 #: Hashes in a band, and the share of pairs at the threshold that some band must find.
 BAND_ROWS, RECALL = 4, 0.998
 

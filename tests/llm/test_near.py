@@ -83,6 +83,30 @@ def test_lines_equal_brute_force(docs, rows):
         assert r["kept"] == "\n".join(x for n, x in enumerate(texts[r.doc_id].split("\n")) if n not in gone[r.doc_id])
 
 
+def test_lines_with_one_edit_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    word = lambda k: "".join(rng.choice(letters, k))
+    texts = []
+    for size in range(40, 124, 4):
+        base = ""
+        while len(base) < size:
+            base += word(6) + " "
+        base = base[:size].strip()
+        mid = len(base) // 2
+        words = base.split(" ")
+        words[len(words) // 2] = word(6)
+        texts += [base, base[:mid] + "é" + base[mid + 1 :], " ".join(words)]
+    sets = [frozenset(x[j : j + 5] for j in range(len(x) - 4)) for x in texts]
+    groups = Sets(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if similar(sets[a], sets[b]):
+            groups.join(a, b)
+    got = {r.doc_id for r in fuzzy_lines.dedup(make(spark, [(i, x, "s") for i, x in enumerate(texts)])).collect() if r.n_removed}
+    assert got == {i for i in range(len(texts)) if groups.top(i) != i}
+    assert {i for i, x in enumerate(texts) if i % 3 == 1 and len(x) >= 50} <= got
+
+
 def test_odd_and_empty(odd, empty):
     assert ngram_join.similar(empty).count() == 0 and fuzzy_lines.dedup(empty).count() == 0
     got = ngram_join.similar(odd).collect()
