@@ -193,7 +193,7 @@ def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingle:
     return cut(rows.groupBy("big", "unit", "lo", "hi").applyInArrow(check, "node long, other long, links long"))
 
 
-def pick(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+def pick(rows: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key is among ids; broadcast only if ids are few."""
     ids = ids.select(on).distinct()
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids, on, "left_semi")

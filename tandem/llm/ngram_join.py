@@ -11,17 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, pack, table
+from .common import cut, pack, table, text_of
 from .near import components, pick, star_edges, verified
-from .passages import chunks
+from .passages import chunks, column
 
 WORDS, THRESHOLD = 5, 0.8
 #: Hashes in a band, and the share of pairs at the threshold that some band must find.
 BAND_ROWS, RECALL = 6, 0.9998
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    return tokens.shingles(*tokens.words(*pack(batch.column(1))), k)
+def _sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return tokens.shingles(*tokens.words(*pack(text)), k)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, doc, rid and text of each row; doc is the id and never null, rid tells texts of one id apart."""
+    own = F.col("doc_id").cast("long")
+    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(-(2**63))).alias("doc"), F.xxhash64(text_of()).alias("rid"), text_of().alias("text"))
 
 
 def _node(g: np.ndarray) -> int:
@@ -30,21 +36,22 @@ def _node(g: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, node (null without words) and bands, a row for each row of ``docs``."""
+    """doc_id, doc, rid (see ``keyed``), node (null without words) and bands, a row for each row of ``docs``."""
     bands = tokens.bands_for(threshold, RECALL, BAND_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks([whole]):
-                g, off = _sets(b, k)
+                g, off = _sets(column(b, "text"), k)
                 some = np.flatnonzero(np.diff(off))
                 keys = tokens.band_keys(tokens.min_hashes(g, np.r_[off[some], off[-1]], bands * BAND_ROWS), BAND_ROWS)
                 node, lists = [None] * b.num_rows, [None] * b.num_rows
                 for row, i in enumerate(some):
                     node[i], lists[i] = _node(g[off[i] : off[i + 1]]), keys[row].view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                own = [column(b, c) for c in ("doc_id", "doc", "rid")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(node, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "doc", "rid", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, bands array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, doc long, rid long, node long, bands array<long>")
 
 
 def named_texts(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -53,12 +60,12 @@ def named_texts(docs: DataFrame, k: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks([whole]):
-                g, off = _sets(b, k)
+                g, off = _sets(column(b, "text"), k)
                 some = np.flatnonzero(np.diff(off))
                 node = [_node(g[off[i] : off[i + 1]]) for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), b.column(1).take(pa.array(some)).cast(pa.binary())], ["node", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), column(b, "text").take(pa.array(some)).cast(pa.binary())], ["node", "raw"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, raw binary")
+    return docs.select("text").mapInArrow(run, "node long, raw binary")
 
 
 def similar(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -81,10 +88,10 @@ def similar(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> Da
 
     edges = star_edges(known.select("node", "bands"), banded, known.count() * bands)
 
-    # a document of each class of copies lends its text; ids that are not unique are told apart by node
+    # a row of each class of copies lends its text
     def fetch(nodes: DataFrame) -> DataFrame:
-        wanted = pick(known.select("node", "doc_id"), nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        return named_texts(pick(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id"), k)
+        wanted = pick(known.select("node", "doc", "rid"), nodes, "node").groupBy("node").agg(F.min(F.struct("doc", "rid")).alias("first"))
+        return named_texts(pick(keyed(docs).select("doc", "rid", "text"), wanted.select("first.*"), ["doc", "rid"]), k)
 
     found = verified(edges, fetch, lambda raw: tokens.shingles(*tokens.words(*pack(raw)), k), threshold)
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))

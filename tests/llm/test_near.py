@@ -116,6 +116,17 @@ def test_odd_and_empty(odd, empty):
     assert fuzzy_lines.dedup(odd).count() == 6
 
 
+def test_links_of_texts_with_null_ids(spark):
+    base = [f"a{i}" for i in range(100)]
+    change = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    # the null ids' text alone bridges the others: one changed word parts 5 of 96 shingles
+    rows = [(1, change(20, 40), "s"), (None, change(40), "s"), (2, change(40, 60, 80), "s"), (None, " ".join(f"b{i}" for i in range(50)), "s")]
+    sets = [grams(t.split()) for _, t, _ in rows]
+    assert similar(sets[0], sets[1]) and similar(sets[1], sets[2]) and not similar(sets[0], sets[2])
+    got = ngram_join.similar(make(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in got) == [(0, 0, 0), (0, 1, 2), (1, 1, 1), (2, 1, 1)]
+
+
 def test_large_group_is_cut_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(near, "TILE", 8)
     base = [f"w{i}" for i in range(200)]
