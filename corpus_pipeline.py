@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import decontaminate, fuzzy_lines, mixing, ngram_join, quality
-from tandem.llm.common import row_key, scratch, table
+from tandem.llm.common import cut, row_key, scratch, table, text_of
+from tandem.llm.near import BROADCAST_NODES
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,10 +35,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays."""
-    keep = ngram_join.similar(docs).where((F.col("doc_id") == F.col("class_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_id")).distinct()
-    n = keep.count()
-    return docs.join(F.broadcast(keep) if n <= 1_000_000 else keep, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates one row stays: that with the least doc_id (null last).
+
+    Of several texts with that id the one with the least hash stays, and of rows that are
+    equal in id and text the one with the least other columns.  Rows without words stay.
+    """
+    found = cut(ngram_join.classes(docs).select("doc_id", "doc", "rid", "root"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc", "rid")
+    first = found.where("root is not null").groupBy("root").agg(F.min(place).alias("first")).select("first.*")
+    rows = found.where("root is not null").groupBy("doc", "rid").agg(F.count("*").alias("n"))
+    blank = found.where("root is null").select("doc", "rid", F.lit(1).alias("n")).distinct()
+    keep = cut(first.select("doc", "rid").join(rows, ["doc", "rid"]).unionByName(blank))
+
+    def held(ids: DataFrame) -> DataFrame:
+        ids = ids.select(F.col("doc").alias("_doc"), F.col("rid").alias("_rid"))
+        own = docs.select(*COLUMNS, ngram_join.doc_key().alias("_doc"), F.xxhash64(text_of()).alias("_rid"))
+        return own.join(F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids, ["_doc", "_rid"], "left_semi")
+
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "lang", "source", "n_chars", "doc_id", "text")
+    once = held(keep.where("n > 1")).groupBy("_doc", "_rid").agg(F.min(row).alias("row")).select("row.*")
+    return held(keep.where("n = 1")).select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -24,10 +24,14 @@ def _sets(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens.shingles(*tokens.words(*pack(text)), k)
 
 
+def doc_key() -> Column:
+    """The id as a number that is never null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, doc, rid and text of each row; doc is the id and never null, rid tells texts of one id apart."""
-    own = F.col("doc_id").cast("long")
-    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(-(2**63))).alias("doc"), F.xxhash64(text_of()).alias("rid"), text_of().alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("doc"), F.xxhash64(text_of()).alias("rid"), text_of().alias("text"))
 
 
 def _node(g: np.ndarray) -> int:
@@ -69,13 +73,19 @@ def named_texts(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
 
 def similar(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, copy_of, class_id, n_copies, n_links, a row for each row of ``docs``.
+    """doc_id, copy_of, class_id, n_copies, n_links of ``classes``, a row for each row of ``docs``."""
+    return classes(docs, k, threshold).select("doc_id", "copy_of", "class_id", "n_copies", "n_links")
+
+
+def classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, doc, rid (see ``keyed``), root, copy_of, class_id, n_copies, n_links, a row for each row of ``docs``.
 
     Documents with equal sets of k-word shingles are copies: copy_of is the least doc_id
     among them and n_copies their number.  n_links counts the other sets whose Jaccard
     similarity is ``threshold`` or more, class_id is the least doc_id of all that such links
     connect.  A document of fewer than k words has one shingle, all its words; one without
-    words (null, empty, blank) is alone in its class, with no links.
+    words (null, empty, blank) is alone in its class, with no links.  root names the class, also
+    where all its ids are null; it is null without words.
     """
     bands = tokens.bands_for(threshold, RECALL, BAND_ROWS)
     slim = cut(signatures(docs, k, threshold))
@@ -98,10 +108,10 @@ def similar(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> Da
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     copies = known.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"))
     named = copies.join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
-    named = named.join(classes, "root").select("node", "copy_of", "n_copies", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"))
-    return slim.select("doc_id", "node").join(named, "node", "left").select(
-        "doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"),
+    least = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
+    named = named.join(least, "root").select("node", "root", "copy_of", "n_copies", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"))
+    return slim.select("doc_id", "doc", "rid", "node").join(named, "node", "left").select(
+        "doc_id", "doc", "rid", "root", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 

@@ -35,6 +35,17 @@ def test_near_duplicate_stage(spark, sf):
     assert out.columns == COLUMNS and {r.doc_id for r in out.collect()} == {1, 9, None}
 
 
+def test_near_duplicate_stage_keeps_one_row_a_group(spark, sf, odd):
+    # one text of id 5 is a near copy of all others with words
+    got = [(r.doc_id, bool(r.text)) for r in cp.near_duplicate_stage(spark, odd, sf).collect()]
+    assert sorted(got, key=str) == [(5, True), (7, False), (None, False)]
+    base, other = " ".join(f"w{i}" for i in range(90)), " ".join(f"v{i}" for i in range(90))
+    rows = [(4, base, "b"), (4, base, "a"), (4, base, "a"), (4, other, "a"), (3, other + " x", "a"), (None, base, "a")]
+    rows += [(None, "only null ids hold this text", "a")] * 2 + [(None, "", "a")] * 2
+    out = cp.near_duplicate_stage(spark, make(spark, rows), sf).collect()
+    assert sorted(((r.doc_id, r.text, r.source) for r in out), key=str) == sorted([rows[1], rows[4], rows[6], rows[8], rows[9]], key=str)
+
+
 def test_decontamination_stage(spark, sf):
     item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
     rows = [(1, f"before {item} after", "a"), (2, "clean text", "a"), (3, None, "b")]
