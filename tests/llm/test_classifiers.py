@@ -55,3 +55,16 @@ def test_sample_is_bounded(spark):
 
     assert len(labelled.sample(docs, labels, "y", F.lit(True), 10, 10**6)) == 20
     assert len(labelled.sample(docs, labels, "y", F.lit(True), 10, 1000)) == 10
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    first = spark.range(50).orderBy(F.xxhash64("id")).first().id
+    text = lambda i: "x" * (600 if i == first else 100)
+    docs = spark.createDataFrame([(i, text(i)) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, y int")
+    got = labelled.sample(docs, labels, "y", F.lit(True), 10, 1000)
+    assert sorted(y for _, y in got) == [0] * 5 + [1] * 5 and {len(t) for t, _ in got} == {100}
+    with pytest.raises(ValueError, match="y = 1"):
+        labelled.sample(docs, labels.select("doc_id", (F.col("doc_id") == first).cast("int").alias("y")), "y", F.lit(True), 10, 1000)
