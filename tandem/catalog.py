@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -306,8 +307,8 @@ def _vectors(spark, d, p: int = 2, q: int = 2):
     return deviation.vectors(m, c, [f"f{i}" for i in range(p)], "x").join(deviation.vectors(m, c, [f"p{i}" for i in range(q)], "y"), "cell_id")
 
 
-def _deviation(spark, d):
-    return deviation.deviation_score(_vectors(spark, d)).join(fx.cells(spark, d).select("cell_id", "cell_type"), "cell_id")
+def _deviation(spark, d, p: int = 2, q: int = 2):
+    return deviation.deviation_score(_vectors(spark, d, p, q)).join(fx.cells(spark, d).select("cell_id", "cell_type"), "cell_id")
 
 
 @register("j12_predict", f"{RIDGE} SELECT cell_id, {rd('e1')} AS yhat1, {rd('e2')} AS yhat2 FROM f")
@@ -317,6 +318,13 @@ def _(spark, d):
     return rounded(out.select("cell_id", F.get("yhat", F.lit(0)).alias("yhat1"), F.get("yhat", F.lit(1)).alias("yhat2")), "yhat1", "yhat2")
 
 
+@register("j12_predict_wide")
+def _(spark, d):
+    xy = _vectors(spark, d, fx.WIDTH, fx.WIDTH)
+    out = deviation.predict(xy, *deviation.fit_ridge(xy)).select("cell_id", F.posexplode("yhat").alias("target", "yhat"))
+    return rounded(out.withColumn("target", F.concat(F.lit("p"), "target")), "yhat")
+
+
 # -- aggregations and statistics ---------------------------------------------------
 
 
@@ -385,6 +393,13 @@ def _(spark, d):
     return rounded(spark.createDataFrame(rows, "target string, w1 double, w2 double, b double"), "w1", "w2", "b")
 
 
+@register("a10_fit_ridge_wide")
+def _(spark, d):
+    w, b = deviation.fit_ridge(_vectors(spark, d, fx.WIDTH, fx.WIDTH))
+    rows = [(f"p{j}", np.round(w[:, j], 6).tolist(), float(b[j])) for j in range(fx.WIDTH)]
+    return rounded(spark.createDataFrame(rows, "target string, w array<double>, b double"), "b")
+
+
 @register("a11_deviation", f"{RIDGE} SELECT cell_id, cell_type, {rd('s')} AS deviation_score FROM dev")
 def _(spark, d):
     return rounded(_deviation(spark, d), "deviation_score")
@@ -454,11 +469,21 @@ def _(spark, d):
     return rounded(deviation.deviation_overview(_deviation(spark, d)), "mean", "std")
 
 
+@register("a21_deviation_overview_wide")
+def _(spark, d):
+    return rounded(deviation.deviation_overview(_deviation(spark, d, fx.WIDTH, fx.WIDTH)), "mean", "std")
+
+
 @register("a22_deviation_by_type", f"{RIDGE} SELECT cell_type, {rd('avg(s)')} AS mean, {rd('stddev_samp(s)')} AS std, count(*) AS \"count\" FROM dev GROUP BY 1 HAVING count(*) >= 50")
 def _(spark, d):
     return rounded(deviation.deviation_by_stratum(_deviation(spark, d)), "mean", "std")
 
 
+@register("a22_deviation_by_type_wide")
+def _(spark, d):
+    return rounded(deviation.deviation_by_stratum(_deviation(spark, d, fx.WIDTH, fx.WIDTH)), "mean", "std")
+
+
 @register(
     "a23_histogram",
     f"e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), k AS (SELECT least(CAST(floor((l_extendedprice - lo) / ((hi - lo) / 40)) AS INT), 39) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1) "

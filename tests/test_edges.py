@@ -176,3 +176,27 @@ def test_no_join_is_a_cross_join_but_densify(spark, sf):
     for name in ("j3_align_pairs", "a3_by_cell_type", "a8_consistency"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_wide_ridge_queries_equal_numpy(spark, sf):
+    from tandem.catalog import QUERIES
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    v = np.maximum(np.vstack(e.embedding.to_numpy()).astype(float), 0)
+    x, y = v[:, :32], v[:, 32:]
+    xc = x - x.mean(0)
+    w = np.linalg.solve(xc.T @ xc + np.eye(32), xc.T @ (y - y.mean(0)))
+    b = y.mean(0) - x.mean(0) @ w
+    fitted = x @ w + b
+    score = np.abs(y - fitted).mean(1)
+    close = lambda a, b: np.allclose(a, b, rtol=0, atol=2e-6)
+    fit = {r.target: r for r in QUERIES["a10_fit_ridge_wide"](spark, sf).collect()}
+    assert len(fit) == 32 and all(close(fit[f"p{j}"].w, w[:, j]) and close(fit[f"p{j}"].b, b[j]) for j in range(32))
+    got = {(r.cell_id, r.target): r.yhat for r in QUERIES["j12_predict_wide"](spark, sf).collect()}
+    assert len(got) == fitted.size and close([[got[str(i), f"p{j}"] for j in range(32)] for i in e.vec_id], fitted)
+    r = QUERIES["a21_deviation_overview_wide"](spark, sf).first()
+    assert close([r["mean"], r["std"]], [score.mean(), score.std()])
+    types = {f"T{k}": score[(e.label == k).to_numpy()] for k in e.label.unique()}
+    want = {k: (s.mean(), s.std(ddof=1), len(s)) for k, s in types.items() if len(s) >= 50}
+    got = {r.cell_type: (r["mean"], r["std"], r["count"]) for r in QUERIES["a22_deviation_by_type_wide"](spark, sf).collect()}
+    assert want and got.keys() == want.keys() and all(close(got[k], want[k]) for k in want)
