@@ -84,8 +84,9 @@ def _by_stratum(spark, d, col="donor_id"):
 
 @register("s1_read_cells", "SELECT cell_id, cell_type, donor_id FROM cells")
 def _(spark, d):
-    raw = src.read_cells(spark, f"{d}/embeddings.parquet")
-    return raw.select(F.col("vec_id").cast("string").alias("cell_id"), F.concat(F.lit("T"), "label").alias("cell_type"), F.concat(F.lit("D"), F.col("vec_id") % 7).alias("donor_id"))
+    path = _scratch(spark, "cells")
+    src.write_result(fx.cells(spark, d), path, "parquet")
+    return src.read_cells(spark, path)
 
 
 @register("s2_read_features", "SELECT feature, feature_type FROM feats")
@@ -146,6 +147,13 @@ def _(spark, d):
     return rounded(project.split_modality(fx.measurements(spark, d), fx.features(spark, d), "ADT"), "value").select("cell_id", "feature", "value")
 
 
+@register("p1_split_shared_names", f"SELECT cell_id, substr(feature, 2) AS feature, {rd('value')} AS value FROM meas WHERE feature_type = 'GEX'")
+def _(spark, d):
+    # without their first letter all names stand in both types
+    short = lambda df: df.withColumn("feature", F.substring("feature", 2, 9))
+    return rounded(project.split_modality(short(fx.measurements(spark, d)), short(fx.features(spark, d)), "GEX"), "value").select("cell_id", "feature", "value")
+
+
 @register("p2_select_features", f"SELECT cell_id, feature, {rd('value')} AS value FROM meas WHERE feature IN ('f1', 'f5', 'p7')")
 def _(spark, d):
     names = fx.features(spark, d).where(F.col("feature").isin("f1", "f5", "p7"))

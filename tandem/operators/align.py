@@ -62,23 +62,30 @@ def id_overlap(a: DataFrame, b: DataFrame, col: str = "cell_id") -> DataFrame:
     return a.select(col).intersect(b.select(col)).agg(F.count("*").alias("n_common"))
 
 
-def ids_identical(a: DataFrame, b: DataFrame, ord_col: str, col: str = "cell_id") -> DataFrame:
-    """identical: the same ids at the same positions."""
+def ids_identical(a: DataFrame, b: DataFrame, ord_col: str, col: str = "cell_id", strict: bool = False) -> DataFrame:
+    """identical: the same ids at the same positions; ``strict`` runs it and raises ValueError if they are not."""
     left = a.select(F.col(ord_col).alias("o1"), F.col(col).alias("id1"))
     right = b.select(F.col(ord_col).alias("o2"), F.col(col).alias("id2"))
     same = F.col("o1").eqNullSafe(F.col("o2")) & F.col("id1").eqNullSafe(F.col("id2"))
-    return left.join(right, F.col("o1") == F.col("o2"), "full").agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("identical"))
+    both = left.join(right, F.col("o1") == F.col("o2"), "full")
+    out = both.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("identical"), F.count_if(~same).alias("n_other"))
+    if strict and not (found := out.first())["identical"]:
+        raise ValueError(f"ids differ at {found['n_other']} positions")
+    return out.select("identical")
 
 
-def assert_aligned(x: DataFrame, y: DataFrame, keys: tuple[str, ...] = ("cell_id", "feature")) -> DataFrame:
-    """n_x, n_y (distinct keys), only_x, only_y and aligned."""
+def assert_aligned(x: DataFrame, y: DataFrame, keys: tuple[str, ...] = ("cell_id", "feature"), strict: bool = False) -> DataFrame:
+    """n_x, n_y (distinct keys), only_x, only_y and aligned; ``strict`` runs it and raises ValueError if they are not."""
     k = list(keys)
     a, b = x.select(*k).distinct().withColumn("in_x", F.lit(1)), y.select(*k).distinct().withColumn("in_y", F.lit(1))
     out = a.join(b, k, "full").agg(
         F.count("in_x").alias("n_x"), F.count("in_y").alias("n_y"),
         F.count(F.when(F.col("in_y").isNull(), 1)).alias("only_x"), F.count(F.when(F.col("in_x").isNull(), 1)).alias("only_y"),
     )
-    return out.withColumn("aligned", (F.col("only_x") == 0) & (F.col("only_y") == 0))
+    out = out.withColumn("aligned", (F.col("only_x") == 0) & (F.col("only_y") == 0))
+    if strict and not (found := out.first())["aligned"]:
+        raise ValueError(f"not aligned: {found['only_x']} of {found['n_x']} keys only in x, {found['only_y']} of {found['n_y']} only in y")
+    return out
 
 
 def compare_axes(c1: DataFrame, c2: DataFrame) -> DataFrame:

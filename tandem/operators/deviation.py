@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Features (predictors plus targets) up to which partial Gram matrices are used.
-MAX_FEATURES = 2000
+#: Rows and columns of a block of the Gram matrix that goes through a shuffle.
+BLOCK = 512
+#: Bytes of the strip of the Gram matrix that a task holds.
+STRIP_BYTES = 256_000_000
+#: Predictors up to which the p x p system is solved (7 GB on the driver).
+MAX_PREDICTORS = 30_000
 
 
 def vectors(long: DataFrame, cells: DataFrame, features: list[str], name: str) -> DataFrame:
@@ -20,49 +25,89 @@ def vectors(long: DataFrame, cells: DataFrame, features: list[str], name: str) -
     return cells.select("cell_id").join(maps, "cell_id", "left").select("cell_id", F.coalesce(slots, F.array(*[F.lit(0.0)] * len(features))).alias(name))
 
 
-def fit_ridge(xy: DataFrame, alpha: float = 1.0, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+def _added(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of packed blocks by i and j; ``keys`` may hold a salt too."""
+
+    def add(d: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(d["data"].iloc[0]).copy()
+        for x in d["data"].iloc[1:]:
+            total += np.frombuffer(x)
+        return pd.DataFrame({"i": d["i"].iloc[:1], "j": d["j"].iloc[:1], "data": [total.tobytes()]})
+
+    return groups.groupBy(*keys).applyInPandas(add, "i int, j int, data binary")
+
+
+def column_means(rows: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """Number of rows and the mean of each place of the array ``v``, from one row of sums a place and partition."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(size), 0
+        for d in batches:
+            if len(d):
+                total += np.vstack(d["v"].to_numpy()).sum(0)
+                n += len(d)
+        if n:
+            yield pd.DataFrame({"i": np.arange(size, dtype="int32"), "s": total, "n": n})
+
+    found = rows.mapInPandas(partial, "i int, s double, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).toPandas()
+    means = np.zeros(size)
+    means[found["i"]] = found["s"] / found["n"]
+    return int(found["n"].iloc[0]), means
+
+
+def fit_ridge(xy: DataFrame, alpha: float = 1.0, strip_bytes: int = STRIP_BYTES, max_predictors: int = MAX_PREDICTORS) -> tuple[np.ndarray, np.ndarray]:
     """Weights (p x q) and intercepts (q) of all targets; the intercept is not penalised.
 
-    ``xy`` holds the arrays x and y.  Each partition reduces its rows to one Gram matrix,
-    entries are summed by a shuffle of at most (p + q)^2 rows a partition, and the p x p
-    system is solved on the driver; its size is bounded by ``max_features``.
+    ``xy`` holds the arrays x and y.  The Gram matrix is that of the values less their means,
+    so no digits are lost where means are large.  It is made in strips of at most
+    ``strip_bytes`` a task, one pass over ``xy`` each (cache it if there are several), and
+    summed in blocks of BLOCK x BLOCK.  Only the p x p system is solved on the driver, which
+    bounds p by ``max_predictors``.
     """
     first = xy.select(F.size("x").alias("p"), F.size("y").alias("q")).first()
     if first is None:
         raise ValueError("fit_ridge needs at least one row")
     p, q = first["p"], first["q"]
-    if p + q > max_features:
-        raise ValueError(f"{p} predictors and {q} targets; at most {max_features} together are supported")
+    if p > max_predictors:
+        raise ValueError(f"{p} predictors; at most {max_predictors} can be solved on the driver")
     both = xy.select(F.concat("x", "y").alias("v"))
-    means = both.agg(*[F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(p + q)]).first() if p + q <= 200 else None
-    shift = np.array([m or 0.0 for m in means]) if means else np.zeros(p + q)
-
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros((p + q + 1, p + q + 1)), 0
-        for b in batches:
-            if len(b):
-                v = np.hstack([np.ones((len(b), 1)), np.vstack(b["v"].to_numpy()) - shift])
-                total += v.T @ v
-                n += len(b)
-        if n:
-            i, j = np.triu_indices(p + q + 1)
-            yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "s": total[i, j]})
-
-    rows = both.mapInPandas(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
-    g = np.zeros((p + q + 1, p + q + 1))
-    g[rows["i"], rows["j"]] = rows["s"]
-    g = g + np.triu(g, 1).T
-    n, mean = g[0, 0], g[0, 1:] / g[0, 0]
-    centred = g[1:, 1:] - n * np.outer(mean, mean)
-    w = np.linalg.solve(centred[:p, :p] + alpha * np.eye(p), centred[:p, p:])
-    mean = mean + shift
+    _, mean = column_means(both, p + q)
+
+    def strip(lo: int, hi: int):
+        def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, some = np.zeros((hi - lo, p + q - lo)), False
+            for d in batches:
+                if len(d):
+                    v = np.vstack(d["v"].to_numpy())[:, lo:] - mean[lo:]
+                    total += v[:, : hi - lo].T @ v
+                    some = True
+            for i in range(lo, hi, BLOCK) if some else ():
+                for j in range(i, p + q, BLOCK):
+                    part = total[i - lo : min(i + BLOCK, hi) - lo, j - lo : j - lo + BLOCK]
+                    yield pd.DataFrame({"i": np.array([i], "int32"), "j": np.array([j], "int32"), "data": [part.tobytes()]})
+
+        return both.mapInPandas(gram, "i int, j int, data binary")
+
+    wide = max(BLOCK, strip_bytes // (8 * (p + q)) // BLOCK * BLOCK)
+    parts = [strip(lo, min(lo + wide, p)) for lo in range(0, p, wide)]
+    blocks = reduce(DataFrame.unionAll, parts).withColumn("salt", F.spark_partition_id() % 32)
+    g = np.zeros((p, p + q))
+    for r in _added(_added(blocks, ["i", "j", "salt"]), ["i", "j"]).toLocalIterator():
+        rows, cols = min(BLOCK, p - r["i"]), min(BLOCK, p + q - r["j"])
+        g[r["i"] : r["i"] + rows, r["j"] : r["j"] + cols] = np.frombuffer(r["data"]).reshape(rows, cols)
+    gxx = np.triu(g[:, :p])
+    gxx += np.triu(gxx, 1).T
+    gxx[np.diag_indices(p)] += alpha
+    w = np.linalg.solve(gxx, g[:, p:])
     return w, mean[p:] - mean[:p] @ w
 
 
 def predict(xy: DataFrame, w: np.ndarray, b: np.ndarray) -> DataFrame:
     """cell_id, y and the fitted values yhat."""
+    shared = xy.sparkSession.sparkContext.broadcast((w, b))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, b = shared.value
         for d in batches:
             if len(d):
                 fitted = np.vstack(d["x"].to_numpy()) @ w + b

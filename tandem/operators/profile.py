@@ -27,13 +27,22 @@ def sparsity_profile(df: DataFrame, col: str, n_total: int, approximate: bool =
     """Exact median and the percentage of zeros, absent rows counted as zeros.
 
     The zeros enter the median as one row with their number as its frequency.
-    ``approximate`` takes the median from a sketch of the values instead.
+    ``approximate`` takes it from a sketch of the values on its side of zero instead: one
+    pass counts the signs, a second sketches, and no distinct value is kept.
     """
+    if approximate:
+        some = df.agg(F.count_if(F.col(col) < 0).alias("below"), F.count_if(F.col(col) > 0).alias("above")).first()
+        below, above = some["below"], some["above"]
+        zeros, half = n_total - below - above, n_total / 2
+        pct = F.lit(100.0 * zeros / n_total).alias("pct_zeros")
+        if below <= half <= below + zeros:
+            return df.sparkSession.range(1).select(F.lit(0.0).alias("median"), pct)
+        side, share = (F.col(col) < 0, half / below) if half < below else (F.col(col) > 0, (half - below - zeros) / above)
+        return df.where(side).agg(F.percentile_approx(F.col(col).cast("double"), F.lit(share)).alias("median")).select("median", pct)
     counts = df.where(F.col(col) != 0).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("freq"))
     counts = counts.unionByName(counts.agg(F.lit(0.0).alias("v"), (F.lit(n_total) - F.coalesce(F.sum("freq"), F.lit(0))).cast("long").alias("freq")))
     counts = counts.where(F.col("freq") > 0)
-    median = F.percentile_approx("v", F.lit(0.5)) if approximate else F.percentile("v", F.lit(0.5), F.col("freq"))
-    return counts.agg(median.alias("median"), (100.0 * F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("freq"))), F.lit(0)) / n_total).alias("pct_zeros"))
+    return counts.agg(F.percentile("v", F.lit(0.5), F.col("freq")).alias("median"), (100.0 * F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("freq"))), F.lit(0)) / n_total).alias("pct_zeros"))
 
 
 def skew_corrected(df: DataFrame, col: str) -> DataFrame:

@@ -10,9 +10,15 @@ RTOL, ATOL = 1e-5, 1e-8
 
 
 def split_modality(meas: DataFrame, features: DataFrame, feature_type: str) -> DataFrame:
-    """Measurements of the features of one type."""
-    keep = features.where(F.col("feature_type") == feature_type).select("feature")
-    return meas.join(keep, "feature", "left_semi")
+    """Measurements of the features of one type.
+
+    A name may stand in several types (a protein and its gene), so the key is
+    (feature_type, feature) wherever ``meas`` tells its type; without that column it is
+    the name alone.
+    """
+    key = [c for c in ("feature_type", "feature") if c in meas.columns]
+    keep = features.where(F.col("feature_type") == feature_type).select(*key)
+    return meas.join(keep, key, "left_semi")
 
 
 def select_features(meas: DataFrame, names: DataFrame) -> DataFrame:

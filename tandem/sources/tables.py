@@ -4,23 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..operators.project import to_wide
 
 
+#: Columns that the canonical tables have at least, with their types.
+CELLS = StructType([StructField(c, StringType()) for c in ("cell_id", "cell_type", "donor_id")])
+FEATURES = StructType([StructField(c, StringType()) for c in ("feature", "feature_type")])
+MEASUREMENTS = StructType([*(StructField(c, StringType()) for c in ("cell_id", "feature_type", "feature", "layer")), StructField("value", DoubleType())])
+
+
+def conform(df: DataFrame, schema: StructType) -> DataFrame:
+    """The columns of ``schema``, cast to its types, then any others; ValueError if some are missing."""
+    if missing := [f.name for f in schema if f.name not in df.columns]:
+        raise ValueError(f"the table lacks {', '.join(missing)}; it has {', '.join(df.columns)}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema], *[c for c in df.columns if c not in schema.names])
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """One row per entity: cell_id, cell_type, donor_id and whatever else the table has."""
-    return spark.read.parquet(path)
+    """One row per entity: CELLS and whatever else the table has."""
+    return conform(spark.read.parquet(path), CELLS)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """One row per feature: feature, feature_type."""
-    return spark.read.parquet(path)
+    """One row per feature: FEATURES and whatever else the table has."""
+    return conform(spark.read.parquet(path), FEATURES)
 
 
 def read_measurements(spark: SparkSession, path: str, layer: str = "X") -> DataFrame:
     """Non-zero values of one layer; the filter reaches the scan (or prunes partitions)."""
-    return spark.read.parquet(path).where(F.col("layer") == layer).drop("layer")
+    return conform(spark.read.parquet(path), MEASUREMENTS).where(F.col("layer") == layer).drop("layer")
 
 
 def explode_matrix(df: DataFrame, id_col: str, vec_col: str, names: DataFrame) -> DataFrame:

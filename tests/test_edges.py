@@ -137,7 +137,49 @@ def test_ridge_equals_numpy(spark, partitions):
     got = {r.cell_id: r.deviation_score for r in deviation.deviation_score(xy).collect()}
     assert np.allclose([got[str(i)] for i in range(200)], np.abs(y - fitted).mean(1), atol=1e-8)
     with pytest.raises(ValueError, match="at most"):
-        deviation.fit_ridge(xy, max_features=8)
+        deviation.fit_ridge(xy, max_predictors=4)
+
+
+def test_ridge_in_blocks_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    n, p, q = 300, 1700, 1300
+    x = rng.normal(1e4, 1, (n, p))
+    y = x[:, :5] @ rng.normal(size=(5, q)) + rng.normal(size=(n, q))
+    w, b = deviation.fit_ridge(vectors(spark, x, y).repartition(3).cache(), strip_bytes=8 * (p + q) * 600)
+    xc, yc = x - x.mean(0), y - y.mean(0)
+    want = np.linalg.solve(xc.T @ xc + np.eye(p), xc.T @ yc)
+    assert w.shape == (p, q) and np.allclose(w, want, atol=1e-8) and np.allclose(b, y.mean(0) - x.mean(0) @ want, atol=1e-3)
+
+
+def test_split_modality_keeps_shared_names_apart(spark):
+    meas = spark.createDataFrame([("c", "GEX", "CD4", 1.0), ("c", "ADT", "CD4", 2.0), ("c", "ADT", "CD8", 3.0)], "cell_id string, feature_type string, feature string, value double")
+    feats = meas.select("feature", "feature_type").distinct()
+    assert [r.value for r in project.split_modality(meas, feats, "GEX").collect()] == [1.0]
+    assert sorted(r.value for r in project.split_modality(meas.drop("feature_type"), feats, "ADT").collect()) == [1.0, 2.0, 3.0]
+
+
+def test_approximate_median_counts_frequencies(spark):
+    ones = spark.createDataFrame([(v,) for v in [1.0] * 50 + [9.0, 10.0, 11.0]], "v double")
+    assert one(profile.sparsity_profile(ones, "v", 53, approximate=True)) == {"median": 1.0, "pct_zeros": 0.0}
+    assert one(profile.sparsity_profile(ones, "v", 1000, approximate=True))["median"] == 0.0
+    signs = spark.createDataFrame([(float(v),) for v in [-5] * 60 + [-1] * 10 + [7] * 20], "v double")
+    assert one(profile.sparsity_profile(signs, "v", 100, approximate=True)) == {"median": -5.0, "pct_zeros": 10.0}
+    assert one(profile.sparsity_profile(ones.limit(0), "v", 5, approximate=True)) == {"median": 0.0, "pct_zeros": 100.0}
+
+
+def test_strict_guards_raise(spark):
+    a = spark.createDataFrame([(0, "x", "f"), (1, "y", "f")], "pos int, cell_id string, feature string")
+    assert align.assert_aligned(a, a, strict=True).first().aligned and align.ids_identical(a, a, "pos", strict=True).first().identical
+    with pytest.raises(ValueError, match="1 of 2 keys only in x"):
+        align.assert_aligned(a, a.limit(1), strict=True)
+    with pytest.raises(ValueError, match="1 positions"):
+        align.ids_identical(a, a.limit(1), "pos", strict=True)
+
+
+def test_scans_check_their_columns(spark, tmp_path):
+    spark.range(3).withColumn("cell_id", F.col("id").cast("int")).write.parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="lacks cell_type, donor_id"):
+        tables.read_cells(spark, str(tmp_path / "t"))
 
 
 def test_dense_and_sparse_agree(spark):
