@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import cut, pack, table, text_of
-from .near import BROADCAST_NODES, components, pick, star_edges, verified
+from .near import Shape, components, pick, star_edges, verified
 from .passages import chunks, column
 
 #: Characters of a shingle, and the similarity from which lines count as the same.
 CHARS, THRESHOLD = 5, 0.8
 #: Hashes in a band, and the share of pairs at the threshold that some band must find.
-BAND_ROWS, RECALL = 4, 0.998
+#: Six hashes, as with fewer unlike lines share so many bands that they chain into one giant group.
+BAND_ROWS, RECALL = 6, 0.998
+#: Lines (8 bytes each) that a task remembers so as not to hash them again.
+SEEN = 1_000_000
+#: Bytes of (document, line numbers) up to which the lines to fetch are broadcast.
+BROADCAST_BYTES = 32_000_000
 
 
 def line_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -32,16 +37,12 @@ def line_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[some], end[some], of[some], number[some]
 
 
-def byte_runs(buf: np.ndarray) -> tokens.Runs:
-    return tokens.Runs(tokens.BYTES[buf], tokens.BYTE)
-
-
-def line_nodes(runs: tokens.Runs, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def line_nodes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Names a line by 64 bits of hash of its bytes."""
-    return runs(start, end).view(np.int64)
+    return tokens.span_hashes(buf, start, end).view(np.int64)
 
 
-def line_shingles(buf: np.ndarray, runs: tokens.Runs, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def line_shingles(buf: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of k characters of each line, and offsets by line; lines of fewer characters are one run."""
     place = np.flatnonzero((buf & 0xC0) != 0x80)
     first, last = np.searchsorted(place, start), np.searchsorted(place, end)
@@ -49,10 +50,9 @@ def line_shingles(buf: np.ndarray, runs: tokens.Runs, start: np.ndarray, end: np
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     goff = np.r_[0, np.cumsum(count)]
     at = np.arange(goff[-1]) + np.repeat(first - goff[:-1], count)
-    whole, short = runs.every(k, np.r_[place, len(buf)]), np.flatnonzero((n < k) & (n > 0))
-    g = whole[np.minimum(at, len(whole) - 1)] if len(whole) else np.zeros(len(at), np.uint64)
-    g[goff[short]] = runs(start[short], end[short])
-    return g, goff
+    width = np.repeat(np.minimum(n, k), count)
+    place = np.r_[place, len(buf)]
+    return tokens.span_hashes(buf, place[at], place[at + width]), goff
 
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
@@ -68,21 +68,25 @@ def lines_of(rows: DataFrame) -> DataFrame:
             buf, off = pack(column(b, "text"))
             start, end, of, number = line_spans(buf, off)
             doc, rid = (np.asarray(column(b, c))[of] for c in ("doc", "rid"))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rid), pa.array(number.astype(np.int32)), pa.array(line_nodes(byte_runs(buf), start, end))], ["doc", "rid", "line", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rid), pa.array(number.astype(np.int32)), pa.array(line_nodes(buf, start, end))], ["doc", "rid", "line", "node"])
 
     return rows.select("doc", "rid", "text").mapInArrow(run, "doc long, rid long, line int, node long")
 
 
 def banded(k: int, bands: int):
-    """Nodes and band keys of the lines in batches of texts."""
+    """Nodes and band keys of the lines in batches of texts; of a line that a task has just seen only the first."""
 
     def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        seen = np.zeros(0, np.int64)
         for b in chunks(batches):
             buf, off = pack(column(b, "text"))
             start, end, _, _ = line_spans(buf, off)
-            if len(start):
-                runs = byte_runs(buf)
-                yield line_nodes(runs, start, end), tokens.band_keys(tokens.min_hashes(*line_shingles(buf, runs, start, end, k), bands * BAND_ROWS), BAND_ROWS)
+            node, first = np.unique(line_nodes(buf, start, end), return_index=True)
+            new = ~np.isin(node, seen)
+            node, start, end = node[new], start[first[new]], end[first[new]]
+            seen = np.concatenate([seen, node]) if len(seen) < SEEN else node
+            if len(node):
+                yield node, tokens.band_keys(tokens.min_hashes(*line_shingles(buf, start, end, k), bands * BAND_ROWS), BAND_ROWS)
 
     return produce
 
@@ -101,7 +105,7 @@ def line_texts(rows: DataFrame) -> DataFrame:
                 asked[own] = np.isin(number[own], np.array(d.as_py()))
             start, end = start[asked], end[asked]
             raw = pa.array([buf[s:e].tobytes() for s, e in zip(start, end)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(line_nodes(byte_runs(buf), start, end)), raw], ["node", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(line_nodes(buf, start, end)), raw], ["node", "raw"])
 
     return rows.select("text", "lines").mapInArrow(run, "node long, raw binary")
 
@@ -111,7 +115,7 @@ def shingle(k: int):
 
     def run(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         buf, off = pack(raw)
-        return line_shingles(buf, byte_runs(buf), off[:-1], off[1:], k)
+        return line_shingles(buf, off[:-1], off[1:], k)
 
     return run
 
@@ -126,11 +130,11 @@ def removed_lines(rows: DataFrame, k: int = CHARS, threshold: float = THRESHOLD)
 
     # the first place of a line lends its text
     def fetch(wanted: DataFrame) -> DataFrame:
-        at = pick(nodes, wanted, "node").select("first.*").groupBy("doc", "rid").agg(F.collect_set("line").alias("lines"))
-        few = at.count() <= BROADCAST_NODES
-        return line_texts(rows.join(F.broadcast(at) if few else at, ["doc", "rid"]))
+        at = cut(pick(nodes, wanted, "node").select("first.*").groupBy("doc", "rid").agg(F.collect_set("line").alias("lines")))
+        held = at.agg(F.coalesce(F.sum(F.lit(40) + 8 * F.size("lines")), F.lit(0))).first()[0]
+        return line_texts(rows.join(F.broadcast(at) if held <= BROADCAST_BYTES else at, ["doc", "rid"]))
 
-    found = verified(edges, fetch, shingle(k), threshold)
+    found = verified(edges, fetch, Shape(shingle(k), bands, BAND_ROWS), threshold)
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = nodes.join(roots, "node", "left").where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first", "n")
     groups = named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1").select("root", "kept")
@@ -147,19 +151,20 @@ def dedup(docs: DataFrame, k: int = CHARS, threshold: float = THRESHOLD) -> Data
     more (a shorter line is one shingle, so only its copies match); of the lines that links
     connect only the first, by doc_id (null first) and number, is kept, wherever the
     others stand.  Rows that are equal in doc_id and text share one decision.  Null and
-    empty texts have no lines and keep an empty text.
+    empty texts have no lines and keep an empty text.  Columns of ``docs`` that are called
+    as one of the four new ones raise ValueError, so nothing is overwritten.
     """
-    rows = numbered_rows(docs)
-    gone = removed_lines(rows, k, threshold).select(F.col("doc").alias("_doc"), F.col("rid").alias("_rid"), F.col("lines").alias("_gone"))
-    own = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_rid": F.xxhash64(text_of())})
-    out = own.join(gone, ["_doc", "_rid"], "left")
-    none = F.coalesce("_gone", F.array().cast("array<int>"))
-    left = F.filter(F.transform(F.split(text_of(), "\n"), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    return (
-        out.withColumn("kept", F.when(F.col("_gone").isNull(), text_of()).otherwise(F.array_join(left, "\n")))
-        .withColumn("n_lines", F.size(F.split(text_of(), "\n")).cast("long"))
-        .withColumn("removed", none).withColumn("n_removed", F.size("removed").cast("long"))
-        .drop("_doc", "_rid", "_gone")
+    if clash := sorted({"n_lines", "n_removed", "removed", "kept"} & set(docs.columns)):
+        raise ValueError(f"the table already has {', '.join(clash)}")
+    gone = removed_lines(numbered_rows(docs), k, threshold).select(F.struct("doc", "rid").alias("at"), "lines")
+    own = docs.select(F.struct("*").alias("row"), F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text_of()).alias("rid")).alias("at"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    parts = F.split(text, "\n")
+    left = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("lines", i), x)), lambda x: x.isNotNull())
+    removed = F.coalesce("lines", F.array().cast("array<int>"))
+    return own.join(gone, "at", "left").select(
+        "row.*", F.size(parts).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"),
+        F.when(F.col("lines").isNull(), text).otherwise(F.array_join(left, "\n")).alias("kept"),
     )
 
 

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from . import tokens
+from .common import cut, discard, saved
 
 #: Members of a candidate group that are compared in one task with as many others.
 TILE = 128
 #: (key, node) pairs that a task of the band exchange holds, about.
 BUCKET_PAIRS = 500_000
 #: Nodes up to this many (8 bytes each) are broadcast to pick their texts; more are shuffled.
-BROADCAST_NODES = 1_000_000
+BROADCAST_NODES = 500_000
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -79,24 +81,39 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node with an edge; root is the least node that it is connected to.
 
     Large-star and small-star steps in turn: each links the neighbours of a node to the
-    least of them, until nothing changes.  Minima are aggregated before they are joined,
-    and each round is written to the shared folder, so no plan and no group grows.
+    least of them, until nothing changes.  Minima are aggregated before they are joined:
+    by a broadcast where there are at most BROADCAST_NODES, else as a written table, so
+    that Spark can split a star's many neighbours.  Each round is written to the shared
+    folder and the one before deleted, so no plan and no group grows.  Raises
+    RuntimeError if ``rounds`` do not suffice (they shrink paths by a constant factor each).
     """
+    spark, drop = edges.sparkSession, []
     swap = lambda e: e.select(F.col("b").alias("a"), F.col("a").alias("b"))
     least = lambda e: e.groupBy("a").agg(F.min("b").alias("m"))
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, path = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(now)
-    for _ in range(rounds):
+
+    def hop(e: DataFrame, low: DataFrame) -> DataFrame:
+        if 2 * seen[0] > BROADCAST_NODES:
+            low, where = saved(low, "least")
+            drop.append(where)
+            return e.join(low, "a")
+        return e.join(F.broadcast(low), "a")
+
+    for k in range(rounds + 1):
         if not seen[0]:
             break
+        if k == rounds:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
         both = now.unionByName(swap(now))
-        low = least(both).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = hop(both, least(both).select("a", F.least("a", "m").alias("m"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = least(large)
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = cut(small)
-        release(now.sparkSession)
+        small = hop(large, low).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        last = path
+        now, path = saved(small, "edges")
+        discard(spark, last, *drop)
+        drop.clear()
         if (new := mark(now)) == seen:
             break
         seen = new
@@ -145,52 +162,107 @@ def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shingle: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], threshold: float) -> DataFrame:
-    """Rows (node, other, links): exact links among the nodes that candidate edges connect.
+@dataclass(frozen=True)
+class Shape:
+    """How texts become shingles (hashes and offsets of an array of texts), and these band keys."""
+
+    shingle: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+    bands: int
+    rows: int
+
+
+def linked(raw: pa.Array, node: np.ndarray, group: np.ndarray, tile: np.ndarray, across: bool, keys: np.ndarray | None, band: int, shape: Shape, threshold: float) -> Iterator[tuple]:
+    """(node, other, links) of one unit; see verified()."""
+    g, off = shape.shingle(raw)
+    order = np.lexsort((node, group))
+    cuts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
+    for s, e in zip(cuts, np.r_[cuts[1:], len(order)]):
+        own = order[s:e]
+        own = own[np.r_[True, node[own][1:] != node[own][:-1]]]
+        if len(own) < 2:
+            continue
+        held = [np.unique(g[off[i] : off[i + 1]]) for i in own]
+        n = np.array([len(x) for x in held], float)
+        common = _common(held)
+        link = common >= threshold * (n[:, None] + n[None, :] - common) - 1e-9
+        if across:
+            link &= tile[own][:, None] != tile[own][None, :]
+        np.fill_diagonal(link, False)
+        if keys is not None:  # a pair counts in the first band that it shares
+            for i in np.flatnonzero(link.any(1)):
+                at = np.flatnonzero(link[i])
+                link[i, at] = ~(keys[own[i], :band] == keys[own[at], :band]).any(1)
+        ids = node[own]
+        yield from ((int(ids[i]), None, int(c)) for i, c in enumerate(link.sum(1)) if c)
+        i, j = np.nonzero(np.triu(link))
+        yield from ((int(ids[a]), int(ids[b]), 0) for a, b in _forest(len(own), np.column_stack([i, j])))
+
 
-    ``fetch`` gives (node, raw: its text in UTF-8) for the nodes asked for, ``shingle`` the hashes
-    of an array of texts and their offsets; a text is cut into shingles where it is compared.
-    Every two members of a candidate group are compared: a group is cut into tiles of
-    about TILE members by a hash, and each pair of tiles is one unit of work, so no task
-    holds a large group and no pair becomes a row.  A row with links > 0 counts links of a
-    node within one unit; a row with ``other`` is an edge of a spanning forest.
+def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, threshold: float) -> DataFrame:
+    """Rows (node, other, links): exact links among the nodes that share a band key.
+
+    ``fetch`` gives (node, raw: its text in UTF-8) for the nodes asked for; a text is cut into
+    shingles where it is compared.  Candidates are grouped by the components of their edges.
+    Members of a group of up to TILE are compared in one unit.  A larger group is
+    compared in the way that sends fewer texts: whole, cut into tiles of about TILE members, each pair of
+    tiles a unit; or (a group that unlike nodes have chained together) by its buckets of
+    equal band keys, each cut into tiles in the same way, a pair being counted in the first
+    band that it shares.  No task holds a large group, no pair becomes a row, and only
+    texts linked by nothing but a chain go uncompared.  A row with links > 0 counts links of a node
+    within one unit; a row with ``other`` is an edge of a spanning forest.
     """
     groups = cut(components(edges).select("node", F.col("root").alias("group")))
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
-    tiled = groups.join(sizes.select("group", F.ceil(F.col("n") / TILE).alias("tiles")), "group").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    total = tiled.count()
-    unit = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("group"), F.lit(max(1, total // 256)))).otherwise(F.col("group"))
-    have = fetch(groups.select("node"))
-    rows = tiled.join(have, "node").withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int"))))
-    rows = rows.select(unit.alias("unit"), F.least("tile", "j").alias("lo"), F.greatest("tile", "j").alias("hi"), (F.col("tiles") > 1).alias("big"), "group", "node", "tile", "raw")
+    tiled = groups.join(sizes.select("group", F.ceil(F.col("n") / TILE).alias("tiles")), "group")
+    total, most = tiled.agg(F.count("*"), F.coalesce(F.max("tiles"), F.lit(0))).first()
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile")
+    none = F.lit(None).cast("array<long>").alias("keys")
+    small = tiled.where("tiles = 1").join(fetch(groups if most <= 1 else tiled.where("tiles = 1").select("node")), "node").select(
+        F.pmod(F.xxhash64("group"), F.lit(max(1, total // 256))).alias("unit"), F.lit(-1).alias("band"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "group", "node", F.lit(0).alias("tile"), "raw", none
+    )
+    rows = small
+    if most > 1:
+        keyed = with_keys(fetch(tiled.where("tiles > 1").select("node")), shape)
+        many = cut(tiled.where("tiles > 1").join(keyed, "node"))
+        member = many.select("group", "node", "tiles", F.posexplode("keys").alias("band", "key"))
+        bucket = member.groupBy("group", "band", "key").agg(F.count("*").alias("n")).where("n > 1").select("group", "band", "key", F.ceil(F.col("n") / TILE).alias("cuts"), "n")
+        cost = bucket.groupBy("group").agg(F.sum(F.col("n") * F.col("cuts")).alias("by_bucket"))
+        whole = many.groupBy("group").agg(F.sum("tiles").alias("by_tile")).join(cost, "group", "left")
+        way = cut(whole.select("group", (F.coalesce("by_bucket", F.lit(0)) < F.col("by_tile")).alias("buckets")))
+        dealt = many.join(way, "group")
+        ends = lambda df: df.withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))).withColumn("lo", F.least("tile", "j")).withColumn("hi", F.greatest("tile", "j"))
+        columns = ("unit", "band", "lo", "hi", "group", "node", "tile", "raw", "keys")
+        by_tile = ends(dealt.where("not buckets").select("*", own)).withColumns({"unit": F.col("group"), "band": F.lit(-2)}).withColumn("keys", none).select(*columns)
+        spread = dealt.where("buckets").select("group", "node", "raw", "keys", F.posexplode("keys").alias("band", "key"))
+        spread = spread.join(bucket.select("group", "band", "key", F.col("cuts").alias("tiles")), ["group", "band", "key"])
+        by_bucket = ends(spread.select("*", own)).withColumn("unit", F.xxhash64("group", "key")).select(*columns)
+        rows = small.unionByName(by_tile).unionByName(by_bucket)
 
     def check(t: pa.Table) -> pa.Table:
         group, node, tile = (np.asarray(t.column(c)) for c in ("group", "node", "tile"))
-        lo, hi, raw = t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), t.column("raw").combine_chunks()
-        out: list[tuple] = []
-        g, off = shingle(raw)
-        order = np.lexsort((node, group))
-        cuts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
-        for s, e in zip(cuts, np.r_[cuts[1:], len(order)]):
-            own = order[s:e]
-            own = own[np.r_[True, node[own][1:] != node[own][:-1]]]
-            if len(own) < 2:
-                continue
-            held = [np.unique(g[off[i] : off[i + 1]]) for i in own]
-            n = np.array([len(x) for x in held], float)
-            common = _common(held)
-            link = common >= threshold * (n[:, None] + n[None, :] - common) - 1e-9
-            if lo != hi:
-                link &= tile[own][:, None] != tile[own][None, :]
-            np.fill_diagonal(link, False)
-            ids = node[own]
-            out += [(int(ids[i]), None, int(c)) for i, c in enumerate(link.sum(1)) if c]
-            i, j = np.nonzero(np.triu(link))
-            out += [(int(ids[a]), int(ids[b]), 0) for a, b in _forest(len(own), np.column_stack([i, j]))]
+        band, across = t.column("band")[0].as_py(), t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        keys = None
+        if band >= 0:
+            keys = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(len(node), shape.bands)
+            group = keys[:, band]
+        out = list(linked(t.column("raw").combine_chunks(), node, group, tile, across, keys, band, shape, threshold))
         cols = list(zip(*out)) if out else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "other", "links"])
 
-    return cut(rows.groupBy("big", "unit", "lo", "hi").applyInArrow(check, "node long, other long, links long"))
+    return cut(rows.groupBy("unit", "band", "lo", "hi").applyInArrow(check, "node long, other long, links long"))
+
+
+def with_keys(have: DataFrame, shape: Shape) -> DataFrame:
+    """(node, raw) with the band keys of each text; texts have a shingle at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys = tokens.band_keys(tokens.min_hashes(*shape.shingle(b.column(1)), shape.bands * shape.rows), shape.rows).view(np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, shape.bands, dtype=np.int32), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["node", "raw", "keys"])
+
+    return have.select("node", "raw").mapInArrow(run, "node long, raw binary, keys array<long>")
 
 
 def pick(rows: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import cut, pack, table, text_of
-from .near import components, pick, star_edges, verified
+from .near import Shape, components, pick, star_edges, verified
 from .passages import chunks, column
 
 WORDS, THRESHOLD = 5, 0.8
@@ -103,7 +103,7 @@ def classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> Da
         wanted = pick(known.select("node", "doc", "rid"), nodes, "node").groupBy("node").agg(F.min(F.struct("doc", "rid")).alias("first"))
         return named_texts(pick(keyed(docs).select("doc", "rid", "text"), wanted.select("first.*"), ["doc", "rid"]), k)
 
-    found = verified(edges, fetch, lambda raw: tokens.shingles(*tokens.words(*pack(raw)), k), threshold)
+    found = verified(edges, fetch, Shape(lambda raw: tokens.shingles(*tokens.words(*pack(raw)), k), bands, BAND_ROWS), threshold)
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     copies = known.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"))

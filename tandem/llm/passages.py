@@ -1,8 +1,8 @@
-"""Substring dedup on words: winnowed anchors are joined, extended, and maximal repeats removed."""
+"""Substring dedup on words: documents meet at winnowed anchors, matches grow both ways, repeats go."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,33 +10,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, pack, table, text_of
-from .exchange import Arrays, attach, entries_of, load, meet
+from .common import pack, table, text_of
+from .exchange import SHORT_BITS, Arrays, attach, bits_for, entries_of, load, meet
 
 #: Words of a window and of the anchor inside it.
 WINDOW, ANCHOR = 20, 10
+#: Bytes of a word's hash that go along with an anchor, to grow a match by that word.
+CELL = 5
 #: Bytes of text that are hashed at a time.
 CHUNK = 600_000
-#: Copies up to this many ids are left out by a broadcast; more by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: An anchor is crowded if it occurs more than CROWD times and makes up more than one in
+#: CROWDED_KEYS of all occurrences; so there are at most CROWDED_KEYS such anchors (8 bytes each).
+CROWD, CROWDED_KEYS = 2000, 4_000_000
+TOP = ~np.uint64(0)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc, rid, text, copy and doc_id.
+    """doc_id, doc, rid and text.
 
     doc orders documents (null first); rid tells rows apart that share a doc_id and is 0
-    where ids are unique.  copy marks a row whose whole text an earlier document has.
+    where ids are unique.
     """
-    base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), text_of().alias("text"))
-    slim = cut(base.select("doc", F.md5("text").alias("md5")))
-    rows, ids = slim.agg(F.count("*"), F.countDistinct("doc")).first()
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), text_of().alias("text"))
+    rows, ids = base.agg(F.count("*"), F.countDistinct("doc")).first()
     rid = F.lit(0).cast("long") if rows == ids else F.pmod(F.xxhash64("text"), F.lit(2**32))
-    first = slim.groupBy("md5").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("md5", "first")
-    copies = cut(slim.join(first, "md5").where(F.col("doc") > F.col("first")).select("doc", "md5").distinct())
-    n = copies.count()
-    copies = copies.withColumn("copy", F.lit(True))
-    known = base.withColumn("md5", F.md5("text")).join(F.broadcast(copies) if n <= BROADCAST_IDS else copies, ["doc", "md5"], "left")
-    return known.select("doc_id", "doc", rid.alias("rid"), F.coalesce("copy", F.lit(False)).alias("copy"), "text")
+    return base.select("doc_id", "doc", rid.alias("rid"), "text")
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +50,10 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = e
 
 
+def column(b: pa.RecordBatch, name: str) -> pa.Array:
+    return b.column(b.schema.get_field_index(name))
+
+
 def slide(x: np.ndarray, w: int, least: bool = True) -> np.ndarray:
     """Minimum (or maximum) of each w consecutive values, by doubling."""
     f, span = (np.minimum if least else np.maximum), 1
@@ -69,21 +71,18 @@ class Seeds:
     that would cross the end of its text is not valid.
     """
 
-    def __init__(self, tok: np.ndarray, off: np.ndarray, window: int, anchor: int) -> None:
+    def __init__(self, whole: np.ndarray, off: np.ndarray, window: int, anchor: int) -> None:
         self.off, self.width = off, window - anchor + 1
-        n, total = np.diff(off), len(tok)
+        n, total = np.diff(off), int(off[-1])
         self.of = np.repeat(np.arange(len(n)), n)
         left = off[self.of + 1] - np.arange(total)  # tokens from here to the end of the text
         self.valid = left >= window
-        self.runs = tokens.Runs(tok, tokens.TOKEN)
-        whole = self.runs.every(anchor)
-        self.hash = np.full(total, ~np.uint64(0))
-        self.hash[: len(whole)] = np.where(left[: len(whole)] >= anchor, whole, self.hash[: len(whole)])
+        self.hash = np.full(total, TOP)
+        self.hash[: len(whole)] = np.where(left[: len(whole)] >= anchor, whole, TOP)
         if not self.valid.any():
-            self.low, self.at = np.full(total, ~np.uint64(0)), np.zeros(0, np.int64)
+            self.low, self.at = np.full(total, TOP), np.zeros(0, np.int64)
             return
-        pad = np.full(self.width - 1, ~np.uint64(0))
-        self.low = slide(np.r_[self.hash, pad], self.width)
+        self.low = slide(np.r_[self.hash, np.full(self.width - 1, TOP)], self.width)
         shown = np.where(self.valid, self.low, np.uint64(0))
         high = slide(np.r_[np.zeros(self.width - 1, np.uint64), shown], self.width, least=False)
         # a place is an anchor if it is the least of the window with the largest least around it
@@ -103,6 +102,127 @@ class Seeds:
             mark[self.at[first[i] + load([data[int(i)].as_py()])["ordinal"].astype(np.int64)]] = True
         return mark
 
+    def owned(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of windows whose least hash is that of a marked anchor, and the first anchor with it."""
+        if not len(self.at):
+            return self.at, self.at
+        shown = slide(np.r_[np.where(marked, self.hash, TOP), np.full(self.width - 1, TOP)], self.width)
+        start = np.flatnonzero(self.valid & (shown == self.low) & (shown != TOP))
+        at = np.searchsorted(self.at, start)
+        while len(wrong := np.flatnonzero(self.hash[self.at[at]] != self.low[start])):
+            at[wrong] += 1
+        return start, self.at[at]
+
+
+class Words:
+    """The words of an array of texts as seeds and as what stands around them."""
+
+    window, anchor, cell = WINDOW, ANCHOR, CELL
+
+    def __init__(self, text: pa.Array) -> None:
+        self.tok, off = tokens.words(*pack(text))
+        self.seeds = Seeds(tokens.runs(self.tok, self.anchor), off, self.window, self.anchor)
+
+    def around(self, at: np.ndarray, step: int, n: np.ndarray) -> np.ndarray:
+        """Cells of the n words from each place on, going by ``step``; zero beyond."""
+        side = self.window - self.anchor
+        cells = self.tok.view(np.uint8).reshape(-1, 8)[:, 8 - self.cell :]
+        steps = np.arange(side)
+        place = np.where(steps < n[:, None], at[:, None] + step * steps, 0)
+        return np.where((steps < n[:, None])[:, :, None], cells[place], 0).astype(np.uint8).reshape(len(at), side * self.cell)
+
+    def whole(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of the window at each start, and another as bytes to compare."""
+        other = tokens.runs(tokens.mix(self.tok ^ np.uint64(tokens.LENGTH)), self.window)[start]
+        return tokens.runs(self.tok, self.window)[start], np.pad(np.ascontiguousarray(other).view(np.uint8).reshape(-1, 8), ((0, 0), (0, -8 % self.cell)))
+
+
+def dense(x: np.ndarray) -> np.ndarray:
+    """Numbers equal values alike, from 0."""
+    return np.unique(x, return_inverse=True)[1].astype(np.uint64)
+
+
+def grown(group: np.ndarray, cells: np.ndarray, size: np.ndarray, cell: int = CELL) -> list[np.ndarray]:
+    """Classes of entries that still match when 0, 1, 2, ... words next to their anchors are looked at.
+
+    ``group`` tells anchors apart.  A match grows by one word at a time: entries that are
+    in one class stay together if their next words agree.
+    """
+    now = dense(group)
+    out = [now]
+    for k in range(0, cells.shape[1], cell):
+        wide = np.zeros((len(cells), 8), np.uint8)
+        wide[:, :cell] = cells[:, k : k + cell]
+        out.append(now := dense((now << np.uint64(8 * cell)) | wide.view("<u8")[:, 0]))
+    return out
+
+
+def later_than_first(group: np.ndarray, doc: np.ndarray, at: np.ndarray, within: bool) -> np.ndarray:
+    """Entries that another of their group precedes: in a smaller document or, if ``within``, earlier in the same one."""
+    order = np.lexsort((at, doc, group))
+    head = np.r_[True, group[order][1:] != group[order][:-1]]
+    of = np.cumsum(head) - 1
+    d, a = doc[order], at[order]
+    later = np.zeros(len(group), bool)
+    later[order] = (d != d[head][of]) | ((a != a[head][of]) & within)
+    return later
+
+
+def intervals(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, first and last columns of the runs of true values in a boolean matrix."""
+    edge = np.diff(np.pad(gone.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
+
+
+NONE = {"doc": np.zeros(0, np.int64), "rid": np.zeros(0, np.int64), "first": np.zeros(0, np.int64), "count": np.zeros(0, np.int64)}
+
+
+def extended(part: Arrays, side: int, classes: Callable, within: bool) -> tuple[np.ndarray, Arrays]:
+    """Which entries hold a first window, and replies (doc, rid, first, count of starts) for the repeats.
+
+    Entries: key, doc, rid, at (place of the anchor), low and high (how far before the anchor
+    the windows that it owns start), left (backwards) and right tokens.  ``classes(group,
+    tokens, sizes)`` tells how far matches grow to one side.  A window that starts o tokens
+    before the anchor is equal in two places if they match over o tokens to the left
+    and over the rest of the window to the right.  Windows next to each other make up one repeat.
+    """
+    group = dense(part["key"])
+    left, right = classes(group, part["left"], part["n_left"].astype(np.int64)), classes(group, part["right"], part["n_right"].astype(np.int64))
+    doc, place, low, high = (part[k].astype(np.int64) for k in ("doc", "at", "low", "high"))
+    gone, useful = np.zeros((len(doc), side + 1), bool), np.zeros(len(doc), bool)
+    for o in range(side + 1):
+        at = np.flatnonzero((low <= o) & (o <= high))
+        if len(at):
+            match = (left[o][at].astype(np.uint64) << np.uint64(32)) | right[side - o][at].astype(np.uint64)
+            later = later_than_first(match, doc[at], place[at], within)
+            gone[at[later], side - o] = True  # columns in the order of starts
+            useful[at[~later]] = True
+    row, first, last = intervals(gone)
+    return useful, {"doc": part["doc"][row], "rid": part["rid"][row], "first": place[row] - side + first, "count": last - first + 1}
+
+
+def settled(part: Arrays, last: bool, frequent: int, compare: Callable[[Arrays], tuple[np.ndarray, Arrays]]) -> tuple[Arrays, Arrays]:
+    """One side of an exchange: entries whose key is there ``frequent`` times or more are compared; those that hold a first window go on."""
+    _, which, count = np.unique(part["key"], return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count[which] >= (2 if last else frequent))
+    if not len(often):
+        return ({} if last else part), NONE
+    useful, reply = compare({k: v[often] for k, v in part.items()})
+    if last:
+        return {}, reply
+    keep = np.ones(len(which), bool)
+    keep[often[~useful]] = False
+    return {k: v[keep] for k, v in part.items()}, reply
+
+
+def same_windows(part: Arrays, classes: Callable, within: bool) -> tuple[np.ndarray, Arrays]:
+    """extended() for windows of crowded anchors: key of the whole window, first (its start), whole (its tokens)."""
+    size = np.full(len(part["key"]), part["whole"].shape[1], np.int64)
+    match = classes(dense(part["key"]), part["whole"], size)[-1]
+    later = later_than_first(match, part["doc"].astype(np.int64), part["first"].astype(np.int64), within)
+    return ~later, {"doc": part["doc"][later], "rid": part["rid"][later], "first": part["first"][later], "count": np.ones(int(later.sum()), np.int64)}
+
 
 def repeated(limit: float):
     """Entries whose key is there twice or more are told so; one of each key goes on, with their count.
@@ -125,94 +245,108 @@ def repeated(limit: float):
     return settle
 
 
-def later(part: Arrays, last: bool) -> tuple[Arrays, Arrays]:
-    """Of equal windows all but the least (doc, start) are told so; the least goes on."""
-    order = np.lexsort((part["start"], part["doc"], part["check"], part["key"]))
-    part = {k: v[order] for k, v in part.items()}
-    head = np.r_[True, (part["key"][1:] != part["key"][:-1]) | (part["check"][1:] != part["check"][:-1])]
-    group = np.cumsum(head) - 1
-    first = {k: part[k][head][group] for k in ("doc", "start")}
-    told = (part["doc"] != first["doc"]) | (part["start"] != first["start"])
-    return ({} if last else {k: v[head] for k, v in part.items()}), {k: part[k][told] for k in ("doc", "rid", "start")}
-
-
-def column(b: pa.RecordBatch, name: str) -> pa.Array:
-    return b.column(b.schema.get_field_index(name))
-
-
-def find_seeds(rows: DataFrame, tokenise, window: int, anchor: int, entries: float, limit: float = float("inf")) -> DataFrame:
-    """Replies (doc, rid, ordinals) of the anchors that occur twice or more in all texts; keys of more than ``limit`` are noted."""
-
-    def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[Arrays]:
-        for b in chunks(batches):
-            seeds = Seeds(*tokenise(*pack(column(b, "text"))), window, anchor)
-            of = seeds.of[seeds.at]
-            yield "seed", {"key": seeds.hash[seeds.at], "doc": np.asarray(column(b, "doc"))[of], "rid": np.asarray(column(b, "rid"))[of], "ordinal": seeds.ordinals(), "count": np.ones(len(of), np.int64)}
-
-    return meet(rows, produce, {"seed": repeated(limit)}, entries, short=True)
-
-
-def later_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, rid, data: starts) of windows of words whose words also start earlier.
+def repeats(rows: DataFrame, cut_up: type, n_tokens: float, classes: Callable, within: bool, frequent: int, bucket: int) -> DataFrame:
+    """Replies (doc, rid, data: first and count of starts) of windows that also start earlier.
 
-    Seeds: anchors that occur twice or more.  Extension: each window around such an anchor
-    meets its equals, by 96 bits of hash; all but the earliest are reported.  Windows
-    that overlap make up the maximal repeats.
+    Seeds are anchors that occur twice or more.  Their occurrences meet by key, each with
+    the tokens around it that its windows cover, and matches grow both ways (extended()).
+    The occurrences of a crowded anchor would meet in one task, so there its windows
+    themselves are the seeds; a task sends only one of equal ones.
     """
-    rows = docs.where(~F.col("copy")).select("doc", "rid", "text")
-    words = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / 6
-    seeds = find_seeds(rows, tokens.words, window, anchor, words / 6)
+    rows = rows.select("doc", "rid", "text")
+    side = cut_up.window - cut_up.anchor
+    anchors = n_tokens * 2 / (side + 2)
 
-    def produce(batches: Iterator[pa.RecordBatch]) -> Iterator[Arrays]:
+    def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Arrays]]:
         for b in chunks(batches):
-            s = Seeds(*tokens.words(*pack(column(b, "text"))), window, anchor)
-            mark = s.marked(column(b, "data"))
-            shown = slide(np.r_[np.where(mark, s.hash, ~np.uint64(0)), np.full(s.width - 1, ~np.uint64(0))], s.width) if len(s.hash) else s.hash
-            at = np.flatnonzero(s.valid & (shown == s.low) & (shown != ~np.uint64(0)))
-            key = s.runs(at, at + window)
-            other = s.runs(at + 1, at + window - 1)
-            yield "window", {"key": key, "check": (other >> np.uint64(32)).astype(np.uint32), "doc": np.asarray(column(b, "doc"))[s.of[at]], "rid": np.asarray(column(b, "rid"))[s.of[at]], "start": at - s.off[s.of[at]]}
+            s = cut_up(column(b, "text")).seeds
+            of = s.of[s.at]
+            yield "seed", {"key": s.hash[s.at], "doc": np.asarray(column(b, "doc"))[of], "rid": np.asarray(column(b, "rid"))[of], "ordinal": s.ordinals(), "count": np.ones(len(of), np.int64)}
 
-    near = attach(rows, seeds).where(F.col("data").isNotNull())
-    return meet(near, produce, {"window": later}, 6 * entries_of(seeds))
+    seeds = meet(rows, sow, {"seed": repeated(max(CROWD, anchors / CROWDED_KEYS))}, anchors, short=True)
+    notes = seeds.where("doc is null").select("data").toLocalIterator()  # CROWDED_KEYS at most
+    crowd = rows.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.uint64), *(load([r["data"]])["key"].astype(np.uint64) for r in notes)])))
+    lead = np.uint64(max(0, 64 - bits_for(anchors) - SHORT_BITS))
 
+    def crowded(keys: np.ndarray) -> np.ndarray:
+        k = crowd.value
+        keys = keys >> lead << lead
+        return k[np.minimum(np.searchsorted(k, keys), len(k) - 1)] == keys if len(k) else np.zeros(len(keys), bool)
 
-def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Arrays]]:
+        for b in chunks(batches):
+            text = cut_up(column(b, "text"))
+            s, doc, rid = text.seeds, np.asarray(column(b, "doc")), np.asarray(column(b, "rid"))
+            start, at = s.owned(s.marked(column(b, "data")))
+            many = crowded(s.hash[at])
+            if many.any():
+                one = start[many]
+                of, (key, whole) = s.of[one], text.whole(one)
+                yield "window", {"key": key, "doc": doc[of], "rid": rid[of], "first": one - s.off[of], "whole": whole}
+                start, at = start[~many], at[~many]
+            if not len(at):
+                continue
+            head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            p, of = at[head], s.of[at[head]]
+            high, low = p - start[head], p - start[np.r_[head[1:], len(at)] - 1]
+            n_left, n_right = np.minimum(high, p - s.off[of]), np.minimum(side - low, s.off[of + 1] - p - cut_up.anchor)
+            yield "anchor", {
+                "key": s.hash[p], "doc": doc[of], "rid": rid[of], "at": p - s.off[of], "low": low.astype(np.uint8), "high": high.astype(np.uint8),
+                "n_left": n_left.astype(np.uint8), "n_right": n_right.astype(np.uint8), "left": text.around(p - 1, -1, n_left), "right": text.around(p + cut_up.anchor, 1, n_right),
+            }
+
+    near = attach(rows, seeds.where("doc is not null")).where(F.col("data").isNotNull())
+    settle = {
+        "anchor": lambda part, last: settled(part, last, frequent, lambda x: extended(x, side, classes, within)),
+        "window": lambda part, last: settled(part, last, 2, lambda x: same_windows(x, classes, within)),
+    }
+    return meet(near, grow, settle, entries_of(seeds), bucket=bucket)
+
+
+def covered(data: pa.Scalar, n: int, window: int) -> np.ndarray:
+    """Which of n tokens the windows of a reply (or none) cover."""
+    gone = np.zeros(n + 1, np.int64)
+    if data.is_valid and n:
+        found = load([data.as_py()])
+        at, end = found["first"].astype(np.int64), found["first"].astype(np.int64) + found["count"].astype(np.int64) - 1 + window
+        np.add.at(gone, at[end <= n], 1)
+        np.add.at(gone, end[end <= n], -1)
+    return np.cumsum(gone)[:n] > 0
+
+
+def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, kept (the kept words joined by one space).
 
-    A word goes if a window of ``window`` words covers it whose words also start earlier:
-    in a document with a smaller doc_id, or at an earlier place of the same one.  Rows that
-    share a doc_id count as one document; a null doc_id comes first.  Texts with fewer
-    words than a window lose none; null and empty texts have none.
+    A word goes if a window of WINDOW words covers it whose words also start earlier:
+    in a document with a smaller doc_id, or at an earlier place of the same one.  n_spans
+    counts the maximal repeats that go.  Rows that share a doc_id count as one document; a
+    null doc_id comes first.  Texts with fewer words than a window lose none; null and empty
+    texts have none.
+
+    Words are compared by hashes: an anchor's by 64 bits, each word that a match grows by
+    its own CELL bytes, windows of crowded anchors by 128 bits.
     """
     rows = numbered(docs)
-    found = later_windows(rows, window, anchor)
+    n_words = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / 6
+    found = repeats(rows, Words, n_words, grown, True, 2, 100_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             buf, off = pack(column(b, "text"))
             start, end, woff = tokens.word_spans(buf, off)
-            data, copy = column(b, "data"), column(b, "copy")
+            data = column(b, "data")
             counts, texts = [], []
             for i in range(b.num_rows):
                 n = int(woff[i + 1] - woff[i])
-                gone = np.zeros(n + 1, np.int64)
-                if copy[i].as_py() and n >= window:
-                    gone[0], gone[n] = 1, -1
-                elif data[i].is_valid:
-                    at = np.unique(load([data[i].as_py()])["start"].astype(np.int64))
-                    at = at[at + window <= n]
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
-                gone = np.cumsum(gone)[:n] > 0
+                gone = covered(data[i], n, WINDOW)
                 keep = np.flatnonzero(~gone) + woff[i]
                 spans = int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]])) if n else 0
                 counts.append((n, int(gone.sum()), spans))
                 texts.append(b" ".join([buf[s:e].tobytes() for s, e in zip(start[keep], end[keep])]))
             cols = list(zip(*counts))
-            yield pa.RecordBatch.from_arrays([column(b, "key"), *(pa.array(c, pa.int64()) for c in cols), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), *(pa.array(c, pa.int64()) for c in cols), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "n_spans", "kept"])
 
-    return attach(rows.withColumn("key", F.col("doc_id").cast("long")), found).select("key", "copy", "text", "data").mapInArrow(run, "doc_id long, n_words long, n_removed long, n_spans long, kept string")
+    return attach(rows, found).select("doc_id", "text", "data").mapInArrow(run, "doc_id long, n_words long, n_removed long, n_spans long, kept string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

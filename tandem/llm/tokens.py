@@ -1,29 +1,23 @@
 """Vectorised hashing of words, characters and their runs over packed texts.
 
-A run's hash is a difference of running sums, sum(v[i] * P^i) modulo 2^64, brought back
-to its start by the inverse power, so the cost does not depend on the run's length.
+Bytes are hashed in blocks of eight, each mixed into what came before by a bijection, and
+runs of tokens by joining the hashes of their halves, so there is no algebra between
+positions that unlike inputs could share.  Equal hashes name equal runs but for chance
+(2^-64 for two given runs); what is removed is compared by its words or bytes where it meets.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
-#: Odd multipliers for bytes and for tokens, and their inverses modulo 2^64.
-BYTE, TOKEN = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Multiplies the length of a run into its hash.
-LENGTH = 0xA0761D6478BD642F
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 ... base^(n-1) modulo 2^64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base % 2**64, U)
-        steps[0] = 1
-        have = _powers[base] = np.cumprod(steps)
-    return have[:n]
+#: Odd multipliers, and what the length of a run is mixed in with (fixed values).
+BYTE, TOKEN, LENGTH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Runs of more bytes are hashed one by one with a cryptographic hash.
+LONG_RUN = 2048
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,32 +27,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Runs:
-    """Hashes of runs [start, end) of a sequence of 64-bit values."""
-
-    def __init__(self, values: np.ndarray, base: int) -> None:
-        self.sums = np.zeros(len(values) + 1, U)
-        np.cumsum(values * powers(base, len(values)), out=self.sums[1:])
-        self.back = powers(pow(base, -1, 2**64), len(values) + 1)
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U) * U(LENGTH))
-
-    def every(self, k: int, bounds: np.ndarray | None = None) -> np.ndarray:
-        """The same for all runs of k neighbours, values or pieces between bounds, without a gather for each."""
-        if bounds is None:
-            h = self.sums[k:] - self.sums[:-k]
-            h *= self.back[: len(h)]
-            h += U(k * LENGTH % 2**64)
-        else:
-            at = self.sums[bounds]
-            h = at[k:] - at[:-k]
-            h *= self.back[bounds[:-k]]
-            h += (bounds[k:] - bounds[:-k]).astype(U) * U(LENGTH)
-        return mix(h)
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each start to its end."""
+    start, size = np.asarray(start, np.int64), np.asarray(end, np.int64) - start
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    h = mix(size.astype(U) * U(LENGTH) + U(BYTE))
+    if not len(h):
+        return h
+    longest = int(size.max())
+    if longest <= 8:
+        return mix((h ^ (eight[start] & _LOW[size])) * U(TOKEN))
+    big = np.flatnonzero(size > LONG_RUN) if longest > LONG_RUN else ()
+    live = np.flatnonzero(size <= LONG_RUN) if len(big) else np.arange(len(h))
+    at, left = start[live], size[live]
+    while len(live):
+        h[live] = mix((h[live] ^ (eight[at] & _LOW[np.minimum(left, 8)])) * U(TOKEN))
+        go = np.flatnonzero(left > 8)
+        live, at, left = live[go], at[go] + 8, left[go] - 8
+    for i in big:
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : start[i] + size[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def byte_runs(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k bytes, k a multiple of eight."""
+    if len(buf) < k:
+        return np.zeros(0, U)
+    eight = np.ndarray((len(buf) - 7,), "<u8", np.ascontiguousarray(buf), strides=(1,))
+    n, h = len(buf) - k + 1, U(k * LENGTH % 2**64)
+    for j in range(0, k, 8):
+        h = mix((h ^ eight[j : j + n]) * U(TOKEN))
+    return h
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in this order."""
+    return mix((a ^ U(LENGTH)) * U(BYTE) + mix(b ^ (a >> U(32))))
+
+
+def runs(tok: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k neighbouring tokens, by joining runs of half the length."""
+    h, span = tok, 1
+    while span * 2 <= k and span < len(tok):
+        h, span = joined(h[:-span], h[span:]), span * 2
+    if len(tok) < k:
+        return np.zeros(0, U)
+    return joined(h[: len(h) - (k - span)], h[k - span :]) if k > span else h
 
 
-BYTES = mix(np.arange(1, 257, dtype=U) * U(0x632BE59BD9B4E019))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -76,14 +94,14 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word, and offsets by text."""
     start, end, woff = word_spans(buf, off)
-    return Runs(BYTES[buf], BYTE)(start, end), woff
+    return span_hashes(buf, start, end), woff
 
 
 def chars(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each code point, and offsets by text."""
     start = np.flatnonzero((buf & 0xC0) != 0x80)
     end = np.r_[start[1:], len(buf)] if len(start) else start
-    return Runs(BYTES[buf], BYTE)(start, end), np.searchsorted(start, off)
+    return span_hashes(buf, start, end), np.searchsorted(start, off)
 
 
 def shingles(tok: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +110,15 @@ def shingles(tok: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     goff = np.r_[0, np.cumsum(count)]
     of = np.repeat(np.arange(len(n)), count)
-    runs, start = Runs(tok, TOKEN), np.arange(goff[-1]) + (off[:-1] - goff[:-1])[of]
-    whole, short = runs.every(k), np.flatnonzero((n < k) & (n > 0))
+    start = np.arange(goff[-1]) + (off[:-1] - goff[:-1])[of]
+    whole, short = runs(tok, k), np.flatnonzero((n < k) & (n > 0))
     g = whole[np.minimum(start, len(whole) - 1)] if len(whole) else np.zeros(len(start), U)
-    g[goff[short]] = runs(off[short], off[short + 1])
+    if len(short):
+        h = n[short].astype(U) * U(LENGTH)
+        for j in range(k - 1):
+            more = np.flatnonzero(n[short] > j)
+            h[more] = joined(h[more], tok[off[:-1][short[more]] + j])
+        g[goff[short]] = h
     return g, goff
 
 

@@ -62,7 +62,7 @@ def test_lines_equal_brute_force(docs, rows):
             if re.search(WORD, x):
                 places[x].append((i, n))
     lines = sorted(places, key=lambda x: min(places[x]))
-    sets = [frozenset(x[j : j + 8] for j in range(max(1, len(x) - 7))) for x in lines]
+    sets = [frozenset(x[j : j + 5] for j in range(max(1, len(x) - 4))) for x in lines]
     groups = Sets(range(len(lines)))
     for a, b in itertools.combinations(range(len(lines)), 2):
         if similar(sets[a], sets[b]):
@@ -76,10 +76,12 @@ def test_lines_equal_brute_force(docs, rows):
             if (i, n) != first[groups.top(k)]:
                 gone[i].add(n)
     texts = {i: t or "" for i, t, _ in rows}
-    got = fuzzy_lines.dedup(docs.select("doc_id", "text", "lang", "key", "data")).collect()
-    assert len(got) == len(rows)
+    with pytest.raises(ValueError, match="already has kept"):
+        fuzzy_lines.dedup(docs)
+    got = fuzzy_lines.dedup(docs.drop("kept")).collect()
+    assert len(got) == len(rows) and {r["copies_of"] for r in got} == {"x"}
     for r in got:
-        assert set(r.removed) == gone[r.doc_id]
+        assert set(r.removed) == gone[r.doc_id] and r.n_removed == len(gone[r.doc_id]) and r.n_lines == len(texts[r.doc_id].split("\n"))
         assert r["kept"] == "\n".join(x for n, x in enumerate(texts[r.doc_id].split("\n")) if n not in gone[r.doc_id])
 
 
@@ -141,6 +143,82 @@ def test_large_group_is_cut_into_tiles(spark, monkeypatch):
     assert {r.class_id for r in got} == {0}
 
 
+def test_chained_group_is_compared_by_buckets(spark, monkeypatch):
+    """Texts that each share a band or so with a few others, in one component: the same links as all pairs give."""
+    monkeypatch.setattr(near, "TILE", 2)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        w = base[1 + i // 2 :] + [f"n{x}" for x in rng.integers(0, 1000, 1 + i // 2)]
+        rows.append((i, " ".join(w), "s"))
+    sets = [grams(t.split()) for _, t, _ in rows]
+    links = {i: sum(similar(sets[i], s) for j, s in enumerate(sets) if j != i) for i in range(60)}
+    assert 0 < sum(links.values()) < 60 * 59
+    assert {r.doc_id: r.n_links for r in ngram_join.similar(make(spark, rows)).collect()} == links
+
+
+def test_structured_words_are_no_copies(spark):
+    ones = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(1, "".join("ab"[x] for x in ones), "s"), (2, "".join("ba"[x] for x in ones), "s")]
+    assert {(r.copy_of, r.n_copies) for r in ngram_join.similar(make(spark, rows)).collect()} == {(1, 1), (2, 1)}
+    both = "".join(t for _, t, _ in rows).encode()
+    names = fuzzy_lines.line_nodes(np.frombuffer(both, np.uint8), np.array([0, 1024]), np.array([1024, 2048]))
+    assert names[0] != names[1]
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_broadcast_and_shuffle_find_the_same(docs, monkeypatch, limit):
+    monkeypatch.setattr(near, "BROADCAST_NODES", limit)
+    monkeypatch.setattr(fuzzy_lines, "BROADCAST_BYTES", limit)
+    joined = sorted(map(str, ngram_join.similar(docs).collect()))
+    lines = sorted(map(str, fuzzy_lines.dedup(docs.select("doc_id", "text")).collect()))
+    monkeypatch.undo()
+    assert joined == sorted(map(str, ngram_join.similar(docs).collect()))
+    assert lines == sorted(map(str, fuzzy_lines.dedup(docs.select("doc_id", "text")).collect()))
+
+
+def test_components_never_end_early(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not complete after 2 rounds"):
+        near.components(path, rounds=2)
+    assert {r.root for r in near.components(path).collect()} == {0}
+
+
+@pytest.mark.parametrize("kind", ["words", "lines"])
+def test_recall_near_the_threshold(kind):
+    """Of pairs whose exact similarity is just over 0.8, the share that the real hashes and bands bring together."""
+    from tandem.llm.common import pack
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    if kind == "words":
+        rows, recall, edit, near_by = ngram_join.BAND_ROWS, ngram_join.RECALL, 4, 180
+        vocab = [f"v{i}" for i in range(5000)]
+        join, shingle = " ".join, lambda t: tokens.shingles(*tokens.words(*pack(pa.array(t))), 5)
+    else:
+        rows, recall, edit, near_by = fuzzy_lines.BAND_ROWS, fuzzy_lines.RECALL, 2, 90
+        vocab = list("abcdefghijklmnopqrstuvwxyz ")
+        join, shingle = "".join, lambda t: fuzzy_lines.shingle(5)(pa.array([x.encode() for x in t]))
+    a, b = [], []
+    for _ in range(1500):
+        w = list(rng.choice(vocab, near_by))
+        other = list(w)
+        for i in rng.choice(near_by, edit, replace=False):
+            other[i] = vocab[int(rng.integers(len(vocab)))]
+        a.append(join(w))
+        b.append(join(other))
+    bands = tokens.bands_for(0.8, recall, rows)
+    (g, go), (h, ho) = shingle(a), shingle(b)
+    keys = [tokens.band_keys(tokens.min_hashes(x, o, bands * rows), rows) for x, o in ((g, go), (h, ho))]
+    just = []
+    for i in range(len(a)):
+        x, y = set(g[go[i] : go[i + 1]].tolist()), set(h[ho[i] : ho[i + 1]].tolist())
+        if 0.8 <= len(x & y) / len(x | y) <= 0.83:
+            just.append(bool((keys[0][i] == keys[1][i]).any()))
+    assert len(just) > 200 and np.mean(just) >= 0.98
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     pairs = [(i, i + 1) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(100, 200, (60, 2))] + [(7, 7), (300, 299), (300, 299)]
