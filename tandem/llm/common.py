@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,25 +29,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where that is unset one below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for as long as the block runs."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
+
 
+def saved(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
+    """The rows as a Parquet table in the shared folder, and its path, for discard().
 
-def saved(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows as a Parquet table in the shared folder, and its path, for discard()."""
+    That cuts the lineage: a lost executor costs no more than the tasks it ran.  Spark
+    deletes the shuffle files of the plan when the table is written.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """saved(), for a table that the result reads and so must stay."""
+    return saved(df)[0]
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that saved() has written."""
     for path in paths:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import saved
 from .tokens import mix
 
 #: Entries that a bucket holds, about, and that a task gathers before it sends.
@@ -105,8 +105,8 @@ def gathered(batches: Iterator[tuple[str, Arrays]]) -> Iterator[tuple[str, Array
 def meet(
     rows: DataFrame, produce: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, Arrays]]],
     settle: dict[str, Callable[[Arrays, bool], tuple[Arrays, ...]]], entries: float, bucket: int = BUCKET, short: bool = False,
-) -> DataFrame:
-    """Run one exchange; returns (doc, rid, data: packed arrays) for each document with a reply.
+) -> tuple[DataFrame, str]:
+    """Run one exchange; returns (doc, rid, data: packed arrays) for each document with a reply, and where they are saved.
 
     ``produce`` gives a kind and arrays with ``key`` (uint64); keys of a kind meet only each
     other.  ``settle[kind](arrays, last)`` gives what must still meet others and replies with
@@ -165,7 +165,7 @@ def meet(
         return pa.concat_tables(out)
 
     sent = rows.mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(answer, PACKED)
-    return cut(sent.groupBy("bucket").applyInArrow(by_doc, "doc long, rid long, data binary"))
+    return saved(sent.groupBy("bucket").applyInArrow(by_doc, "doc long, rid long, data binary"), "replies")
 
 
 def entries_of(replies: DataFrame) -> float:

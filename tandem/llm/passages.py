@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import pack, table, text_of
+from .common import discard, pack, table, text_of
 from .exchange import SHORT_BITS, Arrays, attach, bits_for, entries_of, load, meet
 
 #: Words of a window and of the anchor inside it.
@@ -263,7 +263,7 @@ def repeats(rows: DataFrame, cut_up: type, n_tokens: float, classes: Callable, w
             of = s.of[s.at]
             yield "seed", {"key": s.hash[s.at], "doc": np.asarray(column(b, "doc"))[of], "rid": np.asarray(column(b, "rid"))[of], "ordinal": s.ordinals(), "count": np.ones(len(of), np.int64)}
 
-    seeds = meet(rows, sow, {"seed": repeated(max(CROWD, anchors / CROWDED_KEYS))}, anchors, short=True)
+    seeds, path = meet(rows, sow, {"seed": repeated(max(CROWD, anchors / CROWDED_KEYS))}, anchors, short=True)
     notes = seeds.where("doc is null").select("data").toLocalIterator()  # CROWDED_KEYS at most
     crowd = rows.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.uint64), *(load([r["data"]])["key"].astype(np.uint64) for r in notes)])))
     lead = np.uint64(max(0, 64 - bits_for(anchors) - SHORT_BITS))
@@ -300,7 +300,9 @@ def repeats(rows: DataFrame, cut_up: type, n_tokens: float, classes: Callable, w
         "anchor": lambda part, last: settled(part, last, frequent, lambda x: extended(x, side, classes, within)),
         "window": lambda part, last: settled(part, last, 2, lambda x: same_windows(x, classes, within)),
     }
-    return meet(near, grow, settle, entries_of(seeds), bucket=bucket)
+    found, _ = meet(near, grow, settle, entries_of(seeds), bucket=bucket)
+    discard(rows.sparkSession, path)
+    return found
 
 
 def covered(data: pa.Scalar, n: int, window: int) -> np.ndarray:
