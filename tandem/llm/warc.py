@@ -1,44 +1,54 @@
 """Legacy web archives: ARC files read by version and declared length, and turned into WARC.
 
-Archives are plain files in a shared folder, written by Spark's text writer whose line
-separator is the format's own record end, gzip-compressed, one file a task; they are read
-with Spark's binaryFile source, a file a row, and cut into records by the lengths they
-declare, never by searching for separators.
+Archives are plain files in a shared folder, one gzip member a record and one for its end
+(which is all that Spark's text writer, told to use it as the separator of lines, puts between
+records).  They are read with Spark's binaryFile source, a file a row, and cut into records by
+the lengths they declare, never by searching: a line that should be a header and is none
+ends the reading of its file with an error or, if asked for, with a row that says so.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, table
+from .common import cut, discard, saved, scratch, table
 
-#: Fields of a record's header line by version of the format (fixed values).
-FIELDS = {
-    1: ("url", "ip", "date", "mime", "length"),
-    2: ("url", "ip", "date", "mime", "result", "checksum", "location", "offset", "filename", "length"),
-}
+#: Fields of a record's header line by version of the format, as its version block names them (fixed values).
 TITLES = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-CRLF = "\r\n"
+#: Header lines by version: url and type may hold spaces, so the address and date between them and the last fields tell them apart.
+HEADERS = {
+    1: re.compile(rb"(?P<url>.+) (?P<ip>[0-9A-Fa-f.:]+|-) (?P<date>\d{8,17}) (?P<mime>.*) (?P<length>\d+)"),
+    2: re.compile(rb"(?P<url>.+) (?P<ip>[0-9A-Fa-f.:]+|-) (?P<date>\d{8,17}) (?P<mime>.*) (?P<result>\d+|-) \S+ \S+ (?:\d+|-) \S+ (?P<length>\d+)"),
+}
+CRLF = b"\r\n"
 #: Names the record identifiers that are made from a record's own content.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-to-warc")
-RECORDS_SCHEMA = pa.schema([
-    ("record_id", pa.string()), ("version", pa.int32()), ("kind", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("result", pa.int32()),
-    ("declared", pa.int64()), ("truncated", pa.bool_()), ("http", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("block_digest", pa.string()), ("page_id", pa.int64()),
-])
-RECORDS = "record_id string, version int, kind string, url string, ip string, date string, mime string, result int, declared long, truncated boolean, http binary, payload binary, payload_bytes long, payload_digest string, block_digest string, page_id long"
+PAGE = re.compile(rb"(?im)^X-Page-Id:[ \t]*(-?\d+)\r?$")
+LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*(\d+)\r?$")
+#: Records of an archive that is written here, and bytes of payloads in an Arrow batch.
+RECORDS_A_FILE, BATCH_BYTES = 5000, 4_000_000
+#: Revisits (some 250 bytes each) up to which what is decided is broadcast; more are shuffled with the archives.
+BROADCAST_REVISITS = 200_000
+SLIM = [("path", pa.string()), ("place", pa.int32()), ("record_id", pa.string()), ("version", pa.int32()), ("kind", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("result", pa.int32()),
+        ("declared", pa.int64()), ("truncated", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("page_id", pa.int64())]
+BODIES = [("http", pa.binary()), ("payload", pa.binary())]
+SPARK_TYPES = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long", pa.bool_(): "boolean", pa.binary(): "binary"}
+
+
+def ddl(fields: list[tuple[str, pa.DataType]]) -> str:
+    return ", ".join(f"{name} {SPARK_TYPES[kind]}" for name, kind in fields)
 
 
 def digest(data: bytes) -> str:
@@ -46,8 +56,26 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def opened(content: bytes) -> io.BufferedIOBase:
-    return gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+def member(data: bytes) -> bytes:
+    """A gzip member without a time, so that reruns write the same bytes."""
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+def opened(content: bytes) -> bytes:
+    """The whole archive, its gzip members (if it has any) joined."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out, at, view = [], 0, memoryview(content)
+    while at < len(view):
+        z = zlib.decompressobj(31)
+        while not z.eof and at < len(view):
+            step = view[at : at + 32768]
+            out.append(z.decompress(step))
+            at += len(step) - len(z.unused_data)
+        if not z.eof:  # the file ends early: what is there counts
+            out.append(z.flush())
+    return b"".join(out)
 
 
 def iso_date(stamp: str) -> str:
@@ -58,13 +86,16 @@ def iso_date(stamp: str) -> str:
     return f"{s[:4]}-{s[4:6]}-{s[6:8]}T{s[8:10]}:{s[10:12]}:{s[12:14]}Z"
 
 
-def parse_header(line: bytes) -> tuple[int, dict[str, str]] | None:
-    """Version and fields of a header line, told apart by their number; None if it is none."""
-    parts = line.rstrip(b"\r\n").decode("utf-8", "replace").split(" ")
-    for version, names in FIELDS.items():
-        if len(parts) == len(names) and parts[-1].isdigit():
-            return version, dict(zip(names, parts))
-    return None
+class Damaged(ValueError):
+    """A line that should be a record's header and is none."""
+
+
+def parse_header(line: bytes, version: int | None) -> tuple[int, dict[str, str]]:
+    """Version and fields of a header line; without a version block the longer form is tried first."""
+    for v in (version,) if version in HEADERS else (2, 1):
+        if m := HEADERS[v].fullmatch(line.rstrip(b"\r\n")):
+            return v, {k: x.decode("utf-8", "replace") for k, x in m.groupdict().items()}
+    raise Damaged(f"no header of version {version or '1 or 2'}: {line[:200]!r}")
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -77,179 +108,241 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return block, b""
 
 
-def arc_records(content: bytes) -> Iterator[dict]:
-    """The records of one archive, converted; lines that are no header are passed over.
+def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Version, header fields and block of the records of one archive.
 
-    Bodies are read by their declared length, so they may hold anything; one that ends
-    early is kept and marked truncated.
+    The version is what the archive's version block (its filedesc record) says.  Blocks are
+    taken by their declared length, so they may hold anything; one that ends early is
+    given as it is.  Between records only line ends may stand; anything else that is no header raises Damaged.
     """
-    f, place = opened(content), 0
-    while line := f.readline():
-        place += 1
-        head = parse_header(line)
-        if head is None:
+    at, version = 0, None
+    while at < len(data):
+        end = data.find(b"\n", at)
+        end = len(data) if end < 0 else end + 1
+        line, at = data[at:end], end
+        if not line.strip(b"\r\n"):
             continue
-        version, h = head
+        said = re.match(rb"filedesc:\S* .* (\d+)\r?\n?$", line)
+        if said:  # the version block itself says how all headers are laid out
+            first = data[at : at + int(said[1])].split(b"\n", 1)[0].split()
+            if first and first[0].isdigit():
+                version = int(first[0])
+        own, h = parse_header(line, version)
         n = int(h["length"])
-        block = f.read(n)
-        kind = "warcinfo" if h["url"].startswith("filedesc:") else "response" if block.startswith(b"HTTP/") else "resource"
-        http, payload = split_http(block) if kind == "response" else (b"", block)
-        page = re.search(rb"(?im)^X-Page-Id:[ \t]*(-?\d+)\r?$", http)
-        status = re.match(rb"HTTP/\S+ +(\d{3})", http)
-        own = digest(payload)
-        yield {
-            "record_id": f"<urn:uuid:{uuid.uuid5(SPACE, ' '.join((h['url'], h['date'], own, digest(http))))}>", "version": version, "kind": kind, "url": h["url"], "ip": h["ip"], "date": iso_date(h["date"]), "mime": h["mime"],
-            "result": int(h["result"]) if h.get("result", "").isdigit() else int(status[1]) if status else None, "declared": n, "truncated": len(block) < n,
-            "http": http, "payload": payload, "payload_bytes": len(payload), "payload_digest": own, "block_digest": digest(block), "page_id": int(page[1]) if page else None,
-        }
-
-
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the ARC files below ``path`` with what its WARC twin needs."""
+        yield own, h, data[at : at + n]
+        at += n
+
+
+def converted(path: str, data: bytes, bodies: bool, damage: str) -> Iterator[dict]:
+    """Rows of read_arc() for one archive."""
+    place = -1
+    try:
+        for place, (version, h, block) in enumerate(arc_records(data)):
+            kind = "warcinfo" if h["url"].startswith("filedesc:") else "response" if block.startswith(b"HTTP/") else "resource"
+            http, payload = split_http(block) if kind == "response" else (b"", block)
+            page, status, own = PAGE.search(http), re.match(rb"HTTP/\S+ +(\d{3})", http), digest(payload)
+            row = {
+                "path": path, "place": place, "record_id": f"<urn:uuid:{uuid.uuid5(SPACE, ' '.join((h['url'], h['date'], own, digest(http))))}>", "version": version, "kind": kind, "url": h["url"], "ip": h["ip"], "date": iso_date(h["date"]), "mime": h["mime"],
+                "result": int(h["result"]) if h.get("result", "").isdigit() else int(status[1]) if status else None, "declared": int(h["length"]), "truncated": len(block) < int(h["length"]),
+                "payload_bytes": len(payload), "payload_digest": own, "page_id": int(page[1]) if page else None,
+            }
+            yield row | ({"http": http, "payload": payload} if bodies else {})
+    except Damaged as e:
+        if damage == "raise":
+            raise Damaged(f"{path}, after {place + 1} records: {e}") from e
+        yield {"path": path, "place": place + 1, "kind": "damaged", "truncated": True}
+
+
+def batched(rows: Iterator[dict], fields: list[tuple[str, pa.DataType]], body: str) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of some BATCH_BYTES, a row at least."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r.get(body) or b"") + 500
+        if size > BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, pa.schema(fields))
+            held, size = [], 0
+    yield pa.RecordBatch.from_pylist(held, pa.schema(fields))
+
+
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of the files that Spark's writers have left below a folder."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+
+def read_arc(spark: SparkSession, path: str, bodies: bool = True, damage: str = "raise") -> DataFrame:
+    """Every record of the ARC files below ``path`` with what its WARC twin needs.
+
+    Payloads are bytes of any encoding.  ``damage``: "raise" fails on a file whose records
+    cannot be told apart any more, "report" ends it with a row of kind damaged.  Archives of
+    2 GB or more, which one row cannot hold, fail.
+    """
+    fields = SLIM + (BODIES if bodies else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
-                rows, size = [], 0
-                for r in arc_records(content.as_py()):
-                    rows.append(r)
-                    size += len(r["payload"])
-                    if size > 4_000_000:
-                        yield pa.RecordBatch.from_pylist(rows, RECORDS_SCHEMA)
-                        rows, size = [], 0
-                yield pa.RecordBatch.from_pylist(rows, RECORDS_SCHEMA)
+            for where, content in zip(b.column(0), b.column(1)):
+                yield from batched(converted(where.as_py(), opened(content.as_py()), bodies, damage), fields, "payload")
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORDS)
+    return archives(spark, path).mapInArrow(run, ddl(fields))
 
 
 def decide(records: DataFrame) -> DataFrame:
-    """(record_id, refers_id, refers_url, refers_date): of equal payloads the record with the largest page_id stays a response.
+    """path, place, payload_digest, refers_id, refers_url, refers_date of every record; refers_* are null but for revisits.
+
+    Of equal payloads the record with the largest page_id stays a response, and so do
+    records of the same identifier (repeated rows).  One slim aggregate finds it for each digest that
+    occurs twice or more; as a written table it is joined by digest, a join whose large
+    groups Spark can split.
+    """
+    slim = records.select("path", "place", "kind", "payload_digest", F.struct(F.coalesce("page_id", F.lit(-(2**62))).alias("p"), "record_id", "url", "date").alias("r"))
+    best = cut(slim.where("kind = 'response'").groupBy("payload_digest").agg(F.max("r").alias("best"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "best"))
+    revisit = (F.col("kind") == "response") & (F.col("best.record_id") != F.col("r.record_id"))
+    return slim.join(best, "payload_digest", "left").select("path", "place", "payload_digest", *[F.when(revisit, F.col(f"best.{c}")).alias(f"refers_{n}") for c, n in (("record_id", "id"), ("url", "url"), ("date", "date"))])
+
+
+def warc_record(r: dict, refers: dict) -> bytes:
+    """A WARC record but its end; of a revisit the block is the head alone, so its digest is left out."""
+    revisit, page = refers["refers_id"] is not None, r["kind"] != "warcinfo"
+    block = r["http"] if revisit else r["http"] + r["payload"]
+    fields = [
+        ("WARC-Type", "revisit" if revisit else r["kind"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["url"] if page else None), ("WARC-IP-Address", r["ip"] if page else None),
+        ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}" if page else None), ("WARC-Block-Digest", None if revisit else f"sha1:{digest(block)}"),
+        ("WARC-Refers-To", refers["refers_id"]), ("WARC-Refers-To-Target-URI", refers["refers_url"]), ("WARC-Refers-To-Date", refers["refers_date"]),
+        ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest" if revisit else None), ("WARC-Truncated", "length" if r["truncated"] else None),
+        ("Content-Type", "application/http; msgtype=response" if r["http"] else r["mime"] if page else "application/warc-fields"), ("Content-Length", len(block)),
+    ]
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None).encode() + CRLF + block
 
-    One slim aggregate finds it for each digest; the records then join it by digest, a
-    join whose large groups Spark can split.  refers_* are null for responses.
+
+def write_archives(values: DataFrame, target: str, end: bytes) -> None:
+    """Files of the gzip members in the column value, each followed by a member that holds the record's end."""
+    text = values.select(F.col("value").cast("string").alias("value"))  # the bytes stay as they are
+    text.write.option("encoding", "ISO-8859-1").option("lineSep", member(end).decode("latin-1")).option("maxRecordsPerFile", RECORDS_A_FILE).text(target)
+
+
+def arc_to_warc(spark: SparkSession, source: str, target: str, damage: str = "raise") -> None:
+    """Convert the ARC archives below ``source`` into WARC archives below ``target``.
+
+    A first pass reads heads and digests only and decides; which records become revisits meets
+    each archive by its path, so no payload leaves its archive before it is written.
     """
-    slim = records.where(F.col("kind") == "response").select("payload_digest", F.struct(F.coalesce("page_id", F.lit(-(2**62))).alias("p"), "record_id", "url", "date").alias("r"))
-    best = slim.groupBy("payload_digest").agg(F.max("r").alias("best"))
-    other = F.col("best.record_id") != F.col("r.record_id")
-    return slim.join(best, "payload_digest").select(F.col("r.record_id").alias("record_id"), *[F.when(other, F.col(f"best.{c}")).alias(f"refers_{n}") for c, n in (("record_id", "id"), ("url", "url"), ("date", "date"))]).dropDuplicates(["record_id"])
-
-
-def warc_text(records: DataFrame) -> DataFrame:
-    """A column value with each record but its end; ``records`` joined with what decide() gives."""
-    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF))).otherwise("")
-    revisit = F.col("refers_id").isNotNull()
-    block = F.when(revisit, F.col("http")).otherwise(F.concat("http", "payload"))
-    http = F.octet_length("http") > 0
-    # of a revisit the block is the head alone, so its digest is not that of the original block
-    head = F.concat(
-        F.lit(f"WARC/1.0{CRLF}"), line("WARC-Type", F.when(revisit, "revisit").otherwise(F.col("kind"))), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")),
-        line("WARC-Target-URI", F.when(F.col("kind") != "warcinfo", F.col("url"))), line("WARC-IP-Address", F.when(F.col("kind") != "warcinfo", F.col("ip"))),
-        line("WARC-Payload-Digest", F.when(F.col("kind") != "warcinfo", F.concat(F.lit("sha1:"), "payload_digest"))), line("WARC-Block-Digest", F.when(~revisit, F.concat(F.lit("sha1:"), "block_digest"))),
-        line("WARC-Refers-To", F.col("refers_id")), line("WARC-Refers-To-Target-URI", F.col("refers_url")), line("WARC-Refers-To-Date", F.col("refers_date")),
-        line("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))), line("WARC-Truncated", F.when(F.col("truncated"), F.lit("length"))),
-        line("Content-Type", F.when(http, F.lit("application/http; msgtype=response")).otherwise(F.when(F.col("kind") == "warcinfo", F.lit("application/warc-fields")).otherwise(F.col("mime")))),
-        line("Content-Length", F.octet_length(block)), F.lit(CRLF),
-    )
-    return records.select(F.concat(head, block.cast("string")).alias("value"))
-
-
-def arc_to_warc(spark: SparkSession, source: str, target: str) -> None:
-    """Convert the ARC archives below ``source`` into WARC archives below ``target``."""
-    records = read_arc(spark, source)
-    refers = cut(decide(records.select("record_id", "kind", "payload_digest", "page_id", "url", "date")))
-    warc_text(records.join(refers, "record_id", "left")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(target)
-
-
-def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    slim, path = saved(read_arc(spark, source, bodies=False, damage=damage).where("kind <> 'damaged'"), "heads")
+    decided = cut(decide(slim).where("refers_id is not null").groupBy("path").agg(F.collect_list(F.struct("place", "refers_id", "refers_url", "refers_date")).alias("refers")))
+    few = decided.agg(F.coalesce(F.sum(F.size("refers")), F.lit(0))).first()[0] <= BROADCAST_REVISITS
+
+    none = dict.fromkeys(("refers_id", "refers_url", "refers_date"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for where, content, refers in zip(b.column(0), b.column(1), b.column(2)):
+                rows, known = converted(where.as_py(), opened(content.as_py()), True, "report"), {x["place"]: x for x in refers.as_py() or ()}
+                yield from batched(({"value": member(warc_record(r, known.get(r["place"], none)))} for r in rows if r["kind"] != "damaged"), [("value", pa.binary())], "value")
+
+    write_archives(archives(spark, source).join(F.broadcast(decided) if few else decided, "path", "left").select("path", "content", "refers").mapInArrow(run, "value binary"), target, CRLF * 2)
+    discard(spark, path)
+
+
+def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower-case names) and block of each record, by declared lengths."""
-    f = opened(content)
-    while line := f.readline():
-        if not line.startswith(b"WARC/"):
+    at = 0
+    while at < len(data):
+        if data[at : at + 2] == CRLF:
+            at += 2
             continue
-        fields: dict[str, str] = {}
-        while (line := f.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[name.strip().lower()] = value.strip()
-        yield fields, f.read(int(fields.get("content-length", 0)))
+        end = data.find(CRLF * 2, at)
+        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+        if end < 0 or not lines[0].startswith("WARC/"):
+            raise Damaged(f"no WARC header: {data[at : at + 200]!r}")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        n = int(fields.get("content-length", 0))
+        yield fields, data[end + 4 : end + 4 + n]
+        at = end + 4 + n
 
 
-WARC_SCHEMA = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_id", pa.string()), ("payload", pa.binary())])
-WARC = "record_id string, record_type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_id string, payload binary"
+WARC_FIELDS = [("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_id", pa.string())]
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Responses, resources and revisits of the WARC files below ``path``.
+    """Responses, resources and revisits of the WARC files below ``path``, with their payloads if asked for.
 
     The digest of a payload that is there is computed anew and must equal the declared
     one; a revisit tells the size of the full payload by the Content-Length of its HTTP head.
     """
+    fields = WARC_FIELDS + ([("payload", pa.binary())] if payloads else [])
+
+    def rows(data: bytes) -> Iterator[dict]:
+        for h, block in warc_records(data):
+            kind = h["warc-type"]
+            if kind not in ("response", "resource", "revisit"):
+                continue
+            http, payload = split_http(block) if "application/http" in h.get("content-type", "") else (b"", block)
+            said = h.get("warc-payload-digest", "").removeprefix("sha1:")
+            if kind != "revisit" and said != digest(payload):
+                raise ValueError(f"payload of {h['warc-record-id']} does not match its digest")
+            page, length = PAGE.search(http), LENGTH.search(http)
+            row = {
+                "record_id": h["warc-record-id"], "record_type": kind, "url": h.get("warc-target-uri"), "date": h.get("warc-date"), "page_id": int(page[1]) if page else None,
+                "payload_bytes": len(payload) if kind != "revisit" else int(length[1]) if length else None, "payload_digest": said, "refers_id": h.get("warc-refers-to"),
+            }
+            yield row | ({"payload": payload if kind != "revisit" else None} if payloads else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
-                rows, size = [], 0
-                for h, block in warc_records(content.as_py()):
-                    kind = h["warc-type"]
-                    if kind not in ("response", "resource", "revisit"):
-                        continue
-                    http, payload = split_http(block) if "application/http" in h.get("content-type", "") else (b"", block)
-                    said = h.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if kind != "revisit" and said != digest(payload):
-                        raise ValueError(f"payload of {h['warc-record-id']} does not match its digest")
-                    page = re.search(rb"(?im)^X-Page-Id:[ \t]*(-?\d+)\r?$", http)
-                    length = re.search(rb"(?im)^Content-Length:[ \t]*(\d+)\r?$", http)
-                    rows.append({
-                        "record_id": h["warc-record-id"], "record_type": kind, "url": h.get("warc-target-uri"), "date": h.get("warc-date"), "page_id": int(page[1]) if page else None,
-                        "payload_bytes": len(payload) if kind != "revisit" else int(length[1]) if length else None, "payload_digest": said, "refers_id": h.get("warc-refers-to"), "payload": payload if payloads and kind != "revisit" else None,
-                    })
-                    size += len(rows[-1]["payload"] or b"") + 500
-                    if size > 4_000_000:
-                        yield pa.RecordBatch.from_pylist(rows, WARC_SCHEMA)
-                        rows, size = [], 0
-                yield pa.RecordBatch.from_pylist(rows, WARC_SCHEMA)
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, WARC)
+            for content in b.column(1):
+                yield from batched(rows(opened(content.as_py())), fields, "payload")
+
+    return archives(spark, path).mapInArrow(run, ddl(fields))
 
 
 def write_arc(pages: DataFrame, target: str, stamp: str = "20200101000000") -> None:
-    """ARC archives of pages (page_id, url, html), one a task, versions 1 and 2 in turn.
+    """ARC archives of pages (page_id, url, html), versions 1 and 2 by task in turn.
 
     The html in UTF-8 is the body of an HTTP response that also carries the page_id; null
     html is an empty body.  White space in a url is percent-encoded; a page without url
-    gets one made from its id.
+    gets one made from its id.  Each batch starts with a version block, so that every file that Spark
+    cuts off a task's rows says its version at its first record.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, count = TaskContext.get().partitionId(), 0
         version = 1 + part % 2
         title = f"{version} 0 coupling-archive\n{TITLES[version]}\n"
         ends = {1: "", 2: f"200 - - 0 part-{part:05d}.arc "}[version]
-        yield pa.RecordBatch.from_pydict({"value": [f"filedesc://part-{part:05d}.arc 0.0.0.0 {stamp} text/plain {ends}{len(title)}\n{title}"]})
-        for b in batches:
-            out = []
-            for page, url, html in zip(*(b.column(i).to_pylist() for i in range(3))):
-                body = (html or "").encode("utf-8", "surrogatepass")
-                mark = "" if page is None else f"X-Page-Id: {page}\r\n"
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(body)}\r\n\r\n".encode()
-                where = re.sub(r"\s", lambda m: "".join(f"%{x:02X}" for x in m[0].encode()), url or "") or f"urn:page:{page}"
-                out.append(f"{where} 0.0.0.0 {stamp} text/html {ends}{len(head) + len(body)}\n".encode() + head + body)
-            for k in range(0, len(out), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(out[k : k + 500], pa.binary()).cast(pa.string())], ["value"])
+        block = member(f"filedesc://part-{part:05d}.arc 0.0.0.0 {stamp} text/plain {ends}{len(title)}\n{title}".encode())
+
+        def records() -> Iterator[dict]:
+            nonlocal count
+            for b in batches:
+                for page, url, html in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    if count % RECORDS_A_FILE == 0:
+                        yield {"value": block}
+                        count += 1
+                    count += 1
+                    body = (html or "").encode("utf-8", "surrogatepass")
+                    mark = "" if page is None else f"X-Page-Id: {page}\r\n"
+                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(body)}\r\n\r\n".encode()
+                    where = re.sub(r"\s", lambda m: "".join(f"%{x:02X}" for x in m[0].encode()), url or "") or f"urn:page:{page}"
+                    yield {"value": member(f"{where} 0.0.0.0 {stamp} text/html {ends}{len(head) + len(body)}\n".encode() + head + body)}
+
+        yield from batched(records(), [("value", pa.binary())], "value")
 
     # the cast to long keeps the layout of the batches fixed whatever the table's types are
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(target)
+    write_archives(rows.mapInArrow(run, "value binary"), target, b"\n")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """A WARC record for each page, read back.  Rows of one page_id and url that repeat share a record and its decision."""
     arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
     write_arc(table(spark, sf_dir, "pages"), arc)
     arc_to_warc(spark, arc, warc)
-    back = cut(read_warc(spark, warc, payloads=False).drop("payload"))
+    back = cut(read_warc(spark, warc, payloads=False))
+    discard(spark, arc, warc)
     # records alike in url, date, head and payload share an identifier, and so one decision
-    target = back.where(F.col("record_type") == "response").groupBy(F.col("record_id").alias("of")).agg(F.max("page_id").alias("refers_to"))
+    target = cut(back.where(F.col("record_type") == "response").join(back.where("refers_id is not null").select(F.col("refers_id").alias("record_id")).distinct(), "record_id", "left_semi").groupBy(F.col("record_id").alias("of")).agg(F.max("page_id").alias("refers_to")))
     return back.join(target, F.col("refers_id") == F.col("of"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -19,7 +19,9 @@ def round_trip(spark, pages):
     return out, warc.read_warc(spark, out).collect()
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_round_trip(spark, few, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", few)
     body = "WARC/1.0\r\n\r\nhttp://x 1 2 3 4\nContent-Length: 5\r\n\r\nü"
     rows = [(1, "http://a/", body), (2, "http://b/x y", body), (3, None, None), (4, "", ""), (5, "http://c/", "z" * 300_000), (None, "http://n/", "only"), (9, "http://a/", body)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string").repartition(3)
@@ -41,19 +43,28 @@ def test_empty_table(spark):
     assert round_trip(spark, pages)[1] == []
 
 
+def converted(data):
+    return list(warc.converted("x", warc.opened(data), True, "raise"))
+
+
 def test_both_versions_are_parsed():
     v1 = b"filedesc://a 0.0.0.0 20000101 text/plain 4\n1 0\n\nhttp://a/ 1.2.3.4 20010203040506 text/html 7\nHTTP/1.\n"
     v2 = b"http://b/ 1.2.3.4 200102030405 text/html 404 - - 0 f.arc 26\nHTTP/1.0 404 No\r\n\r\nbody\n12\n"
-    a = list(warc.arc_records(v1 + b"junk line\n" + v2))
-    assert [(r["kind"], r["version"], r["date"]) for r in a] == [("warcinfo", 1, "2000-01-01T00:00:00Z"), ("response", 1, "2001-02-03T04:05:06Z"), ("response", 2, "2001-02-03T04:05:00Z")]
-    assert a[2]["payload"] == b"body\n12" and a[2]["result"] == 404 and not a[2]["truncated"]
-    assert list(warc.arc_records(gzip.compress(v1) + gzip.compress(v2)))[2]["payload"] == b"body\n12"
+    said = b"filedesc://b 0.0.0.0 20000101 text/plain 200 - - 0 f.arc 4\n2 0\n\n"
+    a = converted(v1 + said + v2)
+    assert [(r["kind"], r["version"], r["date"]) for r in a] == [("warcinfo", 1, "2000-01-01T00:00:00Z"), ("response", 1, "2001-02-03T04:05:06Z"), ("warcinfo", 2, "2000-01-01T00:00:00Z"), ("response", 2, "2001-02-03T04:05:00Z")]
+    assert a[3]["payload"] == b"body\n12" and a[3]["result"] == 404 and a[3]["mime"] == "text/html" and not a[3]["truncated"]
+    assert converted(gzip.compress(v1) + gzip.compress(said) + gzip.compress(v2))[3]["payload"] == b"body\n12"
+    # without a version block the longer form goes first
+    assert converted(v2)[0]["version"] == 2
 
 
 def test_short_body_is_marked():
-    (r,) = warc.arc_records(b"http://a/ 1.2.3.4 20010203040506 text/html 70\nHTTP/1.1 200 OK\r\n\r\nshort")
+    (r,) = converted(b"http://a/ 1.2.3.4 20010203040506 text/html 70\nHTTP/1.1 200 OK\r\n\r\nshort")
     assert r["truncated"] and r["payload"] == b"short" and r["declared"] == 70
-    assert list(warc.arc_records(b"")) == [] and list(warc.arc_records(b"a b c d x\n")) == []
+    assert converted(b"") == []
+    with pytest.raises(warc.Damaged):
+        converted(b"a b c d x\n")
 
 
 def test_wrong_digest_is_refused(spark, tmp_path):
@@ -61,3 +72,55 @@ def test_wrong_digest_is_refused(spark, tmp_path):
     (tmp_path / "part-0.txt").write_bytes(rec)
     with pytest.raises(Exception, match="does not match"):
         warc.read_warc(spark, str(tmp_path)).collect()
+
+
+def test_headers_with_spaces_and_bytes_of_any_encoding(spark, tmp_path):
+    body = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\nhttp://evil/ 1.2.3.4 20200101000000 text/html 4\nfake\xff\xfe\x00"
+    title = f"1 0 origin\n{warc.TITLES[1]}\n".encode()
+    data = b"filedesc://x.arc 0.0.0.0 20200101000000 text/plain %d\n%s\n" % (len(title), title)
+    data += b"http://a/b c 10.0.0.1 20200102030405 text/html; charset=utf-8 %d\n%s\n" % (len(body), body)
+    data += b"\nhttp://d/ 10.0.0.1 20200102 - 3\nxyz\n"
+    for name, content in (("part-plain", data), ("part-packed", gzip.compress(data))):
+        (tmp_path / name).write_bytes(content)
+    got = warc.read_arc(spark, str(tmp_path)).where("kind <> 'warcinfo'").collect()
+    assert sorted((r.url, r.mime, r.version, r.kind, bytes(r.payload)) for r in got) == sorted(2 * [("http://a/b c", "text/html; charset=utf-8", 1, "response", body.split(b"\r\n\r\n")[1]), ("http://d/", "-", 1, "resource", b"xyz")])
+    out = str(tmp_path / "warc")
+    warc.arc_to_warc(spark, str(tmp_path), out)
+    assert {bytes(r.payload) for r in warc.read_warc(spark, out).collect() if r.payload is not None} == {body.split(b"\r\n\r\n")[1], b"xyz"}
+
+
+def test_a_bad_header_never_makes_a_record(spark, tmp_path):
+    bad = b"http://a/ 1.1.1.1 20200101000000 text/html 5\nhello\nnot a header\nhttp://evil/ 1.2.3.4 20200101000000 text/html 4\nfake\n"
+    (tmp_path / "part-0").write_bytes(bad)
+    got = warc.read_arc(spark, str(tmp_path), damage="report").collect()
+    assert [(r.kind, r.url) for r in got] == [("resource", "http://a/"), ("damaged", None)]
+    with pytest.raises(Exception, match="no header"):
+        warc.read_arc(spark, str(tmp_path)).collect()
+
+
+def test_one_gzip_member_a_record(spark):
+    import zlib
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i}") for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    arc = scratch(spark, "arc")
+    warc.write_arc(pages, arc)
+    (content,) = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc).collect() if r.content]
+    parts = []
+    while content:
+        z = zlib.decompressobj(31)
+        parts.append(z.decompress(content))
+        content = z.unused_data
+    assert len(parts) == 12 and parts[1::2] == [b"\n"] * 6 and parts[2].startswith(b"http://a/0 ")
+
+
+def test_repeated_pages_share_a_decision(spark):
+    pages = spark.createDataFrame([(7, "http://a/", "x"), (7, "http://a/", "x"), (3, "http://b/", "x")], "page_id long, url string, html string")
+    _, got = round_trip(spark, pages)
+    assert sorted((r.page_id, r.record_type) for r in got) == [(3, "revisit"), (7, "response"), (7, "response")]
+
+
+def test_files_hold_a_bounded_number_of_records(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_A_FILE", 4)
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i % 3}") for i in range(11)], "page_id long, url string, html string").coalesce(1)
+    _, got = round_trip(spark, pages)
+    assert sorted(r.page_id for r in got) == list(range(11)) and sum(r.record_type == "response" for r in got) == 3
