@@ -60,7 +60,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a run of ten words of a benchmark item (or a whole shorter one) go."""
     found = decontaminate.hits(docs.select(row_key("doc_id", "text").alias("key"), "text"), table(spark, sf_dir, "benchmark"))
-    bad = found.select("key").distinct()
+    bad = cut(found.select("key").distinct())
+    bad = F.broadcast(bad) if bad.count() <= decontaminate.BROADCAST_DOCS else bad
     return docs.join(bad, row_key("doc_id", "text") == bad["key"], "left_anti").select(*COLUMNS)
 
 

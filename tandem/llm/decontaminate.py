@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, table, text_of
+from .common import cut, row_key, table, text_of
 
 #: What separates words, after A-Z have become a-z.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of the text as it stands; as many as after lower-casing.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Benchmark fingerprints up to this many (8 bytes each) are broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Documents with a fingerprint of the benchmark (a key and a few fingerprints each) up to which these are broadcast.
+BROADCAST_DOCS = 100_000
 
 
 def words(text: str) -> Column:
@@ -28,21 +28,26 @@ def grams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def winnow(tokens: Column, span: int, k: int) -> Column:
-    """For each run of ``span`` words the smallest hash of its runs of ``k`` words.
+def gram_hashes(w: Column, n: int) -> Column:
+    """Hashes of the runs of n words; none if there are fewer."""
+    at = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))
+    return F.when(F.size(w) >= n, at).otherwise(F.array().cast("array<bigint>"))
+
+
+def minima(hashes: Column, width: int) -> Column:
+    """The smallest of each ``width`` neighbouring hashes."""
+    mins = F.transform(F.sequence(F.lit(1), F.size(hashes) - (width - 1)), lambda i: F.array_min(F.slice(hashes, i, width)))
+    return F.when(F.size(hashes) >= width, mins).otherwise(F.array().cast("array<bigint>"))
 
-    Equal runs have equal fingerprints, so a shared run of ``span`` words or more is never missed.
-    """
-    hashes = F.transform(F.sequence(F.lit(0), F.size(tokens) - k), lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(k)]))
-    width = span - k + 1
-    mins = F.transform(F.sequence(F.lit(1), F.size("_hashes") - (width - 1)), lambda i: F.array_min(F.slice("_hashes", i, width)))
-    return hashes, mins
 
+def fingerprints(df: DataFrame, lengths: list[int], span: int, k: int) -> DataFrame:
+    """Add f<n> for each length: a fingerprint of each run of n words of the column w.
 
-def fingerprints(df: DataFrame, tokens: str, out: str, span: int, k: int) -> DataFrame:
-    hashes, mins = winnow(F.col(tokens), span, k)
-    none = F.array().cast("array<bigint>")
-    return df.withColumn("_hashes", F.when(F.size(tokens) >= span, hashes).otherwise(none)).withColumn(out, F.when(F.size(tokens) >= span, mins).otherwise(none)).drop("_hashes")
+    Of a run of ``span`` words it is the smallest hash of its runs of ``k`` words (winnowing), of a
+    shorter one the hash of all its words.  Equal runs have equal fingerprints, so no shared run is missed.
+    """
+    df = df.withColumn("_hashes", gram_hashes(F.col("w"), k)) if span in lengths else df
+    return df.withColumns({f"f{n}": minima(F.col("_hashes"), span - k + 1) if n == span else gram_hashes(F.col("w"), n) for n in lengths}).drop("_hashes")
 
 
 def benchmark_windows(benchmark: DataFrame, span: int = 10) -> DataFrame:
@@ -55,35 +60,57 @@ def benchmark_windows(benchmark: DataFrame, span: int = 10) -> DataFrame:
     )
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """The frame, broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def screen(docs: DataFrame, wins: DataFrame, lengths: list[int], span: int, k: int) -> DataFrame:
+    """doc_id, key, n_words, n_rows and near (fingerprints that benchmark windows have too), a row for each different doc_id and key.
+
+    One pass takes the words of each text, and all its fingerprints, whatever windows' lengths there are.
+    """
+    tokens = docs.select("doc_id", "key", words("text").alias("w"))
+    own = fingerprints(wins.withColumn("w", F.split("window", " ")), lengths, span, k)
+    target = cut(own.select(F.explode(F.array_distinct(F.concat(*[F.when(F.col("n") == n, F.col(f"f{n}")).otherwise(F.array().cast("array<bigint>")) for n in lengths]))).alias("f")).distinct())
+    here = fingerprints(tokens, lengths, span, k).select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.array_distinct(F.concat(*[f"f{n}" for n in lengths])).alias("all"))
+    every = here.select("doc_id", "key", "n_words", F.posexplode_outer("all").alias("pos", "f"))
+    found = every.join(few(target.select("f", F.lit(True).alias("known")), BROADCAST_ROWS), "f", "left")
+    return found.groupBy("doc_id", "key", "n_words").agg(F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("n_rows"), F.collect_set(F.when(F.col("known"), F.col("f"))).alias("near"))
+
+
+def occurrences(docs: DataFrame, screened: DataFrame, wins: DataFrame, lengths: list[int], span: int, k: int) -> DataFrame:
+    """(key, start, n, items): around each fingerprint that is near, whole windows are compared word by word."""
+    near = screened.where(F.size("near") > 0).select("key", "near").dropDuplicates(["key"])
+    again = docs.select("key", "text").join(few(near, BROADCAST_DOCS), "key").dropDuplicates(["key"]).select("key", "near", words("text").alias("w"))
+    again = fingerprints(again, lengths, span, k)
+    spot = lambda n: lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("window"))
+    at = lambda n: F.when(F.size(f"f{n}") > 0, F.filter(F.sequence(F.lit(0), F.size(f"f{n}") - 1), lambda i: F.array_contains("near", F.get(f"f{n}", i)))).otherwise(F.array().cast("array<int>"))
+    spots = again.select("key", F.explode(F.concat(*[F.transform(at(n), spot(n)) for n in lengths])).alias("s")).select("key", "s.*")
+    return spots.join(few(wins, BROADCAST_ROWS // 10), ["window", "n"]).select("key", "start", "n", "items")
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, span: int, k: int) -> tuple[DataFrame, DataFrame] | None:
+    """What screen() and occurrences() give; None if no item has a window."""
+    wins = cut(benchmark_windows(benchmark, span))
+    lengths = sorted(r["n"] for r in wins.select("n").distinct().collect())  # at most span rows
+    if not lengths:
+        return None
+    screened = cut(screen(docs, wins, lengths, span, k))
+    return screened, occurrences(docs, screened, wins, lengths, span, k)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
     """Occurrences of benchmark windows: (key, start, n, items), start from 0 in words.
 
-    ``docs`` has key and text.  Both sides keep the minimum k-gram hash of each window;
-    the sides join on these fingerprints, and around each hit the whole windows are
-    compared word by word.  Items shorter than ``span`` are one window each and are found
-    by the hash of the whole window, one pass for each length that occurs (fewer than ``span``).
+    ``docs`` has key and text, equal texts where keys are equal.  Both sides keep the minimum k-gram hash of each window
+    and join on these fingerprints; texts with a hit are read again and whole windows compared.
+    Items shorter than ``span`` are one window each and are found by the hash of all their words.
+    Of the texts with a hit only keys and fingerprints move, by a broadcast up to BROADCAST_DOCS of
+    them; beyond it the texts are shuffled once.
     """
-    wins = benchmark_windows(benchmark, span)
-    shape = {r["n"]: r["count"] for r in wins.groupBy("n").count().collect()}  # at most span rows
-    found = []
-    for n in sorted(shape):
-        own = wins.where(F.col("n") == n)
-        kk = k if n == span else n
-        target = fingerprints(own.withColumn("w", F.split("window", " ")), "w", "f", n, kk).select(F.explode("f").alias("f")).distinct()
-        target = F.broadcast(target) if shape[n] <= BROADCAST_ROWS else target
-        here = fingerprints(docs.select("key", words("text").alias("w")), "w", "f", n, kk).select("key", F.explode(F.array_distinct("f")).alias("f"))
-        near = here.join(target, "f", "left_semi").groupBy("key").agg(F.collect_set("f").alias("near"))
-        again = docs.select("key", "text").join(near, "key").select("key", "near", words("text").alias("w"))
-        again = fingerprints(again, "w", "f", n, kk)
-        at = F.filter(F.sequence(F.lit(0), F.size("f") - 1), lambda i: F.array_contains("near", F.get("f", i)))
-        spots = again.select("key", "w", F.explode(at).alias("start")).select("key", "start", F.array_join(F.slice("w", F.col("start") + 1, n), " ").alias("window"))
-        found.append(spots.join(F.broadcast(own) if shape[n] <= BROADCAST_ROWS // 10 else own, "window").select("key", "start", "n", "items"))
-    if not found:
-        return docs.select("key").limit(0).select("key", F.lit(0).alias("start"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("items"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    found = matched(docs.select(F.lit(None).cast("long").alias("doc_id"), "key", "text"), benchmark, span, k)
+    return found[1] if found else docs.select("key").limit(0).select("key", F.lit(0).alias("start"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
@@ -92,21 +119,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     A document word is hit if an occurrence of a window of a benchmark item covers it.
     ``spans`` holds the (start, n) of each occurrence.  Null and empty texts have no
     words; items without words have no window; without benchmark rows nothing is hit.
-    A null item_id is named ``null``; repeated item ids count once.
+    A null item_id is named ``null``; repeated item ids count once; repeated rows each give a row.
     """
     rows = docs.select("doc_id", "text").withColumn("key", row_key("doc_id", "text"))
-    found = hits(rows, benchmark, span, k)
+    found = matched(rows, benchmark, span, k)
+    no_items, no_spans, zero = F.array().cast("array<string>"), F.array().cast("array<struct<start:int,n:int>>"), F.lit(0).cast("long")
+    if found is None:
+        return rows.select("doc_id", "key", F.size(words("text")).cast("long").alias("n_words"), zero.alias("n_hit"), no_items.alias("items"), no_spans.alias("spans"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["start"] + x["n"] - F.greatest(x["start"], a["end"]))).alias("n"), F.greatest(a["end"], x["start"] + x["n"]).alias("end"))
     per = (
-        found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("spans"), F.collect_set("items").alias("items"))
-        .select(F.col("key").alias("of"), "spans", F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"), F.aggregate("spans", start, step)["n"].cast("long").alias("n_hit"))
-    )
-    base = rows.select("doc_id", "key", F.regexp_count(text_of(), F.lit(ANY_WORD)).cast("long").alias("n_words"))
-    return base.join(per, base["key"] == per["of"], "left").select(
-        "doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,n:int>>")).alias("spans"),
+        found[1].groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("spans"), F.collect_set("items").alias("items"))
+        .select("key", "spans", F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"), F.aggregate("spans", start, step)["n"].cast("long").alias("n_hit"))
     )
+    return found[0].join(per, "key", "left").select(
+        "doc_id", "key", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("items", no_items).alias("items"), F.coalesce("spans", no_spans).alias("spans"),
+        F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("copy"),
+    ).drop("copy")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

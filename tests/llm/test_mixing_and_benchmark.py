@@ -92,6 +92,7 @@ def test_hits_equal_brute_force(spark):
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_broadcast_and_shuffle_agree(spark, sf, duck, limit, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_DOCS", limit)
     got = sorted(map(str, decontaminate.query(spark, sf).where("contaminated").select("doc_id", "n_hit", "items_sha256").collect()))
     want = duck.execute(f"SELECT doc_id, n_hit, items_sha256 FROM ({decontaminate.ORACLE}) WHERE contaminated").fetchall()
     assert len(got) == len(want) > 0
@@ -103,3 +104,11 @@ def test_benchmark_odd_and_empty(spark, odd, empty):
     got = decontaminate.decontaminate(odd, b).collect()
     assert len(got) == 6 and {tuple(r["items"]) for r in got if r.n_words} == {("1", "null")}
     assert {r.n_hit for r in decontaminate.decontaminate(odd, b.limit(0)).collect()} == {0}
+
+
+def test_long_texts_and_repeated_rows(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, long, "s"), (1, long, "s"), (1, "w5", "s"), (None, long, "s"), (None, None, "s"), (None, None, "s")]
+    b = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20_000, 20_012))), (2, "w7 w8")], "item_id long, text string")
+    got = decontaminate.decontaminate(make(spark, rows, clash=True), b).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in got) == sorted([("1", 30_000, 14), ("1", 30_000, 14), ("1", 1, 0), ("None", 30_000, 14), ("None", 0, 0), ("None", 0, 0)])
