@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and reread as the next stage's docs; all but the last return the columns of documents,
-n_chars being that of the text as it then stands.
+n_chars being that of the text as it then stands.  Further columns are left behind.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import decontaminate, fuzzy_lines, mixing, ngram_join, quality
-from tandem.llm.common import cut, row_key, scratch, table, text_of
+from tandem.llm.common import cut, discard, row_key, saved, table, text_of
 from tandem.llm.near import BROADCAST_NODES
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,13 +21,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier scores below 0.7 go.
 
     It is fitted on the given tables, so that a stage run by itself decides as a whole run does.
+    Null and empty texts have the score of no difference; repeated rows share a decision.
     """
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.score(docs.select(*COLUMNS), model, out="_score").where(F.col("_score") >= 0.7).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat another go; a document that so loses its last word goes too."""
+    """Lines that repeat another go; a document that so loses its last word goes too.
+
+    Null and empty texts have no line and stay.  Of repeated rows none goes for the other's sake, as
+    rows that are equal in doc_id and text share one decision.
+    """
     out = fuzzy_lines.dedup(docs.select(*COLUMNS))
     empty = (F.col("n_removed") > 0) & ~F.col("kept").rlike(r"[^\x20\x09-\x0D]")
     kept = out.where(~empty).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
@@ -58,7 +63,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a run of ten words of a benchmark item (or a whole shorter one) go."""
+    """Documents that hold a run of ten words of a benchmark item (or a whole shorter one) go.
+
+    Null and empty texts hold none and stay; repeated rows share a decision.
+    """
     found = decontaminate.hits(docs.select(row_key("doc_id", "text").alias("key"), "text"), table(spark, sf_dir, "benchmark"))
     bad = cut(found.select("key").distinct())
     bad = F.broadcast(bad) if bad.count() <= decontaminate.BROADCAST_DOCS else bad
@@ -66,7 +74,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: doc_id, size, source, source_size, target, copies, taken; documents of which it takes nothing go."""
+    """What the mix takes: doc_id, size, source, source_size, target, copies, taken; documents of which it takes nothing go.
+
+    Null and empty texts have size 0, so nothing is taken of them; repeated rows count each.
+    """
     return mixing.mix(docs).where("taken > 0")
 
 
@@ -84,9 +95,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = scratch(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs, path = saved(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(spark, last)
+        last = path
     return docs

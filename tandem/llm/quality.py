@@ -115,7 +115,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Add the score of each whole text, 0 to 1; null and empty texts get the calibration's value at no difference."""
+    """Add the score of each whole text, 0 to 1; null and empty texts get the calibration's value at no difference.
+
+    Repeated rows are scored alike; a column of ``docs`` that is already called ``out`` raises ValueError.
+    """
+
+    if out in docs.columns:
+        raise ValueError(f"the table already has {out}")
 
     def run(batch: pd.Series) -> pd.Series:
         return pd.Series(model.scores([t or "" for t in batch]))

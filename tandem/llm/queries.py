@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op10_substring_dedup": passages.ORACLE,
     "op2_arc_to_warc": warc.ORACLE,
+    "op3_threshold_rules": rules.ORACLE,
     "op6_winnow_decontaminate": decontaminate.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }

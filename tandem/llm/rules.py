@@ -35,7 +35,7 @@ RULES = (
     Rule("length", "n_words", "one", least=50, most=1_000_000),
     Rule("word_length", "word_chars", "all_words", least=2, most=14),
     Rule("symbols", "n_symbols", "all_words", most=0.4),
-    Rule("stop_words", "n_stop_words", "one", least=2),
+    Rule("stop_words", "n_stop_words", "all_words", least=0.05),
     Rule("line_copies", "n_dup_lines", "all_lines", most=0.5),
     Rule("bullet_lines", "n_bullet_lines", "all_lines", most=0.9),
     Rule("upper_case", "n_upper", "all_words", most=2.5),
@@ -43,6 +43,10 @@ RULES = (
 )
 
 
+#: What measures() adds.
+MEASURES = ("n_words", "n_repeat_words", "n_stop_words", "n_lines", "n_dup_lines", "n_bullet_lines", "word_chars", "n_symbols", "n_upper")
+
+
 def let(value: Column, body) -> Column:
     """body(value), with the value computed once wherever the optimiser moves the expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -61,10 +65,14 @@ def repeat_words(w: Column) -> Column:
 
 
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add what the rules weigh, all as long; a null text has none of it.
+    """Add what the rules weigh, all as long; a null or empty text has none of it.
 
-    Everything is computed inside the row, so no row is exploded and nothing is shuffled.
+    Everything is computed inside the row, so no row is exploded and nothing is shuffled; a
+    very long text costs its own row's memory, n log n in its words.  Repeated rows are measured alike.  Columns of
+    ``df`` that are called as one of the measures raise ValueError, so nothing is overwritten.
     """
+    if clash := sorted(set(MEASURES) & set(df.columns)):
+        raise ValueError(f"the table already has {', '.join(clash)}")
     t = text_of(text)
     plain = F.translate(t, SPACES, "")
     words = F.array_remove(F.split(F.translate(t, SPACES, " " * len(SPACES)), " "), "")
@@ -78,17 +86,11 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter(x, lambda y: F.ltrim(y).rlike(r"^[*•\-|]"))).cast("long").alias("n_bullet_lines"),
     ))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return (
-        df.withColumns({"_words": of_words, "_lines": of_lines})
-        .withColumns({
-            **{c: F.col("_words")[c] for c in ("n_words", "n_repeat_words", "n_stop_words")},
-            **{c: F.col("_lines")[c] for c in ("n_lines", "n_dup_lines", "n_bullet_lines")},
-            "word_chars": F.length(plain).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-            "n_upper": (F.length(plain) - F.length(F.translate(plain, upper, ""))).cast("long"),
-        })
-        .drop("_words", "_lines")
-    )
+    inner = df.select(F.struct("*").alias("row"), of_words.alias("words"), of_lines.alias("lines"), plain.alias("plain"), t.alias("t"))
+    found = {
+        "word_chars": F.length("plain"), "n_symbols": F.length("t") - F.length(F.translate("t", SYMBOLS, "")), "n_upper": F.length("plain") - F.length(F.translate("plain", upper, "")),
+    }
+    return inner.select("row.*", "words.*", "lines.*", *[c.cast("long").alias(name) for name, c in found.items()])
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -108,3 +110,29 @@ def query(spark, sf_dir: str) -> DataFrame:
     m = measures(table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict()).alias("kept"))
+
+
+def _oracle() -> str:
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM tri) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+         len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS stops, len(l) AS lines, len(list_filter(l, lambda x: regexp_matches(ltrim(x), '^[*•\-|]'))) AS bullets,
+         length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper, greatest(len(w), 1)::DOUBLE AS aw, greatest(len(l), 1)::DOUBLE AS al
+  FROM w LEFT JOIN cov USING (doc_id)
+),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_words BETWEEN 50 AND 1000000 AND word_chars / aw BETWEEN 2 AND 14 AND n_symbols / aw <= 0.4 AND stops / aw >= 0.05
+       AND n_dup_lines / al <= 0.5 AND bullets / al <= 0.9 AND upper / aw <= 2.5 AND n_repeat_words / aw <= 0.5 AS kept
+FROM b
+"""
+
+
+ORACLE = _oracle()

@@ -138,9 +138,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Add the score of each whole text, 0 to 1; null, empty and very short texts get that of no feature."""
+    """Add the score of each whole text, 0 to 1; null, empty and very short texts get that of no feature.
+
+    Repeated rows are scored alike; a column of ``docs`` that is already called ``out`` raises ValueError.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    if out in docs.columns:
+        raise ValueError(f"the table already has {out}")
+
     def run(batch: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores([t or "" for t in batch]))
 

@@ -8,7 +8,7 @@ from tandem.llm import labelled, quality, toxicity
 SMALL = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("op, label, modulus, held, hit, clean", [(quality, "quality", 4, 2, 0.8, 0.95), (toxicity, "toxic", 5, 0, 0.2, 0.95)])
+@pytest.mark.parametrize("op, label, modulus, held, hit, clean", [(quality, "quality", 4, 2, 0.8, 0.95), (toxicity, "toxic", 5, 0, 0.5, 0.95)])
 def test_held_out_accuracy(spark, op, label, modulus, held, hit, clean):
     got = op.query(spark, SMALL).toPandas()
     assert len(got) == 1000 and got.score.between(0, 1).all()
@@ -66,5 +66,16 @@ def test_a_long_text_does_not_end_the_sample(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, y int")
     got = labelled.sample(docs, labels, "y", F.lit(True), 10, 1000)
     assert sorted(y for _, y in got) == [0] * 5 + [1] * 5 and {len(t) for t, _ in got} == {100}
-    with pytest.raises(ValueError, match="y = 1"):
-        labelled.sample(docs, labels.select("doc_id", (F.col("doc_id") == first).cast("int").alias("y")), "y", F.lit(True), 10, 1000)
+    # a label whose only text is too long still has it
+    alone = labels.select("doc_id", (F.col("doc_id") == first).cast("int").alias("y"))
+    assert [len(t) for t, y in labelled.sample(docs, alone, "y", F.lit(True), 10, 1000) if y == 1] == [600]
+
+
+@pytest.mark.parametrize("op", [quality, toxicity])
+def test_repeated_rows_and_clashing_names(spark, op):
+    rows = [("good words in a sentence " * 5 + str(i), 1) for i in range(40)] + [("$$$ %%% ### " * 9 + str(i), 0) for i in range(40)]
+    docs = spark.createDataFrame([(1, "good words", "x"), (1, "good words", "x"), (2, None, "x")], "doc_id long, text string, mine string")
+    got = op.score(docs, op.fit(rows)).collect()
+    assert len(got) == 3 and got[0].score == got[1].score and {r.mine for r in got} == {"x"}
+    with pytest.raises(ValueError, match="already has score"):
+        op.score(docs.withColumn("score", docs.mine), op.fit(rows))

@@ -1,11 +1,17 @@
 """The pipeline's stages, each against what it must keep."""
 
+import itertools
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from tandem.llm import quality
 
-from .conftest import make
+from .conftest import CLASH, make
+from .test_mixing_and_benchmark import brute, water
+from .test_near import WORD, Sets, grams, similar
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -16,6 +22,67 @@ def test_run_over_the_test_tables(spark, sf):
     assert out.where("taken <= 0 or taken > 2 * size").count() == 0
 
 
+def test_run_equals_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text or "", r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    model = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    docs = sorted((d for d, p in zip(docs, model.scores([t for _, t, _ in docs])) if p >= 0.7), key=lambda d: d[0])
+    # lines: the first of each component of 5-character sets with 0.8 or more in common stays
+    lines = list(dict.fromkeys(x for _, t, _ in docs for x in t.split("\n") if re.search(WORD, x)))
+    sets = [frozenset(x[j : j + 5] for j in range(max(1, len(x) - 4))) for x in lines]
+    group = grouped(sets)
+    seen, left = set(), []
+    for i, t, s in docs:
+        keep = []
+        for x in t.split("\n"):
+            g = group[lines.index(x)] if re.search(WORD, x) else None
+            if g is None or g not in seen:
+                keep.append(x)
+            seen.add(g) if g is not None else None
+        new = "\n".join(keep)
+        if new == t or re.search(WORD, new):
+            left.append((i, new, s))
+    # near duplicates: the least id of each component of word 5-grams
+    sets = [grams(re.findall(WORD, t)) for _, t, _ in left]
+    group, first = grouped(sets), {}
+    for k, (i, _, _) in enumerate(left):
+        first.setdefault(group[k], i)
+    left = [d for k, d in enumerate(left) if not sets[k] or first[group[k]] == d[0]]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {r[0] for r in brute([d[:2] for d in left], items) if r[2] == 0}
+    left = [d for d in left if d[0] in clean]
+    size = {i: len(re.findall(WORD, t)) for i, t, _ in left}
+    sources = {s: sum(size[i] for i, _, x in left if x == s) for s in {d[2] for d in left}}
+    order = sorted((s for s in sources if s is not None), key=lambda s: s.encode()) + [None] * (None in sources)
+    target = water(sources, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(sources.values()))
+    got = {r.doc_id: r for r in cp.run(spark, sf).collect()}
+    assert got.keys() <= size.keys() and all(r["size"] == size[i] and r.target == pytest.approx(target[r.source]) for i, r in got.items())
+    for s in sources:
+        assert 0 <= target[s] - sum(r.taken for r in got.values() if r.source == s) < 1 + 1e-6
+    whole = {i for i, _, s in left if target[s] >= sources[s] and size[i]}
+    assert whole <= got.keys()
+
+
+def grouped(sets):
+    groups = Sets(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if sets[a] and sets[b] and similar(sets[a], sets[b]):
+            groups.join(a, b)
+    return [groups.top(k) for k in range(len(sets))]
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_stages_take_clashing_columns_and_odd_rows(spark, sf, odd, name, stage):
+    more = odd.withColumns({c: F.lit("mine") for c in CLASH})
+    got, plain = stage(spark, more, sf), stage(spark, odd, sf)
+    assert got.columns == plain.columns and sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_mixing_stage(spark, sf):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (2, None, "x"), (3, "", "y"), (4, "e f", "y"), (5, "g", None)]
+    got = cp.mixing_stage(spark, make(spark, rows), sf).collect()
+    assert {r.doc_id for r in got} == {1, 4, 5} and all(0 < r.taken <= 2 * r["size"] for r in got) and sum(r.doc_id == 1 for r in got) == 2
+
+
 def test_stage_names_and_order():
     assert [n for n, _ in cp.STAGES] == ["quality", "lines", "near_duplicates", "decontamination", "mixing"]
 

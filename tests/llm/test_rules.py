@@ -40,7 +40,17 @@ def test_verdict_keeps_good_and_drops_bad(spark, sf):
     """Over the labelled rows: what passes the base rules and is good stays, most of what is bad goes."""
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = rules.query(spark, sf).join(labels, "doc_id").where("not base_failed").toPandas()
-    assert got[got.quality == 1].kept.mean() == 1.0
+    assert got[got.quality == 1].kept.mean() == 1.0 and got[got.quality == 0].kept.mean() < 0.5
+
+
+def test_clashing_names_and_long_texts(spark):
+    import pytest
+
+    text = " ".join(f"w{i % 5000}" for i in range(200_000))
+    df = spark.createDataFrame([(1, text, "x"), (1, text, "x")], "doc_id long, text string, words string")
+    assert [(r.n_words, r.n_repeat_words, r.words) for r in rules.measures(df).collect()] == 2 * [(200_000, 200_000, "x")]
+    with pytest.raises(ValueError, match="already has n_lines"):
+        rules.measures(df.withColumn("n_lines", df.words))
 
 
 def test_odd_rows(odd, empty):
