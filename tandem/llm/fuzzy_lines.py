@@ -50,9 +50,12 @@ def line_shingles(buf: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     goff = np.r_[0, np.cumsum(count)]
     at = np.arange(goff[-1]) + np.repeat(first - goff[:-1], count)
-    width = np.repeat(np.minimum(n, k), count)
     place = np.r_[place, len(buf)]
-    return tokens.span_hashes(buf, place[at], place[at + width]), goff
+    whole = tokens.span_hashes(buf, place[:-k], place[k:]) if len(place) > k else np.zeros(0, np.uint64)
+    g = whole[np.minimum(at, len(whole) - 1)] if len(whole) else np.zeros(len(at), np.uint64)
+    short = np.flatnonzero((n < k) & (n > 0))
+    g[goff[short]] = tokens.span_hashes(buf, start[short], end[short])
+    return g, goff
 
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
@@ -134,7 +137,7 @@ def removed_lines(rows: DataFrame, k: int = CHARS, threshold: float = THRESHOLD)
         held = at.agg(F.coalesce(F.sum(F.lit(40) + 8 * F.size("lines")), F.lit(0))).first()[0]
         return line_texts(rows.join(F.broadcast(at) if held <= BROADCAST_BYTES else at, ["doc", "rid"]))
 
-    found = verified(edges, fetch, Shape(shingle(k), bands, BAND_ROWS), threshold)
+    found = verified(edges, fetch, Shape(shingle(k), bands, BAND_ROWS), threshold, counts=False)
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = nodes.join(roots, "node", "left").where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first", "n")
     groups = named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1").select("root", "kept")

@@ -25,13 +25,17 @@ EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different keys, the least node of each, and edges from other nodes to it."""
-    order = np.lexsort((nodes, keys))
+    if not len(keys):
+        return keys, nodes, np.zeros((0, 2), np.int64)
+    order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
-    head = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-    least = nodes[np.flatnonzero(head)][np.cumsum(head) - 1] if len(keys) else nodes
-    other = nodes != least
-    edges = np.unique(np.column_stack([nodes[other], least[other]]), axis=0)
-    return keys[head], nodes[head], edges
+    head = np.r_[True, keys[1:] != keys[:-1]]
+    least = np.minimum.reduceat(nodes, np.flatnonzero(head))
+    to = least[np.cumsum(head) - 1]
+    other = nodes != to
+    a, b = nodes[other], to[other]
+    _, first = np.unique(tokens.joined(a.view(np.uint64), b.view(np.uint64)), return_index=True)
+    return keys[head], least, np.column_stack([a[first], b[first]])
 
 
 def star_edges(rows: DataFrame, produce: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], n_pairs: float) -> DataFrame:
@@ -143,8 +147,8 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """As few of the pairs as connect what all of them connect."""
+def _forest(n: int, known: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """As few of the pairs as connect what all of them connect beyond the known ones."""
     up = list(range(n))
 
     def top(x: int) -> int:
@@ -154,11 +158,12 @@ def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for i, j in pairs.tolist():
+    for k, (i, j) in enumerate(known.tolist() + pairs.tolist()):
         a, b = top(i), top(j)
         if a != b:
             up[max(a, b)] = min(a, b)
-            out.append((i, j))
+            if k >= len(known):
+                out.append((i, j))
     return out
 
 
@@ -171,7 +176,7 @@ class Shape:
     rows: int
 
 
-def linked(raw: pa.Array, node: np.ndarray, group: np.ndarray, tile: np.ndarray, across: bool, keys: np.ndarray | None, band: int, shape: Shape, threshold: float) -> Iterator[tuple]:
+def linked(raw: pa.Array, node: np.ndarray, group: np.ndarray, tile: np.ndarray, across: bool, keys: np.ndarray | None, band: int, shape: Shape, threshold: float, counts: bool) -> Iterator[tuple]:
     """(node, other, links) of one unit; see verified()."""
     g, off = shape.shingle(raw)
     order = np.lexsort((node, group))
@@ -185,20 +190,23 @@ def linked(raw: pa.Array, node: np.ndarray, group: np.ndarray, tile: np.ndarray,
         n = np.array([len(x) for x in held], float)
         common = _common(held)
         link = common >= threshold * (n[:, None] + n[None, :] - common) - 1e-9
-        if across:
-            link &= tile[own][:, None] != tile[own][None, :]
         np.fill_diagonal(link, False)
-        if keys is not None:  # a pair counts in the first band that it shares
+        apart = tile[own][:, None] != tile[own][None, :]
+        # units of one tile tell what hangs together inside it; only what joins tiles is new here
+        inside = np.column_stack(np.nonzero(np.triu(link & ~apart))) if across else np.zeros((0, 2), np.int64)
+        if across:
+            link &= apart
+        if counts and keys is not None:  # a pair counts in the first band that it shares
             for i in np.flatnonzero(link.any(1)):
                 at = np.flatnonzero(link[i])
                 link[i, at] = ~(keys[own[i], :band] == keys[own[at], :band]).any(1)
         ids = node[own]
-        yield from ((int(ids[i]), None, int(c)) for i, c in enumerate(link.sum(1)) if c)
-        i, j = np.nonzero(np.triu(link))
-        yield from ((int(ids[a]), int(ids[b]), 0) for a, b in _forest(len(own), np.column_stack([i, j])))
+        if counts:
+            yield from ((int(ids[i]), None, int(c)) for i, c in enumerate(link.sum(1)) if c)
+        yield from ((int(ids[a]), int(ids[b]), 0) for a, b in _forest(len(own), inside, np.column_stack(np.nonzero(np.triu(link)))))
 
 
-def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, threshold: float) -> DataFrame:
+def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, threshold: float, counts: bool = True) -> DataFrame:
     """Rows (node, other, links): exact links among the nodes that share a band key.
 
     ``fetch`` gives (node, raw: its text in UTF-8) for the nodes asked for; a text is cut into
@@ -209,7 +217,7 @@ def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: S
     equal band keys, each cut into tiles in the same way, a pair being counted in the first
     band that it shares.  No task holds a large group, no pair becomes a row, and only
     texts linked by nothing but a chain go uncompared.  A row with links > 0 counts links of a node
-    within one unit; a row with ``other`` is an edge of a spanning forest.
+    within one unit (if ``counts`` are asked for); a row with ``other`` is an edge of a spanning forest.
     """
     groups = cut(components(edges).select("node", F.col("root").alias("group")))
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
@@ -245,7 +253,7 @@ def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: S
         if band >= 0:
             keys = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(len(node), shape.bands)
             group = keys[:, band]
-        out = list(linked(t.column("raw").combine_chunks(), node, group, tile, across, keys, band, shape, threshold))
+        out = list(linked(t.column("raw").combine_chunks(), node, group, tile, across, keys, band, shape, threshold, counts))
         cols = list(zip(*out)) if out else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "other", "links"])
 

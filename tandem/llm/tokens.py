@@ -27,26 +27,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+#: What a run starts with, by its length.
+_START = mix(np.arange(LONG_RUN + 1, dtype=U) * U(LENGTH) + U(BYTE))
+
+
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of the bytes from each start to its end."""
     start, size = np.asarray(start, np.int64), np.asarray(end, np.int64) - start
     padded = np.zeros(len(buf) + 8, np.uint8)
     padded[: len(buf)] = buf
     eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
-    h = mix(size.astype(U) * U(LENGTH) + U(BYTE))
-    if not len(h):
-        return h
+    if not len(size):
+        return np.zeros(0, U)
     longest = int(size.max())
-    if longest <= 8:
-        return mix((h ^ (eight[start] & _LOW[size])) * U(TOKEN))
-    big = np.flatnonzero(size > LONG_RUN) if longest > LONG_RUN else ()
-    live = np.flatnonzero(size <= LONG_RUN) if len(big) else np.arange(len(h))
-    at, left = start[live], size[live]
+    h = _START[np.minimum(size, LONG_RUN) if longest > LONG_RUN else size]
+    h = mix((h ^ (eight[start] & _LOW[np.minimum(size, 8) if longest > 8 else size])) * U(TOKEN))
+    live = np.flatnonzero((size > 8) & (size <= LONG_RUN)) if longest > 8 else ()
+    at, left = start[live] + 8 if len(live) else (), size[live] - 8 if len(live) else ()
     while len(live):
         h[live] = mix((h[live] ^ (eight[at] & _LOW[np.minimum(left, 8)])) * U(TOKEN))
         go = np.flatnonzero(left > 8)
         live, at, left = live[go], at[go] + 8, left[go] - 8
-    for i in big:
+    for i in np.flatnonzero(size > LONG_RUN) if longest > LONG_RUN else ():
         h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : start[i] + size[i]], digest_size=8).digest(), "little")
     return h
 
@@ -124,9 +126,7 @@ def shingles(tok: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 def min_hashes(g: np.ndarray, goff: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     """(texts x n) minima of n hash functions over each text's shingles; texts need one at least."""
-    rng = np.random.default_rng(seed)
-    mult = rng.integers(0, 2**31, n, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-    add = rng.integers(0, 2**32, n, dtype=np.int64).astype(np.uint32)
+    mult = np.random.default_rng(seed).integers(0, 2**31, n, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
     out = np.empty((len(goff) - 1, n), np.uint32)
     g = (g >> U(32)).astype(np.uint32)
     step = 0
@@ -136,7 +136,6 @@ def min_hashes(g: np.ndarray, goff: np.ndarray, n: int, seed: int = 1) -> np.nda
         buf = np.empty_like(part)
         for i in range(n):
             np.multiply(part, mult[i], out=buf)
-            buf += add[i]
             out[step:last, i] = np.minimum.reduceat(buf, at)
         step = last
     return out
