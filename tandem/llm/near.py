@@ -232,8 +232,8 @@ def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: S
     if most > 1:
         keyed = with_keys(fetch(tiled.where("tiles > 1").select("node")), shape)
         many = cut(tiled.where("tiles > 1").join(keyed, "node"))
-        member = many.select("group", "node", "tiles", F.posexplode("keys").alias("band", "key"))
-        bucket = member.groupBy("group", "band", "key").agg(F.count("*").alias("n")).where("n > 1").select("group", "band", "key", F.ceil(F.col("n") / TILE).alias("cuts"), "n")
+        member = cut(many.select("group", "node", F.posexplode("keys").alias("band", "key")))
+        bucket = cut(member.groupBy("group", "band", "key").agg(F.count("*").alias("n")).where("n > 1").select("group", "band", "key", F.ceil(F.col("n") / TILE).alias("cuts"), "n"))
         cost = bucket.groupBy("group").agg(F.sum(F.col("n") * F.col("cuts")).alias("by_bucket"))
         whole = many.groupBy("group").agg(F.sum("tiles").alias("by_tile")).join(cost, "group", "left")
         way = cut(whole.select("group", (F.coalesce("by_bucket", F.lit(0)) < F.col("by_tile")).alias("buckets")))
@@ -241,8 +241,9 @@ def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: S
         ends = lambda df: df.withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))).withColumn("lo", F.least("tile", "j")).withColumn("hi", F.greatest("tile", "j"))
         columns = ("unit", "band", "lo", "hi", "group", "node", "tile", "raw", "keys")
         by_tile = ends(dealt.where("not buckets").select("*", own)).withColumns({"unit": F.col("group"), "band": F.lit(-2)}).withColumn("keys", none).select(*columns)
-        spread = dealt.where("buckets").select("group", "node", "raw", "keys", F.posexplode("keys").alias("band", "key"))
-        spread = spread.join(bucket.select("group", "band", "key", F.col("cuts").alias("tiles")), ["group", "band", "key"])
+        # keys that no other member has go before the texts come in
+        shared = bucket.join(way.where("buckets"), "group").select("group", "band", "key", F.col("cuts").alias("tiles"))
+        spread = member.join(shared, ["group", "band", "key"]).join(many.select("node", "raw", "keys"), "node")
         by_bucket = ends(spread.select("*", own)).withColumn("unit", F.xxhash64("group", "key")).select(*columns)
         rows = small.unionByName(by_tile).unionByName(by_bucket)
 
