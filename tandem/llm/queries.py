@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fuzzy_lines, mixing, ngram_join, passages, quality, rules, suffixes, toxicity, warc
+from . import bpe, decontaminate, fuzzy_lines, mixing, ngram_join, passages, quality, rules, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_compression_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.query,
     "op9_toxicity_nbsvm": toxicity.query,
     "op10_substring_dedup": passages.query,
+    "op12_byte_bpe": bpe.query,
 }
 
 ORACLES = {
