@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fuzzy_lines, lexical, mixing, ngram_join, passages, quality, rules, suffixes, toxicity, warc
+from . import bpe, decontaminate, divergence, fuzzy_lines, lexical, mixing, ngram_join, passages, quality, rules, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_compression_quality": quality.query,
@@ -17,11 +17,13 @@ QUERIES = {
     "op10_substring_dedup": passages.query,
     "op11_stratified_search": lexical.query,
     "op12_byte_bpe": bpe.query,
+    "op13_source_divergence": divergence.query,
 }
 
 ORACLES = {
     "op10_substring_dedup": passages.ORACLE,
     "op11_stratified_search": lexical.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
     "op2_arc_to_warc": warc.ORACLE,
     "op3_threshold_rules": rules.ORACLE,
     "op6_winnow_decontaminate": decontaminate.ORACLE,
