@@ -35,6 +35,10 @@ CHUNK_DOCS, CHUNK_TERMS = 4096, 100_000
 BLOCK_TERMS = 200_000
 #: Chunks from which an item's first scores are taken, highest bounds first.
 SEED_CHUNKS = 4
+#: Strata that hold more than one in so many of all terms are cut into slices, each of that share.
+HOT_SHARE = 1000
+#: Texts in an Arrow batch: those of one stratum may all be long.
+TEXT_ROWS = 100
 #: Rows of the index in an Arrow batch.
 INDEX_ROWS = 32
 INDEX = "chunk long, m long, docs array<long>, terms array<binary>, n_runs array<int>, tfs array<int>, lens array<int>, places array<int>"
@@ -92,21 +96,43 @@ def normaliser(n: Column, n_docs: int, n_terms: int) -> Column:
     return F.lit(10) + F.call_function("div", product, F.lit(max(1, n_terms)).cast("decimal(19,0)")).cast("long")
 
 
+def _sizes(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, text) with n, the number of terms, or only how many documents have each n; those without a term go."""
+    found: Counter = Counter()
+    for b in batches:
+        n = np.fromiter((len(t.as_buffer().to_pybytes().translate(_FOLD).split()) for t in b.column("text")), np.int64, b.num_rows)
+        if keep:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], ["doc", "text", "n"]).filter(pa.array(n > 0))
+        else:
+            found.update(n.tolist())
+    if not keep:
+        found.pop(0, None)
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], ["n", "docs"])
+
+
 def build(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, chunk_terms: int = CHUNK_TERMS) -> Index:
     """Index every document that has a term: doc_id (cast to long) and text, whole.
 
-    Documents are dealt out by ranges of m, so a stratum is in one place unless it is large: a
-    hot one (many documents of one length, copies) is split by row and stored in chunks.
-    Null and empty texts have no term and no score.  Repeated rows are documents of their own.
+    A first pass counts the documents of each length.  A second deals texts out by m; a stratum of
+    more than one in HOT_SHARE of all terms (documents of one length, copies) is cut into slices by
+    row, so at most HOT_SHARE strata are listed and broadcast.  Tasks read a stratum in
+    order and store it in chunks.  Null and empty texts have no term and no score.  Repeated rows are
+    documents of their own.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("text")).withColumn("n", F.regexp_count("text", F.lit(TERM)).cast("long"))
-    found = sized.agg(F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    rows = sized.where("n > 0").select(normaliser(F.col("n"), found["docs"], found["terms"]).alias("m"), F.monotonically_increasing_id().alias("row"), "doc", F.col("text").cast("binary").alias("text"))
-    dealt = rows.repartitionByRange("m", "row").sortWithinPartitions("m", "row")
-    path = scratch(spark, "index")
-    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().cast("binary").alias("text"))
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS):
+        sizes, sizes_path = saved(rows.mapInArrow(lambda batches: _sizes(batches, False), "n long, docs long").groupBy("n").agg(F.sum("docs").alias("docs")), "sizes")
+        found = sizes.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.col("n") * F.col("docs")), F.lit(0)).alias("terms")).first()
+        m = normaliser(F.col("n"), found["docs"], found["terms"])
+        share = math.ceil(found["terms"] / HOT_SHARE) or 1
+        strata = sizes.groupBy(m.alias("of")).agg(F.ceil(F.sum(F.col("n") * F.col("docs")) / share).alias("slices")).where("slices > 1")
+        texts = rows.mapInArrow(lambda batches: _sizes(batches, True), "doc long, text binary, n long").select(m.alias("m"), F.monotonically_increasing_id().alias("row"), "doc", "text")
+        placed = texts.join(F.broadcast(strata), F.col("m") == F.col("of"), "left").withColumn("slice", F.pmod(F.xxhash64("row"), F.coalesce("slices", F.lit(1))))
+        dealt = placed.repartition("m", "slice").sortWithinPartitions("m", "slice", "row").select("row", "m", "doc", "text")
+        path = scratch(spark, "index")
         dealt.mapInArrow(lambda batches: _chunks(batches, chunk_docs, chunk_terms), INDEX).write.option("parquet.block.size", 16 << 20).parquet(path)
+    discard(spark, sizes_path)
     return Index(spark, path, found["docs"], found["terms"])
 
 
