@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, saved, table
+from .common import discard, saved, setting, table
 
 #: Terms: maximal runs of ASCII letters and all that is not ASCII; only A-Z are lower-cased.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -27,7 +27,9 @@ _FOLD = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else
 #: Documents of a language that must hold a term.
 MIN_DOCS = 10
 #: Terms that a task gathers before it sends their counts.
-GATHER = 300_000
+GATHER = 150_000
+#: Texts in an Arrow batch.
+TEXT_ROWS = 100
 #: Groups on a side of a tile of pairs, and postings of a block of terms, about.
 TILE, BLOCK = 1024, 1_000_000
 SCALE = 1_000_000_000
@@ -160,7 +162,8 @@ def audit(docs: DataFrame, top: int = 10, min_docs: int = MIN_DOCS) -> DataFrame
     without terms still has its pairs; a language without kept terms has pairs of value 0;
     repeated rows count each; an empty table gives no rows.  All sums are exact integers.
     """
-    counts, counts_path = saved(term_counts(docs), "counts")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS):
+        counts, counts_path = saved(term_counts(docs), "counts")
     terms = counts.groupBy("lang", "term").agg(F.sum("count").alias("total"), F.sum("docs").alias("in_docs")).where(F.col("in_docs") >= min_docs)
     kept, kept_path = saved(counts.join(terms.select("lang", "term", "total"), ["lang", "term"]), "kept")
     langs = kept.groupBy("lang", "term").agg(F.first("total").alias("total")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
