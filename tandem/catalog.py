@@ -6,16 +6,16 @@ rounded to 6 decimals on both sides, as engines differ in the last bits.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.stats import t_statistic
 from .operators import align, coupling, deviation, profile, project, rank
 from .plans import fixtures as fx
+from .plans.shared import saved
+from .plans.shared import scratch as _scratch
 from .sources import tables as src
 
 #: Masked rows and stratum sizes asked for over the embeddings fixture.
@@ -29,7 +29,8 @@ def register(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = f"WITH {fx.SQL} {sql}" if sql.lstrip().startswith(("SELECT", "FROM")) else f"WITH {fx.SQL}, {sql.lstrip()}"
+            text, recursive = sql.lstrip().removeprefix("RECURSIVE"), "RECURSIVE " * sql.lstrip().startswith("RECURSIVE")
+            ORACLES[name] = f"WITH {recursive}{fx.SQL}{' ' if text.startswith(('SELECT', 'FROM')) else ', '}{text}"
         return f
 
     return add
@@ -43,11 +44,6 @@ def rd(x: str, digits: int = 6) -> str:
     return f"round(CAST({x} AS DOUBLE), {digits}) + 0.0::DOUBLE"
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _pairs(spark, d):
     m = fx.measurements(spark, d)
     f = fx.features(spark, d)
@@ -310,27 +306,45 @@ f AS (SELECT cell_id, cell_type, y1, y2, n1 + w11 * (x1 - m1) + w12 * (x2 - m2)
 dev AS (SELECT cell_id, cell_type, (abs(y1 - e1) + abs(y2 - e2)) / 2 AS s FROM f)"""
 
 
-def _vectors(spark, d, p: int = 2, q: int = 2):
-    m, c = fx.measurements(spark, d), fx.cells(spark, d)
-    return deviation.vectors(m, c, [f"f{i}" for i in range(p)], "x").join(deviation.vectors(m, c, [f"p{i}" for i in range(q)], "y"), "cell_id")
+#: The same fit for all 32 predictors and targets: moments, then elimination of one column in each step.
+WIDE = f"""
+RECURSIVE mu AS (SELECT pos, avg(value) AS m FROM long GROUP BY pos),
+dv AS (SELECT cell_id, pos, value - m AS v FROM long JOIN mu USING (pos)),
+gr AS (SELECT a.pos AS i, list(s + CASE WHEN a.pos = pos2 THEN 1 ELSE 0 END ORDER BY pos2) AS r FROM (
+         SELECT a.pos, b.pos AS pos2, sum(a.v * b.v) AS s FROM dv a JOIN dv b USING (cell_id) WHERE a.pos < 32 GROUP BY 1, 2) a GROUP BY 1),
+el(k, m) AS (SELECT 1, (SELECT list(r ORDER BY i) FROM gr) UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM el WHERE k <= 32),
+ws AS (SELECT i, j, m[i + 1][j + 33] AS w FROM (SELECT m FROM el WHERE k = 33), range(32) a(i), range(32) b(j)),
+ic AS (SELECT j, any_value(y.m) - sum(w * x.m) AS b FROM ws JOIN mu x ON x.pos = i JOIN mu y ON y.pos = j + 32 GROUP BY j),
+f AS (SELECT x.cell_id, j, sum(x.value * w) + any_value(b) AS e FROM long x JOIN ws ON x.pos = i JOIN ic USING (j) GROUP BY 1, 2),
+dev AS (SELECT c.cell_id, c.cell_type, avg(abs(y.value - e)) AS s FROM f JOIN long y ON y.cell_id = f.cell_id AND y.pos = j + 32 JOIN cells c ON c.cell_id = f.cell_id GROUP BY 1, 2)"""
+
+
+def _ridge(spark, d, p: int = 2, q: int = 2, first: int = 1):
+    """Rows and the fit of the first p and q features; names are cut to what follows their first letters."""
+    place = F.substring("feature", 2, 9).cast("int")
+    named = lambda df: df.withColumn("feature", F.substring("feature", first, 9))
+    have = fx.features(spark, d)
+    side = lambda kind, n: have.where((F.col("feature_type") == kind) & (place < n)).withColumn("place", place)
+    to = deviation.layout(named(side("GEX", p)), named(side("ADT", q)), "place")
+    rows, _ = saved(deviation.vectors(named(fx.measurements(spark, d)), fx.cells(spark, d), to), "vectors")
+    return rows, deviation.fit_ridge(rows, to.p, to.q)
 
 
-def _deviation(spark, d, p: int = 2, q: int = 2):
-    return deviation.deviation_score(_vectors(spark, d, p, q)).join(fx.cells(spark, d).select("cell_id", "cell_type"), "cell_id")
+def _deviation(spark, d, *args):
+    return deviation.deviation_score(*_ridge(spark, d, *args)).join(fx.cells(spark, d).select("cell_id", "cell_type"), "cell_id")
 
 
 @register("j12_predict", f"{RIDGE} SELECT cell_id, {rd('e1')} AS yhat1, {rd('e2')} AS yhat2 FROM f")
 def _(spark, d):
-    xy = _vectors(spark, d)
-    out = deviation.predict(xy, *deviation.fit_ridge(xy))
+    out = deviation.predict(*_ridge(spark, d))
     return rounded(out.select("cell_id", F.get("yhat", F.lit(0)).alias("yhat1"), F.get("yhat", F.lit(1)).alias("yhat2")), "yhat1", "yhat2")
 
 
-@register("j12_predict_wide")
+@register("j12_predict_wide", f"{WIDE} SELECT cell_id, 'p' || j AS target, {rd('e')} AS yhat FROM f")
 def _(spark, d):
-    xy = _vectors(spark, d, fx.WIDTH, fx.WIDTH)
-    out = deviation.predict(xy, *deviation.fit_ridge(xy)).select("cell_id", F.posexplode("yhat").alias("target", "yhat"))
-    return rounded(out.withColumn("target", F.concat(F.lit("p"), "target")), "yhat")
+    out = deviation.predict(*_ridge(spark, d, fx.WIDTH, fx.WIDTH)).select("cell_id", "j", F.posexplode("yhat").alias("at", "yhat"))
+    return rounded(out.select("cell_id", F.concat(F.lit("p"), F.col("j") * deviation.BLOCK + F.col("at")).alias("target"), "yhat"), "yhat")
 
 
 # -- aggregations and statistics ---------------------------------------------------
@@ -396,16 +410,16 @@ def _(spark, d):
 
 @register("a10_fit_ridge", f"{RIDGE} SELECT 'y1' AS target, {rd('w11')} AS w1, {rd('w12')} AS w2, {rd('n1 - w11 * m1 - w12 * m2')} AS b FROM w UNION ALL SELECT 'y2', {rd('w21')}, {rd('w22')}, {rd('n2 - w21 * m1 - w22 * m2')} FROM w")
 def _(spark, d):
-    w, b = deviation.fit_ridge(_vectors(spark, d))
-    rows = [(f"y{j + 1}", float(w[0, j]), float(w[1, j]), float(b[j])) for j in range(2)]
-    return rounded(spark.createDataFrame(rows, "target string, w1 double, w2 double, b double"), "w1", "w2", "b")
+    _, fit = _ridge(spark, d)
+    w = fit.coefficients().groupBy("target").agg(*[F.max(F.when(F.col("predictor") == i, F.col("weight"))).alias(f"w{i + 1}") for i in range(2)])
+    return rounded(w.join(fit.intercepts(), "target").withColumn("target", F.concat(F.lit("y"), F.col("target") + 1)), "w1", "w2", "b")
 
 
-@register("a10_fit_ridge_wide")
+@register("a10_fit_ridge_wide", f"{WIDE} SELECT 'p' || j AS target, 'f' || i AS predictor, {rd('w')} AS weight, {rd('b')} AS b FROM ws JOIN ic USING (j)")
 def _(spark, d):
-    w, b = deviation.fit_ridge(_vectors(spark, d, fx.WIDTH, fx.WIDTH))
-    rows = [(f"p{j}", np.round(w[:, j], 6).tolist(), float(b[j])) for j in range(fx.WIDTH)]
-    return rounded(spark.createDataFrame(rows, "target string, w array<double>, b double"), "b")
+    _, fit = _ridge(spark, d, fx.WIDTH, fx.WIDTH)
+    out = fit.coefficients().join(fit.intercepts(), "target")
+    return rounded(out.select(F.concat(F.lit("p"), "target").alias("target"), F.concat(F.lit("f"), "predictor").alias("predictor"), "weight", "b"), "weight", "b")
 
 
 @register("a11_deviation", f"{RIDGE} SELECT cell_id, cell_type, {rd('s')} AS deviation_score FROM dev")
@@ -413,9 +427,15 @@ def _(spark, d):
     return rounded(_deviation(spark, d), "deviation_score")
 
 
-@register("a11_deviation_wide")
+@register("a11_deviation_wide", f"{WIDE} SELECT cell_id, {rd('s')} AS deviation_score FROM dev")
+def _(spark, d):
+    return rounded(deviation.deviation_score(*_ridge(spark, d, fx.WIDTH, fx.WIDTH)), "deviation_score")
+
+
+@register("a11_deviation_shared_names", f"{WIDE} SELECT cell_id, {rd('s')} AS deviation_score FROM dev")
 def _(spark, d):
-    return rounded(deviation.deviation_score(_vectors(spark, d, 32, 32)), "deviation_score")
+    # without their first letter all names stand in both types: a predictor in one, a target in the other
+    return rounded(deviation.deviation_score(*_ridge(spark, d, fx.WIDTH, fx.WIDTH, 2)), "deviation_score")
 
 
 @register("a12_value_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -477,7 +497,7 @@ def _(spark, d):
     return rounded(deviation.deviation_overview(_deviation(spark, d)), "mean", "std")
 
 
-@register("a21_deviation_overview_wide")
+@register("a21_deviation_overview_wide", f"{WIDE} SELECT {rd('avg(s)')} AS mean, {rd('stddev_pop(s)')} AS std FROM dev")
 def _(spark, d):
     return rounded(deviation.deviation_overview(_deviation(spark, d, fx.WIDTH, fx.WIDTH)), "mean", "std")
 
@@ -487,7 +507,7 @@ def _(spark, d):
     return rounded(deviation.deviation_by_stratum(_deviation(spark, d)), "mean", "std")
 
 
-@register("a22_deviation_by_type_wide")
+@register("a22_deviation_by_type_wide", f"{WIDE} SELECT cell_type, {rd('avg(s)')} AS mean, {rd('stddev_samp(s)')} AS std, count(*) AS \"count\" FROM dev GROUP BY 1 HAVING count(*) >= 50")
 def _(spark, d):
     return rounded(deviation.deviation_by_stratum(_deviation(spark, d, fx.WIDTH, fx.WIDTH)), "mean", "std")
 

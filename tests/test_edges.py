@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tandem.functions.stats import p_values, pearson_p_value, t_statistic
-from tandem.operators import align, coupling, deviation, profile, project, rank
+from tandem.operators import align, coupling, profile, project, rank
 from tandem.sources import tables
 
 
@@ -118,39 +118,6 @@ def test_overlap_and_identity(spark):
     assert one(align.axis_overlap(a.withColumnRenamed("cell_id", "feature"), b.limit(0).withColumnRenamed("cell_id", "feature"))) == {"n_first": 2, "n_second": 0, "n_both": 0}
 
 
-def vectors(spark, x, y):
-    return spark.createDataFrame([(str(i), a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "cell_id string, x array<double>, y array<double>")
-
-
-@pytest.mark.parametrize("partitions", [1, 8])
-def test_ridge_equals_numpy(spark, partitions):
-    rng = np.random.default_rng(3)
-    x = rng.normal(50, 1, (200, 5))
-    y = x @ rng.normal(size=(5, 4)) + rng.normal(size=(200, 4))
-    xy = vectors(spark, x, y).repartition(partitions)
-    w, b = deviation.fit_ridge(xy)
-    xc, yc = x - x.mean(0), y - y.mean(0)
-    want = np.linalg.solve(xc.T @ xc + np.eye(5), xc.T @ yc)
-    assert np.allclose(w, want, atol=1e-9) and np.allclose(b, y.mean(0) - x.mean(0) @ want, atol=1e-7)
-    fitted = x @ w + b
-    assert np.allclose((y - fitted).mean(0), 0, atol=1e-8)
-    got = {r.cell_id: r.deviation_score for r in deviation.deviation_score(xy).collect()}
-    assert np.allclose([got[str(i)] for i in range(200)], np.abs(y - fitted).mean(1), atol=1e-8)
-    with pytest.raises(ValueError, match="at most"):
-        deviation.fit_ridge(xy, max_predictors=4)
-
-
-def test_ridge_in_blocks_equals_numpy(spark):
-    rng = np.random.default_rng(5)
-    n, p, q = 300, 1700, 1300
-    x = rng.normal(1e4, 1, (n, p))
-    y = x[:, :5] @ rng.normal(size=(5, q)) + rng.normal(size=(n, q))
-    w, b = deviation.fit_ridge(vectors(spark, x, y).repartition(3).cache(), strip_bytes=8 * (p + q) * 600)
-    xc, yc = x - x.mean(0), y - y.mean(0)
-    want = np.linalg.solve(xc.T @ xc + np.eye(p), xc.T @ yc)
-    assert w.shape == (p, q) and np.allclose(w, want, atol=1e-8) and np.allclose(b, y.mean(0) - x.mean(0) @ want, atol=1e-3)
-
-
 def test_split_modality_keeps_shared_names_apart(spark):
     meas = spark.createDataFrame([("c", "GEX", "CD4", 1.0), ("c", "ADT", "CD4", 2.0), ("c", "ADT", "CD8", 3.0)], "cell_id string, feature_type string, feature string, value double")
     feats = meas.select("feature", "feature_type").distinct()
@@ -218,27 +185,3 @@ def test_no_join_is_a_cross_join_but_densify(spark, sf):
     for name in ("j3_align_pairs", "a3_by_cell_type", "a8_consistency"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
-def test_wide_ridge_queries_equal_numpy(spark, sf):
-    from tandem.catalog import QUERIES
-
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
-    v = np.maximum(np.vstack(e.embedding.to_numpy()).astype(float), 0)
-    x, y = v[:, :32], v[:, 32:]
-    xc = x - x.mean(0)
-    w = np.linalg.solve(xc.T @ xc + np.eye(32), xc.T @ (y - y.mean(0)))
-    b = y.mean(0) - x.mean(0) @ w
-    fitted = x @ w + b
-    score = np.abs(y - fitted).mean(1)
-    close = lambda a, b: np.allclose(a, b, rtol=0, atol=2e-6)
-    fit = {r.target: r for r in QUERIES["a10_fit_ridge_wide"](spark, sf).collect()}
-    assert len(fit) == 32 and all(close(fit[f"p{j}"].w, w[:, j]) and close(fit[f"p{j}"].b, b[j]) for j in range(32))
-    got = {(r.cell_id, r.target): r.yhat for r in QUERIES["j12_predict_wide"](spark, sf).collect()}
-    assert len(got) == fitted.size and close([[got[str(i), f"p{j}"] for j in range(32)] for i in e.vec_id], fitted)
-    r = QUERIES["a21_deviation_overview_wide"](spark, sf).first()
-    assert close([r["mean"], r["std"]], [score.mean(), score.std()])
-    types = {f"T{k}": score[(e.label == k).to_numpy()] for k in e.label.unique()}
-    want = {k: (s.mean(), s.std(ddof=1), len(s)) for k, s in types.items() if len(s) >= 50}
-    got = {r.cell_type: (r["mean"], r["std"], r["count"]) for r in QUERIES["a22_deviation_by_type_wide"](spark, sf).collect()}
-    assert want and got.keys() == want.keys() and all(close(got[k], want[k]) for k in want)
