@@ -6,13 +6,14 @@ rounded to 6 decimals on both sides, as engines differ in the last bits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.stats import t_statistic
-from .operators import align, coupling, deviation, profile, project, rank
+from .functions.stats import pearson, t_statistic
+from .operators import align, coupling, deviation, profile, project, rank, select
 from .plans import fixtures as fx
 from .plans.shared import saved
 from .plans.shared import scratch as _scratch
@@ -20,6 +21,8 @@ from .sources import tables as src
 
 #: Masked rows and stratum sizes asked for over the embeddings fixture.
 MIN_CELLS, MIN_STRATUM = 20, 50
+#: Buckets of the fixture's tables; a cluster takes as many as give some 128 MB each.
+BUCKETS = 8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -252,6 +255,17 @@ def _(spark, d):
     return rounded(_pairs(spark, d), "x", "y")
 
 
+@register("j3_align_bucketed", f"SELECT cell_type, cell_id, pair_id, feature, {rd('x')} AS x, {rd('y')} AS y FROM pairs JOIN cells USING (cell_id)")
+def _(spark, d):
+    # both modalities and the annotations in the same buckets: neither the outer join nor the one with cells shuffles
+    m, f = fx.measurements(spark, d), fx.features(spark, d)
+    own = uuid.uuid4().hex
+    x, y = (src.write_bucketed(project.split_modality(m, f, kind), f"bucketed_{kind}_{own}", BUCKETS) for kind in ("GEX", "ADT"))
+    both = align.align_bucketed(x, y, fx.pair_names(spark, d), f"bucketed_pairs_{own}", BUCKETS)
+    c = src.write_bucketed(fx.cells(spark, d), f"bucketed_cells_{own}", BUCKETS)
+    return rounded(align.attach_cells(both, c, ["cell_type"]), "x", "y").select("cell_type", "cell_id", "pair_id", "feature", "x", "y")
+
+
 @register("j4_attach_cells", "SELECT cell_type, donor_id, pair_id, count(*) AS n FROM pairs JOIN cells USING (cell_id) GROUP BY ALL")
 def _(spark, d):
     return align.attach_cells(_pairs(spark, d), fx.cells(spark, d), ["cell_type", "donor_id"]).groupBy("cell_type", "donor_id", "pair_id").agg(F.count("*").alias("n"))
@@ -290,10 +304,14 @@ def _(spark, d):
     return rounded(align.compare_axes(_line_coupling(spark, d), _line_coupling(spark, d, True)), "r1", "r2")
 
 
-@register("j11_axis_overlap", f"{LINE_COUPLING}, {LINE_COUPLING2}, o AS (SELECT * FROM lc2 WHERE CAST(feature AS BIGINT) % 3 = 0) SELECT (SELECT count(*) FROM lc) AS n_first, (SELECT count(*) FROM o) AS n_second, (SELECT count(*) FROM lc JOIN o USING (feature)) AS n_both")
+#: Masked rows asked for on the second axis of the overlap, so that some features stand on the first alone.
+MIN_SECOND = 600
+
+
+@register("j11_axis_overlap", f"{LINE_COUPLING}, {LINE_COUPLING2}, o AS (SELECT * FROM lc2 WHERE n_cells >= {MIN_SECOND}) SELECT (SELECT count(*) FROM lc) AS n_first, (SELECT count(*) FROM o) AS n_second, (SELECT count(*) FROM lc JOIN o USING (feature)) AS n_both")
 def _(spark, d):
-    # the second axis lacks features by construction, so that the three counts differ
-    return align.axis_overlap(_line_coupling(spark, d), _line_coupling(spark, d, True).where(F.col("feature").cast("long") % 3 == 0))
+    second = coupling.per_feature_pearson(fx.lineitem_pairs(spark, d, "l_quantity", "l_extendedprice"), MIN_SECOND)
+    return align.axis_overlap(_line_coupling(spark, d), second)
 
 
 RIDGE = """
@@ -365,7 +383,19 @@ def _(spark, d):
     return rounded(_line_coupling(spark, d).select("pair_id", t_statistic(F.col("pearson_r"), F.col("n_cells")).alias("t")), "t")
 
 
-@register("a2_p_value")
+#: I(1 - r^2; a, 1/2) with the library's gamma function and a fold over the terms of the continued fraction.
+P_VALUE = f"""
+{LINE_COUPLING},
+pa AS (SELECT *, (n_cells - 2) / 2.0::DOUBLE AS a, 1 - r * r AS x FROM lc),
+ps AS (SELECT *, CASE WHEN x > (a + 1) / (a + 2.5) THEN 0.5::DOUBLE ELSE a END AS p, CASE WHEN x > (a + 1) / (a + 2.5) THEN a ELSE 0.5::DOUBLE END AS q,
+              CASE WHEN x > (a + 1) / (a + 2.5) THEN r * r ELSE x END AS z FROM pa),
+pf AS (SELECT *, list_reduce(list_reverse(range(1, 401)), lambda f, m: 1 + CASE WHEN m % 2 = 0
+                   THEN (m // 2) * (q - m // 2) * z / ((p + 2 * (m // 2) - 1) * (p + 2 * (m // 2)))
+                   ELSE -(p + m // 2) * (p + q + m // 2) * z / ((p + 2 * (m // 2)) * (p + 2 * (m // 2) + 1)) END / f, 1.0::DOUBLE) AS frac FROM ps),
+pv AS (SELECT pair_id, feature, r, n_cells, exp(p * ln(z) + q * ln(1 - z) + lgamma(p + q) - lgamma(p) - lgamma(q)) / p / frac AS part, x > (a + 1) / (a + 2.5) AS swap FROM pf)"""
+
+
+@register("a2_p_value", f"{P_VALUE} SELECT pair_id, feature, {rd('r')} AS pearson_r, n_cells, {rd('CASE WHEN swap THEN 1 - part ELSE part END')} AS p_value FROM pv")
 def _(spark, d):
     return rounded(coupling.per_feature_pearson(fx.lineitem_pairs(spark, d), p_value=True), "pearson_r", "p_value")
 
@@ -380,6 +410,17 @@ def _(spark, d):
     return rounded(_by_stratum(spark, d), "pearson_r")
 
 
+@register(
+    "a1_a3_a4_one_scan",
+    f"pm AS (SELECT pair_id, feature, x, y, cell_type, donor_id FROM pairs JOIN cells USING (cell_id)), "
+    f"u AS (SELECT 'all' AS axis, NULL AS stratum, * EXCLUDE (cell_type, donor_id) FROM pm UNION ALL SELECT 'cell_type', cell_type, * EXCLUDE (cell_type, donor_id) FROM pm WHERE cell_type IN (SELECT cell_type FROM cells GROUP BY 1 HAVING count(*) >= {MIN_STRATUM}) "
+    f"UNION ALL SELECT 'donor_id', donor_id, * EXCLUDE (cell_type, donor_id) FROM pm WHERE donor_id IN (SELECT donor_id FROM cells GROUP BY 1 HAVING count(*) >= {MIN_STRATUM})) "
+    f"SELECT axis, stratum, pair_id, any_value(feature) AS feature, {rd(_r())} AS pearson_r, count(*) AS n_cells FROM u GROUP BY axis, stratum, pair_id HAVING count(*) >= {MIN_CELLS}",
+)
+def _(spark, d):
+    return rounded(coupling.coupling_in_one_scan(_pairs(spark, d), fx.cells(spark, d), min_stratum=MIN_STRATUM, min_cells=MIN_CELLS), "pearson_r")
+
+
 @register("a5_stratum_sizes", "SELECT cell_type AS stratum, count(*) AS n, count(*) >= 50 AS kept FROM cells GROUP BY 1")
 def _(spark, d):
     return coupling.stratum_sizes(fx.cells(spark, d), "cell_type", 50)
@@ -403,6 +444,18 @@ def _(spark, d):
     return rounded(coupling.stratum_consistency(_by_stratum(spark, d)), "r")
 
 
+@register(
+    "a8_consistency_months",
+    f"bm AS (SELECT l_suppkey AS pair_id, strftime(l_shipdate, '%Y-%m') AS stratum, {_r('l_discount', 'l_tax')} AS r FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 3), "
+    f"m AS (SELECT a.stratum AS s1, b.stratum AS s2, {_r('a.r', 'b.r')} AS r, count(*) AS n_shared FROM bm a JOIN bm b USING (pair_id) WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2) SELECT s1, s2, {rd('r')} AS r, n_shared FROM m",
+)
+def _(spark, d):
+    # some 84 strata, many of which lack a feature
+    li = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("pair_id"), F.date_format("l_shipdate", "yyyy-MM").alias("stratum"))
+    by = li.agg(pearson("l_discount", "l_tax").alias("pearson_r"), F.count("*").alias("n")).where("n >= 3")
+    return rounded(coupling.stratum_consistency(by), "r")
+
+
 @register("a9_mean_consistency", f"{CONSISTENCY} SELECT CASE WHEN count(r) = count(*) THEN {rd('avg(r)')} END AS mean_r, count(*) AS n_pairs FROM m WHERE s1 < s2")
 def _(spark, d):
     return rounded(coupling.mean_consistency(coupling.stratum_consistency(_by_stratum(spark, d))), "mean_r")
@@ -462,6 +515,24 @@ def _(spark, d):
     return rounded(profile.sparsity_profile(fx.measurements(spark, d), "value", _total(spark, d)), "median", "pct_zeros")
 
 
+@register("a15_median_of_prices", f"SELECT {rd('median(l_extendedprice)')} AS median, 0.0::DOUBLE AS pct_zeros FROM lineitem")
+def _(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    return rounded(profile.sparsity_profile(li, "l_extendedprice", li.count()), "median", "pct_zeros")
+
+
+@register("a15_quantiles", f"q AS (SELECT quantile_cont(l_extendedprice, [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]) AS v FROM lineitem) SELECT CAST([0.0, 0.1, 0.25, 0.5, 0.9, 1.0][i] AS DOUBLE) AS share, {rd('v[i]')} AS value FROM q, range(1, 7) r(i)")
+def _(spark, d):
+    return rounded(select.quantiles(spark.read.parquet(f"{d}/lineitem.parquet"), "l_extendedprice", [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]), "value")
+
+
+@register("a16_skewness_sparse", f"SELECT {rd('skewness(value)')} AS skew FROM long WHERE pos = 3")
+def _(spark, d):
+    # only the non-zero values of the feature; the zeros are added in closed form
+    one = project.select_features(fx.measurements(spark, d), fx.features(spark, d).where("feature = 'f3'"))
+    return rounded(profile.skew_corrected(one, "value", fx.cells(spark, d).count()), "skew")
+
+
 @register("a16_skewness", f"SELECT {rd('skewness(value)')} AS skew FROM long WHERE pos = 3")
 def _(spark, d):
     one = fx.features(spark, d).where("feature = 'f3'")

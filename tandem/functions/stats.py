@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,52 +23,64 @@ def t_statistic(r: Column, n: Column) -> Column:
     return F.when((n > 2) & (F.abs(r) < 1), r * F.sqrt(F.try_divide(n - 2, 1 - r * r)))
 
 
-def _log_gamma(z: np.ndarray) -> np.ndarray:
-    """Stirling's series after shifting the argument up to 10 or more."""
-    z = np.asarray(z, float)
-    shift = np.zeros_like(z)
-    for _ in range(10):
-        low = z < 10
-        shift = shift - np.where(low, np.log(np.where(low, z, 1)), 0)
-        z = np.where(low, z + 1, z)
-    u = 1 / (z * z)
-    series = (1 / 12 - u * (1 / 360 - u * (1 / 1260 - u * (1 / 1680 - u / 1188)))) / z
-    return shift + (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series
-
-
-def beta_tail(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The regularised incomplete beta function I(x; a, 1/2), by its continued fraction."""
-    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
-    b = np.full_like(a, 0.5)
-    swap = x > (a + 1) / (a + b + 2)
-    p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    with np.errstate(divide="ignore", invalid="ignore", under="ignore"):
-        front = np.exp(p * np.log(z) + q * np.log1p(-z) + _log_gamma(p + q) - _log_gamma(p) - _log_gamma(q)) / p
-        # evaluated backwards from a depth at which the fraction has settled
-        f = np.ones_like(z)
-        for m in range(400, 0, -1):
-            half = m // 2
-            d = half * (q - half) * z / ((p + 2 * half - 1) * (p + 2 * half)) if m % 2 == 0 else -(p + half) * (p + q + half) * z / ((p + 2 * half) * (p + 2 * half + 1))
-            f = 1 + d / f
-        part = front / f
-    part = np.where(z <= 0, 0.0, part)
-    return np.clip(np.where(swap, 1 - part, part), 0, 1)
-
-
-def p_values(r: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Two-sided p of r from n rows: 1 if n = 2, 0 if r = +-1, NaN if r is missing or n < 2."""
-    r, n = np.asarray(r, float), np.asarray(n, float)
-    ok = np.isfinite(r) & (n > 2)
-    out = np.where(np.isfinite(r) & (n == 2), 1.0, np.nan)
-    out[ok] = beta_tail((n[ok] - 2) / 2, 1 - r[ok] ** 2)
-    return out
-
-
-def _p_series(r: pd.Series, n: pd.Series) -> pd.Series:
-    p = pd.Series(p_values(r.to_numpy(float, na_value=np.nan), n.to_numpy(float, na_value=np.nan)), dtype=object)
-    return p.where(p.notna(), None)
-
-
-def pearson_p_value(r: str, n: str) -> Column:
-    """Of aggregated rows only: a row for each feature, never for each cell."""
-    return F.pandas_udf(_p_series, "double")(F.col(r), F.col(n))
+#: Terms of Stirling's series for the logarithm of the gamma function (fixed values), and what its argument is shifted by.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+SHIFT = 10
+#: Most terms of the continued fraction; it settles within some multiple of the root of n.
+DEPTH = 400
+
+
+def _log_gamma_step(a: Column) -> Column:
+    """log gamma(a + 1/2) - log gamma(a)."""
+
+    def stirling(z: Column) -> Column:
+        u, tail = F.lit(1.0) / (z * z), F.lit(0.0)
+        for c in reversed(STIRLING):
+            tail = c + u * tail
+        return (z - 0.5) * F.log(z) - z + tail / z
+
+    shifts = F.lit(0.0)
+    for k in range(SHIFT):
+        shifts = shifts + F.log((a + (k + 0.5)) / (a + float(k)))
+    return stirling(a + (SHIFT + 0.5)) - stirling(a + float(SHIFT)) - shifts
+
+
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def beta_tail(a: Column, x: Column, depth: Column) -> Column:
+    """The regularised incomplete beta function I(x; a, 1/2) for 0 < x < 1, by its continued fraction.
+
+    The fraction is a fold over its terms from the last to the first, in the side of the
+    function (x, or 1 - x with a and 1/2 in turn) on which it settles faster.
+    """
+    half = F.lit(0.5)
+    swap = x > (a + 1) / (a + 2.5)
+    side = F.struct(swap.alias("swap"), F.when(swap, half).otherwise(a).alias("p"), F.when(swap, a).otherwise(half).alias("q"), F.when(swap, 1 - x).otherwise(x).alias("z"), _log_gamma_step(a).alias("g"), depth.cast("int").alias("depth"))
+
+    def term(m: Column, s: Column) -> Column:
+        k = F.floor(m / 2).cast("double")
+        p, q, z = s["p"], s["q"], s["z"]
+        even = k * (q - k) * z / ((p + 2 * k - 1) * (p + 2 * k))
+        odd = -(p + k) * (p + q + k) * z / ((p + 2 * k) * (p + 2 * k + 1))
+        return F.when(m % 2 == 0, even).otherwise(odd)
+
+    def whole(s: Column) -> Column:
+        front = F.exp(s["p"] * F.log(s["z"]) + s["q"] * F.log1p(-s["z"]) + s["g"] - 0.5 * math.log(math.pi)) / s["p"]
+        part = front / F.aggregate(F.sequence(s["depth"], F.lit(1)), F.lit(1.0), lambda f, m: 1 + F.try_divide(term(m, s), f))
+        return F.least(F.greatest(F.when(s["swap"], 1 - part).otherwise(part), F.lit(0.0)), F.lit(1.0))
+
+    return _bind(side, whole)
+
+
+def pearson_p_value(r: Column | str, n: Column | str) -> Column:
+    """Two-sided p of r from n rows: 1 if n = 2, 0 if r = +-1, null if r is missing or n < 2.
+
+    An expression, so no Python worker; it is meant for aggregated rows, one for each feature.
+    """
+    r, n = (F.col(c) if isinstance(c, str) else c for c in (r, n))
+    depth = F.least(F.lit(DEPTH), F.ceil(60 + 4 * F.sqrt(n)))
+    tail = beta_tail((n - 2) / F.lit(2.0), 1 - r * r, depth)
+    return F.when(r.isNull() | F.isnan(r) | n.isNull() | (n < 2), F.lit(None).cast("double")).when(n == 2, F.lit(1.0)).when(F.abs(r) >= 1, F.lit(0.0)).otherwise(tail)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import setting
+
 
 def resolve_labels(labels: DataFrame, lookup: DataFrame, targets: DataFrame) -> DataFrame:
     """label, feature (null if unmatched) and how (direct, lookup or unmatched).
@@ -27,19 +29,40 @@ def common_features(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("feature").intersect(b.select("feature"))
 
 
-def align_pairs(x_long: DataFrame, y_long: DataFrame, pairs: DataFrame) -> DataFrame:
+def _renamed(long: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    names = pairs.select(F.col(f"{side}_feature").alias("feature"), "pair_id")
+    return long.join(names, "feature").select("cell_id", "pair_id", F.col("value").cast("double").alias(side))
+
+
+def align_pairs(x_long: DataFrame, y_long: DataFrame, pairs: DataFrame, strict: bool = False) -> DataFrame:
     """x and y side by side: cell_id, pair_id, feature, x, y.
 
     Both inputs hold (cell_id, feature, value), non-zero rows only, so the full outer
     join is already the union of the non-zeros.  ``pairs`` holds pair_id, feature,
-    x_feature and y_feature, one row for each pair.
+    x_feature and y_feature, one row for each pair.  A (cell, feature) that an input repeats
+    would meet the other side more than once: ``strict`` counts these first and raises ValueError.
     """
-    xs = x_long.join(pairs.select(F.col("x_feature").alias("feature"), "pair_id"), "feature").select("cell_id", "pair_id", F.col("value").cast("double").alias("x"))
-    ys = y_long.join(pairs.select(F.col("y_feature").alias("feature"), "pair_id"), "feature").select("cell_id", "pair_id", F.col("value").cast("double").alias("y"))
-    both = xs.join(ys, ["cell_id", "pair_id"], "full").select("cell_id", "pair_id", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
+    if strict:
+        for side, long in (("x", x_long), ("y", y_long)):
+            again = long.groupBy("cell_id", "feature").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
+            if again["keys"]:
+                raise ValueError(f"{again['keys']} keys (cell_id, feature) stand in {again['rows']} rows of {side}")
+    both = _renamed(x_long, pairs, "x").join(_renamed(y_long, pairs, "y"), ["cell_id", "pair_id"], "full")
+    both = both.select("cell_id", "pair_id", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
     return both.join(pairs.select("pair_id", "feature"), "pair_id").select("cell_id", "pair_id", "feature", "x", "y")
 
 
+def align_bucketed(x_long: DataFrame, y_long: DataFrame, pairs: DataFrame, name: str, buckets: int) -> DataFrame:
+    """align_pairs() of two tables that are bucketed by cell_id, as a table ``name`` in the same buckets.
+
+    A cell is in one bucket, so the join on (cell_id, pair_id) needs no shuffle: that is what the
+    setting says while the table is written.  What later joins on cell_id needs none either.
+    """
+    with setting(x_long.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        align_pairs(x_long, y_long, pairs).write.mode("overwrite").bucketBy(buckets, "cell_id").sortBy("cell_id").saveAsTable(name)
+    return x_long.sparkSession.table(name)
+
+
 def attach_cells(pairs: DataFrame, cells: DataFrame, cols: list[str]) -> DataFrame:
     return pairs.join(cells.select("cell_id", *cols), "cell_id")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .select import order_statistics
+
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Values and counts, most frequent first, ties by value."""
@@ -26,9 +28,10 @@ def value_profile(df: DataFrame, col: str, n_total: int | None = None) -> DataFr
 def sparsity_profile(df: DataFrame, col: str, n_total: int, approximate: bool = False) -> DataFrame:
     """Exact median and the percentage of zeros, absent rows counted as zeros.
 
-    The zeros enter the median as one row with their number as its frequency.
+    The median is selected by passes over the values (order_statistics), each of which counts
+    them in a fixed number of bins, so neither distinct values nor ties cost memory.
     ``approximate`` takes it from a sketch of the values on its side of zero instead: one
-    pass counts the signs, a second sketches, and no distinct value is kept.
+    pass counts the signs, a second sketches.
     """
     if approximate:
         some = df.agg(F.count_if(F.col(col) < 0).alias("below"), F.count_if(F.col(col) > 0).alias("above")).first()
@@ -39,16 +42,26 @@ def sparsity_profile(df: DataFrame, col: str, n_total: int, approximate: bool =
             return df.sparkSession.range(1).select(F.lit(0.0).alias("median"), pct)
         side, share = (F.col(col) < 0, half / below) if half < below else (F.col(col) > 0, (half - below - zeros) / above)
         return df.where(side).agg(F.percentile_approx(F.col(col).cast("double"), F.lit(share)).alias("median")).select("median", pct)
-    counts = df.where(F.col(col) != 0).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("freq"))
-    counts = counts.unionByName(counts.agg(F.lit(0.0).alias("v"), (F.lit(n_total) - F.coalesce(F.sum("freq"), F.lit(0))).cast("long").alias("freq")))
-    counts = counts.where(F.col("freq") > 0)
-    return counts.agg(F.percentile("v", F.lit(0.5), F.col("freq")).alias("median"), (100.0 * F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("freq"))), F.lit(0)) / n_total).alias("pct_zeros"))
+    (median,), some = order_statistics(df.where(F.col(col) != 0), col, shares=[0.5], n_total=n_total)
+    return df.sparkSession.range(1).select(F.lit(median).cast("double").alias("median"), F.lit(100.0 * (n_total - some) / n_total if n_total else None).cast("double").alias("pct_zeros"))
+
 
+def skew_corrected(df: DataFrame, col: str, n_total: int | None = None) -> DataFrame:
+    """Bias-corrected skewness; null under three rows or if constant.
 
-def skew_corrected(df: DataFrame, col: str) -> DataFrame:
-    """Bias-corrected skewness; null under three rows or if constant."""
-    n = F.count(col)
-    return df.agg(F.when(n > 2, F.skewness(col) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0))).alias("skew"))
+    With ``n_total`` the rows that are missing from it count as zeros: the central moments of the
+    values and those of the zeros are merged in closed form, so nothing is made dense.
+    """
+    v = F.col(col)
+    some, mean = F.count(v).cast("double"), F.coalesce(F.avg(v), F.lit(0.0))
+    n = some if n_total is None else F.lit(float(n_total))
+    zeros = n - some
+    own2 = F.coalesce(F.var_pop(v) * some, F.lit(0.0))
+    own3 = F.coalesce(F.skewness(v), F.lit(0.0)) * F.pow(own2, F.lit(1.5)) / F.sqrt(F.greatest(some, F.lit(1.0)))
+    m2 = own2 + F.try_divide(mean * mean * zeros * some, n)
+    m3 = own3 + F.try_divide(F.pow(mean, F.lit(3.0)) * zeros * some * (zeros - some), n * n) + F.try_divide(3 * mean * zeros * own2, n)
+    g = F.try_divide(F.sqrt(n) * m3, F.pow(m2, F.lit(1.5)))
+    return df.agg(F.when(n > 2, F.try_divide(g * F.sqrt(n * (n - 1)), n - 2)).alias("skew"))
 
 
 def totals_per_cell(meas: DataFrame, cells: DataFrame, value: str = "value", name: str = "total") -> DataFrame:

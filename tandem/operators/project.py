@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Relative and absolute tolerance within which a value counts as an integer (fixed values).
@@ -35,10 +40,37 @@ def nonzero_mask(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return pairs.where((F.col(x) != 0) | (F.col(y) != 0))
 
 
+#: Bytes of dense rows that a task makes at a time.
+DENSE_BYTES = 16_000_000
+
+
 def densify(long: DataFrame, cells: DataFrame, features: DataFrame, value: str = "value") -> DataFrame:
-    """Every (cell, feature), absent ones 0.  The only cross join: its result is the dense matrix."""
-    grid = cells.select("cell_id").crossJoin(features.select("feature"))
-    return grid.join(long.select("cell_id", "feature", value), ["cell_id", "feature"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+    """Every (cell, feature), absent ones 0: cell_id, feature and value.
+
+    Only the values that are there are shuffled, to one row for each cell with its places and values;
+    that row is spread over the places of all features where it stands.  Features are numbered by
+    type and name wherever both tables tell the type.  A value that stands twice is kept once (the greatest).
+    """
+    key = [c for c in ("feature_type", "feature") if c in long.columns and c in features.columns]
+    names = features.select(*key).distinct().withColumn("_pos", F.row_number().over(Window.orderBy(*key)) - 1)
+    n = names.count()
+    entry = F.struct("_pos", F.col(value).cast("double").alias("v"))
+    rows = long.select("cell_id", *key, value).join(names, key).groupBy("cell_id").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    rows = cells.select("cell_id").join(rows, "cell_id", "left").select("cell_id", F.coalesce("e._pos", F.array().cast("array<int>")).alias("pos"), F.coalesce("e.v", F.array().cast("array<double>")).alias("v"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, DENSE_BYTES // (8 * max(1, n)))
+        for batch in batches:
+            for s in range(0, batch.num_rows, step):
+                b = batch.slice(s, step)
+                out = np.zeros((b.num_rows, n))
+                at = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("pos")).to_numpy())
+                out[at, b.column("pos").flatten().to_numpy()] = b.column("v").flatten().to_numpy(zero_copy_only=False)
+                cell = b.column("cell_id").take(pa.array(np.repeat(np.arange(b.num_rows), n)))
+                yield pa.RecordBatch.from_arrays([cell, pa.array(np.tile(np.arange(n, dtype=np.int32), b.num_rows)), pa.array(out.ravel())], ["cell_id", "_pos", value])
+
+    kind = cells.schema["cell_id"].dataType.simpleString()
+    return rows.mapInArrow(spread, f"cell_id {kind}, _pos int, `{value}` double").join(names.select("_pos", "feature"), "_pos").select("cell_id", "feature", value)
 
 
 def transform_values(df: DataFrame, col: str, log1p: bool = True) -> DataFrame:

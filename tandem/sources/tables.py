@@ -67,3 +67,13 @@ def write_wide(df: DataFrame, path: str, key: str = "pair_id", strata: list[str]
 def shape_summary(cells: DataFrame, features: DataFrame) -> DataFrame:
     """feature_type, n_cells, n_features."""
     return features.groupBy("feature_type").agg(F.count("*").alias("n_features")).crossJoin(F.broadcast(cells.agg(F.count("*").alias("n_cells"))))
+
+
+def write_bucketed(df: DataFrame, name: str, buckets: int, key: str = "cell_id") -> DataFrame:
+    """A table of the catalog in so many buckets of ``key``, sorted by it, and a scan of it.
+
+    Tables with the same number of buckets join on the key without a shuffle.  A task writes
+    one bucket, so the rows are dealt out by the key once, here.
+    """
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.functions.stats import p_values, pearson_p_value, t_statistic
+from tandem.functions.stats import pearson_p_value, t_statistic
 from tandem.operators import align, coupling, profile, project, rank
 from tandem.sources import tables
 
@@ -91,12 +91,25 @@ def test_histogram(spark):
 
 
 def test_p_values(spark):
-    p = p_values(np.array([0.5, 0.1, 1.0, np.nan, 0.3, 0.3]), np.array([10, 50, 10, 10, 2, 90_000]))
-    assert p[:3] == pytest.approx([0.141113, 0.489593, 0.0], abs=1e-6)
-    assert math.isnan(p[3]) and p[4] == 1.0 and p[5] == 0.0
-    df = spark.createDataFrame([(0.5, 10), (None, 10), (1.0, 5)], "r double, n long")
-    assert [x and round(x, 6) for (x,) in df.select(pearson_p_value("r", "n")).collect()] == [0.141113, None, 0.0]
-    assert [x and round(x, 6) for (x,) in df.select(t_statistic(F.col("r"), F.col("n"))).collect()] == [1.632993, None, None]
+    df = spark.createDataFrame([(0.5, 10), (0.1, 50), (1.0, 10), (float("nan"), 10), (0.3, 2), (0.3, 90_000), (None, 10), (0.3, 1), (0.0, 5), (-0.5, 10), (0.9999999, 3), (1e-9, 3)], "r double, n long")
+    p = [x for (x,) in df.select(pearson_p_value("r", "n")).collect()]
+    assert p[:3] == pytest.approx([0.141113, 0.489593, 0.0], abs=1e-6) and p[9] == pytest.approx(p[0])
+    assert p[3] is None and p[4] == 1.0 and p[5] == 0.0 and p[6] is None and p[7] is None and p[8] == 1.0
+    assert p[10] == pytest.approx(2 / math.pi * math.acos(0.9999999), rel=1e-6) and p[11] == pytest.approx(1.0)
+    assert "Python" not in df.select(pearson_p_value("r", "n"))._jdf.queryExecution().executedPlan().toString()
+    t = spark.createDataFrame([(0.5, 10), (None, 10), (1.0, 5)], "r double, n long")
+    assert [x and round(x, 6) for (x,) in t.select(t_statistic(F.col("r"), F.col("n"))).collect()] == [1.632993, None, None]
+
+
+@pytest.mark.parametrize("n", [3, 4, 7, 30, 501, 4002, 90_000])
+def test_p_value_is_the_area_of_the_tails(spark, n):
+    """Against the density of r under independence, (1 - r^2)^((n - 4) / 2), integrated numerically."""
+    for r in (0.01, 0.2, 0.6):
+        angle = np.linspace(0, np.pi / 2, 2_000_001)  # r = sin(angle)
+        f = np.cos(angle) ** (n - 3)
+        want = np.trapezoid(np.where(np.sin(angle) >= r, f, 0), angle) / np.trapezoid(f, angle)
+        got = spark.range(1).select(pearson_p_value(F.lit(r), F.lit(n))).first()[0]
+        assert got == pytest.approx(want, abs=2e-5)
 
 
 def test_resolve_labels(spark):
