@@ -31,7 +31,7 @@ GATHER = 150_000
 #: Texts in an Arrow batch.
 TEXT_ROWS = 100
 #: Groups on a side of a tile of pairs, and postings of a block of terms, about.
-TILE, BLOCK = 1024, 1_000_000
+TILE, BLOCK = 1024, 100_000
 SCALE = 1_000_000_000
 
 

@@ -24,20 +24,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows
     of the id, so the sample is the same in every run; only texts of more than LONG_SHARE of
     ``max_bytes`` come last, by length, so none of them keeps out rows that fit.  The first row
     of a label is taken even if its text alone passes the bound, so that no label that has rows
-    stays without one.  Of a document with several labels the largest counts.  Only ids and
-    lengths are ordered; texts of the chosen rows alone are read in full.
+    stays without one.  Of a document with several labels the largest counts.  A row that is
+    repeated (in id and text) is taken once, so the bounds hold however often it stands there.
+    Only ids, lengths and hashes are ordered; texts of the chosen rows alone are read in full.
     """
     known = labels.where(F.col(label).isNotNull() & allowed).groupBy("doc_id").agg(F.max(label).alias("y"))
-    sizes = docs.select("doc_id", F.octet_length(text_of()).alias("bytes"))
+    texts = docs.select("doc_id", text_of().alias("t")).withColumn("hash", F.xxhash64("t"))
+    sizes = texts.select("doc_id", "hash", F.octet_length("t").alias("bytes"))
     chosen = []
     for y in (0, 1):
-        own = sizes.join(known.where(F.col("y") == y), "doc_id").select("doc_id", "bytes", F.xxhash64("doc_id").alias("h"))
-        order = (F.greatest("bytes", F.lit(int(max_bytes * LONG_SHARE))), "h", "doc_id", "bytes")
+        own = sizes.join(known.where(F.col("y") == y), "doc_id").groupBy("doc_id", "hash").agg(F.first("bytes").alias("bytes")).withColumn("h", F.xxhash64("doc_id"))
+        order = (F.greatest("bytes", F.lit(int(max_bytes * LONG_SHARE))), "h", "doc_id", "bytes", "hash")
         first = own.orderBy(*order).limit(rows)
         running = F.sum("bytes").over(Window.partitionBy(F.lit(y)).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        chosen.append(first.withColumn("sum", running).where((F.col("sum") <= max_bytes // 2) | (F.col("sum") == F.col("bytes"))).select("doc_id", "bytes", F.lit(y).alias("y")))
-    ids = chosen[0].unionByName(chosen[1]).dropDuplicates(["doc_id", "bytes"])
-    texts = docs.select("doc_id", F.octet_length(text_of()).alias("bytes"), text_of().alias("t"))
-    got = texts.join(F.broadcast(ids), ["doc_id", "bytes"]).collect()  # bounded by rows and max_bytes
+        chosen.append(first.withColumn("sum", running).where((F.col("sum") <= max_bytes // 2) | (F.col("sum") == F.col("bytes"))).select("doc_id", "hash", F.lit(y).alias("y")))
+    ids = chosen[0].unionByName(chosen[1])
+    got = texts.join(F.broadcast(ids), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).collect()  # bounded by rows and max_bytes
     got.sort(key=lambda r: (r["doc_id"], r["t"]))
     return [(r["t"], r["y"]) for r in got]
