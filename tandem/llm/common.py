@@ -1,15 +1,17 @@
-"""Small helpers that several operators share."""
+"""Small helpers that several operators share; discard, scratch and setting are those of the library."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import discard, scratch, setting
+
 #: Maximal runs of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
@@ -27,22 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset one below the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-
-
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A setting of the session for as long as the block runs."""
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
-
-
 def saved(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """The rows as a Parquet table in the shared folder, and its path, for discard().
 
@@ -55,21 +41,27 @@ def saved(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """saved(), for a table that the result reads and so must stay."""
-    return saved(df)[0]
+#: Paths that cut() has written inside passing().
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that saved() has written."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Delete what cut() writes inside the block when it ends: the result has been written by then."""
+    token = _passing.set(paths := [])
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        discard(spark, *paths)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def cut(df: DataFrame) -> DataFrame:
+    """saved(), for a table that the result reads and so must stay (but see passing())."""
+    out, path = saved(df)
+    if (paths := _passing.get()) is not None:
+        paths.append(path)
+    return out
 
 
 def text_of(col: str = "text") -> Column:

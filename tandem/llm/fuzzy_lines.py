@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import cut, pack, table, text_of
-from .near import Shape, components, pick, star_edges, verified
+from .near import Shape, components, once, pick, star_edges, verified
 from .passages import chunks, column
 
 #: Characters of a shingle, and the similarity from which lines count as the same.
@@ -64,16 +64,17 @@ def numbered_rows(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
-    """doc, rid, line and node of every line with a word."""
+    """doc, rid, line and node of every line with a word, and whether it is the first such of its row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             buf, off = pack(column(b, "text"))
             start, end, of, number = line_spans(buf, off)
             doc, rid = (np.asarray(column(b, c))[of] for c in ("doc", "rid"))
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rid), pa.array(number.astype(np.int32)), pa.array(line_nodes(buf, start, end))], ["doc", "rid", "line", "node"])
+            head = np.r_[True, of[1:] != of[:-1]][: len(of)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(rid), pa.array(number.astype(np.int32)), pa.array(line_nodes(buf, start, end)), pa.array(head)], ["doc", "rid", "line", "node", "head"])
 
-    return rows.select("doc", "rid", "text").mapInArrow(run, "doc long, rid long, line int, node long")
+    return rows.select("doc", "rid", "text").mapInArrow(run, "doc long, rid long, line int, node long, head boolean")
 
 
 def banded(k: int, bands: int):
@@ -127,6 +128,7 @@ def removed_lines(rows: DataFrame, k: int = CHARS, threshold: float = THRESHOLD)
     """(doc, rid, lines: their numbers) of the lines that are not the first of their component."""
     bands = tokens.bands_for(threshold, RECALL, BAND_ROWS)
     slim = cut(lines_of(rows))
+    n_rows, n_texts = slim.where("head").agg(F.count("*"), F.count_distinct("doc", "rid")).first()
     edges = star_edges(rows.select("text"), banded(k, bands), slim.count() * bands)
     place = F.struct("doc", "rid", "line")
     nodes = cut(slim.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")))
@@ -135,7 +137,7 @@ def removed_lines(rows: DataFrame, k: int = CHARS, threshold: float = THRESHOLD)
     def fetch(wanted: DataFrame) -> DataFrame:
         at = cut(pick(nodes, wanted, "node").select("first.*").groupBy("doc", "rid").agg(F.collect_set("line").alias("lines")))
         held = at.agg(F.coalesce(F.sum(F.lit(40) + 8 * F.size("lines")), F.lit(0))).first()[0]
-        return line_texts(rows.join(F.broadcast(at) if held <= BROADCAST_BYTES else at, ["doc", "rid"]))
+        return once(line_texts(rows.join(F.broadcast(at) if held <= BROADCAST_BYTES else at, ["doc", "rid"])), n_rows > n_texts)
 
     found = verified(edges, fetch, Shape(shingle(k), bands, BAND_ROWS), threshold, counts=False)
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -154,7 +156,8 @@ def dedup(docs: DataFrame, k: int = CHARS, threshold: float = THRESHOLD) -> Data
     more (a shorter line is one shingle, so only its copies match); of the lines that links
     connect only the first, by doc_id (null first) and number, is kept, wherever the
     others stand.  Rows that are equal in doc_id and text share one decision.  Null and
-    empty texts have no lines and keep an empty text.  Columns of ``docs`` that are called
+    empty texts have no lines and keep an empty text; long texts and lines are compared whole; an
+    empty table gives an empty one.  Columns of ``docs`` that are called
     as one of the four new ones raise ValueError, so nothing is overwritten.
     """
     if clash := sorted({"n_lines", "n_removed", "removed", "kept"} & set(docs.columns)):

@@ -209,8 +209,8 @@ def linked(raw: pa.Array, node: np.ndarray, group: np.ndarray, tile: np.ndarray,
 def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, threshold: float, counts: bool = True) -> DataFrame:
     """Rows (node, other, links): exact links among the nodes that share a band key.
 
-    ``fetch`` gives (node, raw: its text in UTF-8) for the nodes asked for; a text is cut into
-    shingles where it is compared.  Candidates are grouped by the components of their edges.
+    ``fetch`` gives (node, raw: its text in UTF-8) for the nodes asked for, one row each (see
+    once()); a text is cut into shingles where it is compared.  Candidates are grouped by the components of their edges.
     Members of a group of up to TILE are compared in one unit.  A larger group is
     compared in the way that sends fewer texts: whole, cut into tiles of about TILE members, each pair of
     tiles a unit; or (a group that unlike nodes have chained together) by its buckets of
@@ -274,6 +274,11 @@ def with_keys(have: DataFrame, shape: Shape) -> DataFrame:
     return have.select("node", "raw").mapInArrow(run, "node long, raw binary, keys array<long>")
 
 
+def once(texts: DataFrame, repeated: bool) -> DataFrame:
+    """One text of each node.  Repeated rows lend one each; where there are none, nothing needs to be shuffled."""
+    return texts.groupBy("node").agg(F.first("raw").alias("raw")) if repeated else texts
+
+
 def pick(rows: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key is among ids; broadcast only if ids are few."""
     ids = ids.select(on).distinct()

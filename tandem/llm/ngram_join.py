@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import cut, pack, table, text_of
-from .near import Shape, components, pick, star_edges, verified
+from .near import Shape, components, once, pick, star_edges, verified
 from .passages import chunks, column
 
 WORDS, THRESHOLD = 5, 0.8
@@ -85,7 +85,9 @@ def classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> Da
     similarity is ``threshold`` or more, class_id is the least doc_id of all that such links
     connect.  A document of fewer than k words has one shingle, all its words; one without
     words (null, empty, blank) is alone in its class, with no links.  root names the class, also
-    where all its ids are null; it is null without words.
+    where all its ids are null; it is null without words.  Texts are compared whole, however long; rows
+    that are equal in id and text are copies of each other; of equal ids the ties do not matter, as only
+    the least id is told; an empty table gives an empty one.
     """
     bands = tokens.bands_for(threshold, RECALL, BAND_ROWS)
     slim = cut(signatures(docs, k, threshold))
@@ -96,12 +98,13 @@ def classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> Da
             if b.num_rows:
                 yield np.asarray(b.column(0)), np.asarray(b.column(1).flatten()).view(np.uint64).reshape(b.num_rows, bands)
 
-    edges = star_edges(known.select("node", "bands"), banded, known.count() * bands)
+    rows, texts = known.agg(F.count("*"), F.count_distinct("doc", "rid")).first()
+    edges = star_edges(known.select("node", "bands"), banded, rows * bands)
 
     # a row of each class of copies lends its text
     def fetch(nodes: DataFrame) -> DataFrame:
         wanted = pick(known.select("node", "doc", "rid"), nodes, "node").groupBy("node").agg(F.min(F.struct("doc", "rid")).alias("first"))
-        return named_texts(pick(keyed(docs).select("doc", "rid", "text"), wanted.select("first.*"), ["doc", "rid"]), k)
+        return once(named_texts(pick(keyed(docs).select("doc", "rid", "text"), wanted.select("first.*"), ["doc", "rid"]), k), rows > texts)
 
     found = verified(edges, fetch, Shape(lambda raw: tokens.shingles(*tokens.words(*pack(raw)), k), bands, BAND_ROWS), threshold)
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))

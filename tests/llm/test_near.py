@@ -248,3 +248,20 @@ def test_token_hashes_follow_content():
     g, goff = tokens.shingles(w, woff, 2)
     assert list(np.diff(goff)) == [3, 0, 0, 1, 1] and g[0] == g[2] != g[1]
     assert F is not None
+
+
+@pytest.mark.parametrize("repeats", [1, 300])
+def test_one_text_of_each_node_is_fetched(spark, monkeypatch, repeats):
+    """Rows that stand many times lend one text, whatever their id."""
+    t = " ".join(f"w{i}" for i in range(60))
+    near = t.replace("w30", "x30")
+    rows = [(None, t, "s")] * repeats + [(7, near, "s")] * repeats + [(8, "something else entirely here now", "s")]
+    seen = []
+    for module in (ngram_join, fuzzy_lines):
+        real = module.verified
+        monkeypatch.setattr(module, "verified", lambda edges, fetch, *a, real=real, **k: real(edges, lambda nodes: seen.append(out := fetch(nodes)) or out, *a, **k))
+    got = ngram_join.classes(make(spark, rows)).collect()
+    assert [x.count() for x in seen] == [2] and {(r.n_copies, r.n_links) for r in got if r.doc_id != 8} == {(repeats, 1)}
+    seen.clear()
+    out = fuzzy_lines.dedup(make(spark, rows)).collect()
+    assert [x.count() for x in seen] == [2] and sum(r.n_removed for r in out) == repeats
