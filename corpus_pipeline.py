@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import decontaminate, fuzzy_lines, mixing, ngram_join, quality
-from tandem.llm.common import cut, discard, row_key, saved, table, text_of
+from tandem.llm.common import cut, discard, passing, row_key, saved, table, text_of
 from tandem.llm.near import BROADCAST_NODES
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -97,7 +97,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, path = saved(stage(spark, docs, sf_dir), name)
+        with passing(spark):  # what a stage has written for itself goes when its result is written
+            docs, path = saved(stage(spark, docs, sf_dir), name)
         if last is not None:
             discard(spark, last)
         last = path
