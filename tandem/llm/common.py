@@ -47,7 +47,7 @@ _passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
-    """Delete what cut() writes inside the block when it ends: the result has been written by then."""
+    """Delete what cut() writes, or stays() names, inside the block when it ends: the result has been written by then."""
     token = _passing.set(paths := [])
     try:
         yield
@@ -59,9 +59,14 @@ def passing(spark: SparkSession) -> Iterator[None]:
 def cut(df: DataFrame) -> DataFrame:
     """saved(), for a table that the result reads and so must stay (but see passing())."""
     out, path = saved(df)
+    stays(path)
+    return out
+
+
+def stays(path: str) -> None:
+    """Say that a result reads what saved() has written there: passing() then deletes it, and nobody else."""
     if (paths := _passing.get()) is not None:
         paths.append(path)
-    return out
 
 
 def text_of(col: str = "text") -> Column:

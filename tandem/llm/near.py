@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, discard, saved
+from .common import cut, discard, saved, stays
 
 #: Members of a candidate group that are compared in one task with as many others.
 TILE = 128
@@ -121,6 +121,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if (new := mark(now)) == seen:
             break
         seen = new
+    stays(path)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

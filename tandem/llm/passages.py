@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import discard, pack, table, text_of
+from .common import discard, pack, stays, table, text_of
 from .exchange import SHORT_BITS, Arrays, attach, bits_for, entries_of, load, meet
 
 #: Words of a window and of the anchor inside it.
@@ -300,8 +300,9 @@ def repeats(rows: DataFrame, cut_up: type, n_tokens: float, classes: Callable, w
         "anchor": lambda part, last: settled(part, last, frequent, lambda x: extended(x, side, classes, within)),
         "window": lambda part, last: settled(part, last, 2, lambda x: same_windows(x, classes, within)),
     }
-    found, _ = meet(near, grow, settle, entries_of(seeds), bucket=bucket)
+    found, own = meet(near, grow, settle, entries_of(seeds), bucket=bucket)
     discard(rows.sparkSession, path)
+    stays(own)
     return found
 
 
