@@ -1,10 +1,12 @@
 """Legacy web archives: ARC files read by version and declared length, and turned into WARC.
 
-Archives are plain files in a shared folder, one gzip member a record and one for its end
-(which is all that Spark's text writer, told to use it as the separator of lines, puts between
-records).  They are read with Spark's binaryFile source, a file a row, and cut into records by
-the lengths they declare, never by searching: a line that should be a header and is none
-ends the reading of its file with an error or, if asked for, with a row that says so.
+Archives are plain files in a shared folder, one gzip member a record and one for its end, cut
+at FILE_BYTES: a task packs the members of one file into one value, and Spark's text writer puts
+each value into a file of its own, with the end of its last record as the separator of
+lines.  They are read with Spark's binaryFile source, a file a row, opened member by member
+as they are read, and cut into records by the lengths they declare, never by searching: a line
+that should be a header and is none ends the reading of its file with an error or, if asked
+for, with a row that says so.  So a task holds one file as it is packed, and one record opened.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,21 +30,23 @@ TITLES = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-#: Header lines by version: url and type may hold spaces, so the address and date between them and the last fields tell them apart.
+#: Header lines by version: url, type and location may hold spaces, so the address and date, the result after the type, and the last fields tell them apart.
 HEADERS = {
     1: re.compile(rb"(?P<url>.+) (?P<ip>[0-9A-Fa-f.:]+|-) (?P<date>\d{8,17}) (?P<mime>.*) (?P<length>\d+)"),
-    2: re.compile(rb"(?P<url>.+) (?P<ip>[0-9A-Fa-f.:]+|-) (?P<date>\d{8,17}) (?P<mime>.*) (?P<result>\d+|-) \S+ \S+ (?:\d+|-) \S+ (?P<length>\d+)"),
+    2: re.compile(rb"(?P<url>.+) (?P<ip>[0-9A-Fa-f.:]+|-) (?P<date>\d{8,17}) (?P<mime>.*?) (?P<result>\d{1,3}|-) \S+ .+ (?:\d+|-) \S+ (?P<length>\d+)"),
 }
 CRLF = b"\r\n"
 #: Names the record identifiers that are made from a record's own content.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-to-warc")
 PAGE = re.compile(rb"(?im)^X-Page-Id:[ \t]*(-?\d+)\r?$")
 LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*(\d+)\r?$")
-#: Records of an archive that is written here, and bytes of payloads in an Arrow batch.
-RECORDS_A_FILE, BATCH_BYTES = 5000, 4_000_000
+#: Bytes of an archive that is written here (one record at least), and of payloads in an Arrow batch.
+FILE_BYTES, BATCH_BYTES = 32_000_000, 4_000_000
+#: Bytes that are opened at a time.
+STEP = 65536
 #: Revisits (some 250 bytes each) up to which what is decided is broadcast; more are shuffled with the archives.
 BROADCAST_REVISITS = 200_000
-SLIM = [("path", pa.string()), ("place", pa.int32()), ("record_id", pa.string()), ("version", pa.int32()), ("kind", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("result", pa.int32()),
+SLIM = [("path", pa.string()), ("place", pa.int32()), ("record_id", pa.string()), ("version", pa.int32()), ("kind", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("date_exact", pa.bool_()), ("mime", pa.string()), ("result", pa.int32()),
         ("declared", pa.int64()), ("truncated", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("page_id", pa.int64())]
 BODIES = [("http", pa.binary()), ("payload", pa.binary())]
 SPARK_TYPES = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long", pa.bool_(): "boolean", pa.binary(): "binary"}
@@ -62,28 +67,70 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def opened(content: bytes) -> bytes:
-    """The whole archive, its gzip members (if it has any) joined."""
-    if content[:2] != b"\x1f\x8b":
-        return content
-    out, at, view = [], 0, memoryview(content)
-    while at < len(view):
-        z = zlib.decompressobj(31)
-        while not z.eof and at < len(view):
-            step = view[at : at + 32768]
-            out.append(z.decompress(step))
-            at += len(step) - len(z.unused_data)
-        if not z.eof:  # the file ends early: what is there counts
-            out.append(z.flush())
-    return b"".join(out)
-
-
-def iso_date(stamp: str) -> str:
-    """YYYYMMDD[hhmm[ss]] as an ISO 8601 instant; anything else as the epoch."""
-    if not re.fullmatch(r"\d{8}(\d{4}(\d\d)?)?", stamp):
-        return "1970-01-01T00:00:00Z"
-    s = stamp.ljust(14, "0")
-    return f"{s[:4]}-{s[4:6]}-{s[6:8]}T{s[8:10]}:{s[10:12]}:{s[12:14]}Z"
+class Opened:
+    """The bytes of an archive, its gzip members (if it has any) opened one after the other as they are read."""
+
+    def __init__(self, content: bytes) -> None:
+        self.packed = content[:2] == b"\x1f\x8b"
+        self.view, self.at, self.z = memoryview(content), 0, None
+        self.held, self.start = bytearray(), 0
+
+    def more(self) -> bool:
+        """Open some more bytes; false at the end.  A file that ends inside a member gives what is there."""
+        del self.held[: self.start]
+        self.start = 0
+        while self.at < len(self.view):
+            step = self.view[self.at : self.at + STEP]
+            if not self.packed:
+                new, self.at = step, self.at + len(step)
+            else:
+                self.z = self.z or zlib.decompressobj(31)
+                new = self.z.decompress(step)
+                self.at += len(step) - len(self.z.unused_data)
+                if self.z.eof:
+                    self.z = None
+            self.held += new
+            if len(new):
+                return True
+        return False
+
+    def line(self) -> bytes:
+        """Up to the next line feed, with it; empty at the end."""
+        seen = self.start
+        while (end := self.held.find(b"\n", seen)) < 0:
+            seen = len(self.held) - self.start
+            if not self.more():
+                end = len(self.held) - 1
+                break
+        out, self.start = bytes(self.held[self.start : end + 1]), end + 1
+        return out
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, fewer at the end."""
+        while len(self.held) - self.start < n and self.more():
+            pass
+        out = bytes(self.held[self.start : self.start + n])
+        self.start += len(out)
+        return out
+
+
+def iso_date(stamp: str) -> tuple[str, bool]:
+    """YYYYMMDD[hh[mm[ss[fraction]]]] as an ISO 8601 instant, to seconds, and whether all of it could be read.
+
+    What follows a part that is cut short or cannot be (month 13, 30 February) is left out.
+    """
+    parts, whole = [1970, 1, 1, 0, 0, 0], len(stamp) in (8, 10, 12, 14, 15, 16, 17)
+    for k, (lo, hi) in enumerate(((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 14))):
+        if len(stamp) < hi:
+            break
+        tried = [*parts[:k], int(stamp[lo:hi]), *([1970, 1, 1, 0, 0, 0][k + 1 :])]
+        try:
+            datetime(*tried)
+        except ValueError:
+            whole = False
+            break
+        parts = tried
+    return "{:04}-{:02}-{:02}T{:02}:{:02}:{:02}Z".format(*parts), whole
 
 
 class Damaged(ValueError):
@@ -108,32 +155,28 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return block, b""
 
 
-def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def arc_records(data: Opened) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Version, header fields and block of the records of one archive.
 
     The version is what the archive's version block (its filedesc record) says.  Blocks are
     taken by their declared length, so they may hold anything; one that ends early is
     given as it is.  Between records only line ends may stand; anything else that is no header raises Damaged.
     """
-    at, version = 0, None
-    while at < len(data):
-        end = data.find(b"\n", at)
-        end = len(data) if end < 0 else end + 1
-        line, at = data[at:end], end
+    version = None
+    while line := data.line():
         if not line.strip(b"\r\n"):
             continue
         said = re.match(rb"filedesc:\S* .* (\d+)\r?\n?$", line)
+        block = data.take(int(said[1])) if said else None
         if said:  # the version block itself says how all headers are laid out
-            first = data[at : at + int(said[1])].split(b"\n", 1)[0].split()
+            first = block.split(b"\n", 1)[0].split()
             if first and first[0].isdigit():
                 version = int(first[0])
         own, h = parse_header(line, version)
-        n = int(h["length"])
-        yield own, h, data[at : at + n]
-        at += n
+        yield own, h, data.take(int(h["length"])) if block is None else block
 
 
-def converted(path: str, data: bytes, bodies: bool, damage: str) -> Iterator[dict]:
+def converted(path: str, data: Opened, bodies: bool, damage: str) -> Iterator[dict]:
     """Rows of read_arc() for one archive."""
     place = -1
     try:
@@ -141,8 +184,9 @@ def converted(path: str, data: bytes, bodies: bool, damage: str) -> Iterator[dic
             kind = "warcinfo" if h["url"].startswith("filedesc:") else "response" if block.startswith(b"HTTP/") else "resource"
             http, payload = split_http(block) if kind == "response" else (b"", block)
             page, status, own = PAGE.search(http), re.match(rb"HTTP/\S+ +(\d{3})", http), digest(payload)
+            date, exact = iso_date(h["date"])
             row = {
-                "path": path, "place": place, "record_id": f"<urn:uuid:{uuid.uuid5(SPACE, ' '.join((h['url'], h['date'], own, digest(http))))}>", "version": version, "kind": kind, "url": h["url"], "ip": h["ip"], "date": iso_date(h["date"]), "mime": h["mime"],
+                "path": path, "place": place, "record_id": f"<urn:uuid:{uuid.uuid5(SPACE, ' '.join((h['url'], h['date'], own, digest(http))))}>", "version": version, "kind": kind, "url": h["url"], "ip": h["ip"], "date": date, "date_exact": exact, "mime": h["mime"],
                 "result": int(h["result"]) if h.get("result", "").isdigit() else int(status[1]) if status else None, "declared": int(h["length"]), "truncated": len(block) < int(h["length"]),
                 "payload_bytes": len(payload), "payload_digest": own, "page_id": int(page[1]) if page else None,
             }
@@ -174,15 +218,16 @@ def read_arc(spark: SparkSession, path: str, bodies: bool = True, damage: str =
     """Every record of the ARC files below ``path`` with what its WARC twin needs.
 
     Payloads are bytes of any encoding.  ``damage``: "raise" fails on a file whose records
-    cannot be told apart any more, "report" ends it with a row of kind damaged.  Archives of
-    2 GB or more, which one row cannot hold, fail.
+    cannot be told apart any more, "report" ends it with a row of kind damaged.  A date that cannot be
+    read in full keeps what can be, and date_exact is false.  Archives of 2 GB or more as they are
+    packed, which one row cannot hold, fail; those that are written here are cut long before.
     """
     fields = SLIM + (BODIES if bodies else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for where, content in zip(b.column(0), b.column(1)):
-                yield from batched(converted(where.as_py(), opened(content.as_py()), bodies, damage), fields, "payload")
+                yield from batched(converted(where.as_py(), Opened(content.as_buffer()), bodies, damage), fields, "payload")
 
     return archives(spark, path).mapInArrow(run, ddl(fields))
 
@@ -215,14 +260,32 @@ def warc_record(r: dict, refers: dict) -> bytes:
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None).encode() + CRLF + block
 
 
+def files(records: Iterator[bytes], end: bytes, file_bytes: int, head: bytes | None = None) -> Iterator[pa.RecordBatch]:
+    """Records as gzip members, packed into one value for each file of ``file_bytes`` or a record; ``head`` starts each."""
+    held, size, between = [], 0, member(end)
+
+    def value() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([between.join(([head] if head else []) + held)], pa.binary())], ["value"])
+
+    for r in records:
+        packed = member(r)
+        if held and size + len(packed) > file_bytes:
+            yield value()
+            held, size = [], 0
+        held.append(packed)
+        size += len(packed) + len(between)
+    if held:
+        yield value()
+
+
 def write_archives(values: DataFrame, target: str, end: bytes) -> None:
-    """Files of the gzip members in the column value, each followed by a member that holds the record's end."""
+    """A file for each value of files(), and the end of its last record."""
     text = values.select(F.col("value").cast("string").alias("value"))  # the bytes stay as they are
-    text.write.option("encoding", "ISO-8859-1").option("lineSep", member(end).decode("latin-1")).option("maxRecordsPerFile", RECORDS_A_FILE).text(target)
+    text.write.option("encoding", "ISO-8859-1").option("lineSep", member(end).decode("latin-1")).option("maxRecordsPerFile", 1).text(target)
 
 
-def arc_to_warc(spark: SparkSession, source: str, target: str, damage: str = "raise") -> None:
-    """Convert the ARC archives below ``source`` into WARC archives below ``target``.
+def arc_to_warc(spark: SparkSession, source: str, target: str, damage: str = "raise", file_bytes: int = FILE_BYTES) -> None:
+    """Convert the ARC archives below ``source`` into WARC archives of about ``file_bytes`` below ``target``.
 
     A first pass reads heads and digests only and decides; which records become revisits meets
     each archive by its path, so no payload leaves its archive before it is written.
@@ -234,30 +297,32 @@ def arc_to_warc(spark: SparkSession, source: str, target: str, damage: str = "ra
     none = dict.fromkeys(("refers_id", "refers_url", "refers_date"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for where, content, refers in zip(b.column(0), b.column(1), b.column(2)):
-                rows, known = converted(where.as_py(), opened(content.as_py()), True, "report"), {x["place"]: x for x in refers.as_py() or ()}
-                yield from batched(({"value": member(warc_record(r, known.get(r["place"], none)))} for r in rows if r["kind"] != "damaged"), [("value", pa.binary())], "value")
+        def records() -> Iterator[bytes]:
+            for b in batches:
+                for where, content, refers in zip(b.column(0), b.column(1), b.column(2)):
+                    known = {x["place"]: x for x in refers.as_py() or ()}
+                    for r in converted(where.as_py(), Opened(content.as_buffer()), True, "report"):
+                        if r["kind"] != "damaged":
+                            yield warc_record(r, known.get(r["place"], none))
+
+        yield from files(records(), CRLF * 2, file_bytes)
 
     write_archives(archives(spark, source).join(F.broadcast(decided) if few else decided, "path", "left").select("path", "content", "refers").mapInArrow(run, "value binary"), target, CRLF * 2)
     discard(spark, path)
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def warc_records(data: Opened) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower-case names) and block of each record, by declared lengths."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == CRLF:
-            at += 2
+    while line := data.line():
+        if line == CRLF:
             continue
-        end = data.find(CRLF * 2, at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if end < 0 or not lines[0].startswith("WARC/"):
-            raise Damaged(f"no WARC header: {data[at : at + 200]!r}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        n = int(fields.get("content-length", 0))
-        yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+        if not line.startswith(b"WARC/"):
+            raise Damaged(f"no WARC header: {line[:200]!r}")
+        lines = []
+        while (own := data.line()) not in (CRLF, b""):
+            lines.append(own.decode("utf-8", "replace").rstrip("\r\n"))
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        yield fields, data.take(int(fields.get("content-length", 0)))
 
 
 WARC_FIELDS = [("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_id", pa.string())]
@@ -271,7 +336,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """
     fields = WARC_FIELDS + ([("payload", pa.binary())] if payloads else [])
 
-    def rows(data: bytes) -> Iterator[dict]:
+    def rows(data: Opened) -> Iterator[dict]:
         for h, block in warc_records(data):
             kind = h["warc-type"]
             if kind not in ("response", "resource", "revisit"):
@@ -290,44 +355,38 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(1):
-                yield from batched(rows(opened(content.as_py())), fields, "payload")
+                yield from batched(rows(Opened(content.as_buffer())), fields, "payload")
 
     return archives(spark, path).mapInArrow(run, ddl(fields))
 
 
-def write_arc(pages: DataFrame, target: str, stamp: str = "20200101000000") -> None:
+def write_arc(pages: DataFrame, target: str, stamp: str = "20200101000000", file_bytes: int = FILE_BYTES) -> None:
     """ARC archives of pages (page_id, url, html), versions 1 and 2 by task in turn.
 
     The html in UTF-8 is the body of an HTTP response that also carries the page_id; null
     html is an empty body.  White space in a url is percent-encoded; a page without url
-    gets one made from its id.  Each batch starts with a version block, so that every file that Spark
-    cuts off a task's rows says its version at its first record.
+    gets one made from its id.  Each file starts with a version block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, count = TaskContext.get().partitionId(), 0
+        part = TaskContext.get().partitionId()
         version = 1 + part % 2
         title = f"{version} 0 coupling-archive\n{TITLES[version]}\n"
         ends = {1: "", 2: f"200 - - 0 part-{part:05d}.arc "}[version]
         block = member(f"filedesc://part-{part:05d}.arc 0.0.0.0 {stamp} text/plain {ends}{len(title)}\n{title}".encode())
 
-        def records() -> Iterator[dict]:
-            nonlocal count
+        def records() -> Iterator[bytes]:
             for b in batches:
-                for page, url, html in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    if count % RECORDS_A_FILE == 0:
-                        yield {"value": block}
-                        count += 1
-                    count += 1
-                    body = (html or "").encode("utf-8", "surrogatepass")
+                for page, url, html in zip(*(b.column(i) for i in range(3))):
+                    page, url, body = page.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass")
                     mark = "" if page is None else f"X-Page-Id: {page}\r\n"
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(body)}\r\n\r\n".encode()
                     where = re.sub(r"\s", lambda m: "".join(f"%{x:02X}" for x in m[0].encode()), url or "") or f"urn:page:{page}"
-                    yield {"value": member(f"{where} 0.0.0.0 {stamp} text/html {ends}{len(head) + len(body)}\n".encode() + head + body)}
+                    yield f"{where} 0.0.0.0 {stamp} text/html {ends}{len(head) + len(body)}\n".encode() + head + body
 
-        yield from batched(records(), [("value", pa.binary())], "value")
+        yield from files(records(), b"\n", file_bytes, block)
 
     # the cast to long keeps the layout of the batches fixed whatever the table's types are
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -335,7 +394,7 @@ def write_arc(pages: DataFrame, target: str, stamp: str = "20200101000000") -> N
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """A WARC record for each page, read back.  Rows of one page_id and url that repeat share a record and its decision."""
+    """A WARC record for each page, read back.  Null html is an empty payload, a null page_id or url one of its own.  Rows of one page_id and url that repeat share a record and its decision."""
     arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
     write_arc(table(spark, sf_dir, "pages"), arc)
     arc_to_warc(spark, arc, warc)

@@ -44,7 +44,7 @@ def test_empty_table(spark):
 
 
 def converted(data):
-    return list(warc.converted("x", warc.opened(data), True, "raise"))
+    return list(warc.converted("x", warc.Opened(data), True, "raise"))
 
 
 def test_both_versions_are_parsed():
@@ -119,8 +119,52 @@ def test_repeated_pages_share_a_decision(spark):
     assert sorted((r.page_id, r.record_type) for r in got) == [(3, "revisit"), (7, "response"), (7, "response")]
 
 
-def test_files_hold_a_bounded_number_of_records(spark, monkeypatch):
-    monkeypatch.setattr(warc, "RECORDS_A_FILE", 4)
-    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i % 3}") for i in range(11)], "page_id long, url string, html string").coalesce(1)
-    _, got = round_trip(spark, pages)
-    assert sorted(r.page_id for r in got) == list(range(11)) and sum(r.record_type == "response" for r in got) == 3
+def contents(spark, path):
+    return [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect() if r.content]
+
+
+def test_files_hold_a_bounded_number_of_bytes(spark):
+    import random
+
+    rng = random.Random(0)
+    pages = spark.createDataFrame([(i, f"http://a/{i}", rng.randbytes(900 if i != 5 else 9000).hex() if i % 3 else "same") for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    arc, out = scratch(spark, "arc"), scratch(spark, "warc")
+    warc.write_arc(pages, arc, file_bytes=4000)
+    warc.arc_to_warc(spark, arc, out, file_bytes=3000)
+    for path, limit in ((arc, 4000), (out, 3000)):
+        sizes = sorted(map(len, contents(spark, path)))
+        assert len(sizes) > 8 and sizes[-2] < limit + 300 and sizes[-1] > 9000  # one record alone is longer
+    assert all(gzip.decompress(c).startswith(b"filedesc://") for c in contents(spark, arc))
+    got = warc.read_warc(spark, out).collect()
+    assert sorted(r.page_id for r in got) == list(range(40)) and sum(r.record_type == "revisit" for r in got) == 13
+
+
+@pytest.mark.parametrize("step", [1, 7, 65536])
+def test_archives_are_opened_as_they_are_read(step, monkeypatch):
+    monkeypatch.setattr(warc, "STEP", step)
+    lines = [b"one\n", b"", b"x" * 300 + b"\n", b"\r\n", b"last"]
+    raw = b"".join(lines)
+    for data in (raw, gzip.compress(raw), b"".join(map(gzip.compress, lines))):
+        o = warc.Opened(data)
+        assert [o.line() for _ in range(5)] == [b"one\n", b"x" * 300 + b"\n", b"\r\n", b"last", b""]
+        o = warc.Opened(data)
+        assert o.take(2) + o.line() == b"one\n" and o.take(301) == b"x" * 300 + b"\n" and o.take(99) == b"\r\nlast" and o.take(1) == o.line() == b""
+    assert warc.Opened(b"").line() == b"" and len(warc.Opened(gzip.compress(raw)[:-12]).take(999)) <= len(raw)
+
+
+@pytest.mark.parametrize("stamp, want", [
+    ("20010203", ("2001-02-03T00:00:00Z", True)), ("2001020304", ("2001-02-03T04:00:00Z", True)), ("200102030405", ("2001-02-03T04:05:00Z", True)),
+    ("20010203040506", ("2001-02-03T04:05:06Z", True)), ("20010203040506789", ("2001-02-03T04:05:06Z", True)), ("20019999999999", ("2001-01-01T00:00:00Z", False)),
+    ("20010230040506", ("2001-02-01T00:00:00Z", False)), ("20010203250000", ("2001-02-03T00:00:00Z", False)), ("200102030", ("2001-02-03T00:00:00Z", False)), ("00000101", ("1970-01-01T00:00:00Z", False)),
+])
+def test_dates_keep_what_can_be_read(stamp, want):
+    assert warc.iso_date(stamp) == want
+    (r,) = converted(f"http://a/ 1.2.3.4 {stamp} text/html 2\nhi".encode())
+    assert (r["date"], r["date_exact"]) == want
+
+
+def test_a_location_with_spaces():
+    (r,) = converted(b"http://a/b c 1.2.3.4 20010203040506 text/html; charset=utf-8 302 ABC http://x/a b 12 9 f.arc 2\nhi")
+    assert (r["url"], r["mime"], r["result"], r["version"], r["payload"]) == ("http://a/b c", "text/html; charset=utf-8", 302, 2, b"hi")
+    (r,) = converted(b"http://a/ - 20010203040506 - - - - - f.arc 2\nhi")
+    assert (r["mime"], r["result"], r["ip"], r["version"]) == ("-", None, "-", 2)
