@@ -53,7 +53,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     The order is cut into slices by its leading digits: sums of slices and running sums
     inside each slice give the place of a document, so a source that holds most rows
     is still spread over thousands of groups.  Documents that are empty take nothing;
-    a source of only such documents has target 0; repeated rows count each.
+    a source of only such documents has target 0; repeated rows count each.  Of documents whose
+    keys tie the smaller doc_id, then the smaller one, comes first.  Long texts count in
+    full; an empty table gives an empty one.  The frame of sources is one partition, so
+    it is meant for some thousands of them.
     """
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
     rows = docs.select("doc_id", "source", size_in_words().alias("size"), key.alias("key"))

@@ -324,7 +324,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     in a document with a smaller doc_id, or at an earlier place of the same one.  n_spans
     counts the maximal repeats that go.  Rows that share a doc_id count as one document; a
     null doc_id comes first.  Texts with fewer words than a window lose none; null and empty
-    texts have none.
+    texts have none; long ones are compared in full; an empty table gives an empty one.
 
     Words are compared by hashes: an anchor's by 64 bits, each word that a match grows by
     its own CELL bytes, windows of crowded anchors by 128 bits.

@@ -117,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add the score of each whole text, 0 to 1; null and empty texts get the calibration's value at no difference.
 
-    Repeated rows are scored alike; a column of ``docs`` that is already called ``out`` raises ValueError.
+    Long texts are scored in pieces, all of them; repeated rows are scored alike; an empty table gives an
+    empty one; a column of ``docs`` that is already called ``out`` raises ValueError.
     """
 
     if out in docs.columns:

@@ -3,7 +3,7 @@
 Bytes are hashed in blocks of eight, each mixed into what came before by a bijection, and
 runs of tokens by joining the hashes of their halves, so there is no algebra between
 positions that unlike inputs could share.  Equal hashes name equal runs but for chance
-(2^-64 for two given runs); what is removed is compared by its words or bytes where it meets.
+(2^-64 for two given runs).  Operators say in their docstrings what they compare beyond hashes.
 """
 
 from __future__ import annotations

@@ -93,9 +93,9 @@ def test_hits_equal_brute_force(spark):
 def test_broadcast_and_shuffle_agree(spark, sf, duck, limit, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
     monkeypatch.setattr(decontaminate, "BROADCAST_DOCS", limit)
-    got = sorted(map(str, decontaminate.query(spark, sf).where("contaminated").select("doc_id", "n_hit", "items_sha256").collect()))
+    got = sorted(map(tuple, decontaminate.query(spark, sf).where("contaminated").select("doc_id", "n_hit", "items_sha256").collect()))
     want = duck.execute(f"SELECT doc_id, n_hit, items_sha256 FROM ({decontaminate.ORACLE}) WHERE contaminated").fetchall()
-    assert len(got) == len(want) > 0
+    assert got == sorted(want) and len(got) > 0
 
 
 def test_benchmark_odd_and_empty(spark, odd, empty):

@@ -230,9 +230,10 @@ def test_components(spark):
     assert near.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_bands_reach_the_recall():
-    b = tokens.bands_for(0.8, 0.998, 4)
-    assert 1 - (1 - 0.8**4) ** b >= 0.998 > 1 - (1 - 0.8**4) ** (b - 1)
+@pytest.mark.parametrize("op", [ngram_join, fuzzy_lines])
+def test_bands_reach_the_recall(op):
+    n, miss = tokens.bands_for(0.8, op.RECALL, op.BAND_ROWS), 1 - 0.8**op.BAND_ROWS
+    assert 1 - miss**n >= op.RECALL > 1 - miss ** (n - 1)
 
 
 def test_token_hashes_follow_content():

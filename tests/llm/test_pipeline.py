@@ -139,3 +139,14 @@ def test_quality_stage_keeps_good_documents(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
     lost = labels.join(kept, "doc_id", "left_anti").count()
     assert lost <= 0.05 * labels.count()
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_broadcasts_beyond_their_bounds_change_nothing(spark, docs, sf, monkeypatch, limit):
+    from tandem.llm import decontaminate
+
+    want = {s.__name__: sorted(map(str, s(spark, docs, sf).collect())) for s in (cp.near_duplicate_stage, cp.decontamination_stage)}
+    monkeypatch.setattr(cp.near, "BROADCAST_NODES", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_DOCS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    assert want == {s.__name__: sorted(map(str, s(spark, docs, sf).collect())) for s in (cp.near_duplicate_stage, cp.decontamination_stage)}
