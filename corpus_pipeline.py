@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import decontaminate, fuzzy_lines, mixing, ngram_join, quality
+from tandem.llm import decontaminate, fuzzy_lines, mixing, near, ngram_join, quality
 from tandem.llm.common import cut, discard, passing, row_key, saved, table, text_of
-from tandem.llm.near import BROADCAST_NODES
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,7 +54,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     def held(ids: DataFrame) -> DataFrame:
         ids = ids.select(F.col("doc").alias("_doc"), F.col("rid").alias("_rid"))
         own = docs.select(*COLUMNS, ngram_join.doc_key().alias("_doc"), F.xxhash64(text_of()).alias("_rid"))
-        return own.join(F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids, ["_doc", "_rid"], "left_semi")
+        return own.join(F.broadcast(ids) if ids.count() <= near.BROADCAST_NODES else ids, ["_doc", "_rid"], "left_semi")
 
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "lang", "source", "n_chars", "doc_id", "text")
     once = held(keep.where("n > 1")).groupBy("_doc", "_rid").agg(F.min(row).alias("row")).select("row.*")
