@@ -20,6 +20,8 @@ TILE = 128
 BUCKET_PAIRS = 500_000
 #: Nodes up to this many (8 bytes each) are broadcast to pick their texts; more are shuffled.
 BROADCAST_NODES = 500_000
+#: Bytes of the texts of groups' heads up to which they are broadcast.
+BROADCAST_BYTES = 32_000_000
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -219,6 +221,9 @@ def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: S
     band that it shares.  No task holds a large group, no pair becomes a row, and only
     texts linked by nothing but a chain go uncompared.  A row with links > 0 counts links of a node
     within one unit (if ``counts`` are asked for); a row with ``other`` is an edge of a spanning forest.
+    Where no counts are asked for, members of a whole group first meet its least node alone (starred()):
+    those linked to it hang together, so only the others still meet all, and a group of n that are
+    all alike is compared in n steps.
     """
     groups = cut(components(edges).select("node", F.col("root").alias("group")))
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
@@ -229,7 +234,7 @@ def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: S
     small = tiled.where("tiles = 1").join(fetch(groups if most <= 1 else tiled.where("tiles = 1").select("node")), "node").select(
         F.pmod(F.xxhash64("group"), F.lit(max(1, total // 256))).alias("unit"), F.lit(-1).alias("band"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "group", "node", F.lit(0).alias("tile"), "raw", none
     )
-    rows = small
+    rows, known = small, None
     if most > 1:
         keyed = with_keys(fetch(tiled.where("tiles > 1").select("node")), shape)
         many = cut(tiled.where("tiles > 1").join(keyed, "node"))
@@ -239,9 +244,15 @@ def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: S
         whole = many.groupBy("group").agg(F.sum("tiles").alias("by_tile")).join(cost, "group", "left")
         way = cut(whole.select("group", (F.coalesce("by_bucket", F.lit(0)) < F.col("by_tile")).alias("buckets")))
         dealt = many.join(way, "group")
-        ends = lambda df: df.withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))).withColumn("lo", F.least("tile", "j")).withColumn("hi", F.greatest("tile", "j"))
+        ends = lambda df: _units(df, F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))
         columns = ("unit", "band", "lo", "hi", "group", "node", "tile", "raw", "keys")
-        by_tile = ends(dealt.where("not buckets").select("*", own)).withColumns({"unit": F.col("group"), "band": F.lit(-2)}).withColumn("keys", none).select(*columns)
+        if counts:
+            by_tile = ends(dealt.where("not buckets").select("*", own))
+        else:
+            star = starred(dealt.where("not buckets").select("group", "node", "raw"), shape, threshold)
+            known = star.where("linked and node <> head").select("node", F.col("head").alias("other"), F.lit(0).cast("long").alias("links"))
+            by_tile = _beyond(star)
+        by_tile = by_tile.withColumns({"unit": F.col("group"), "band": F.lit(-2)}).withColumn("keys", none).select(*columns)
         # keys that no other member has go before the texts come in
         shared = bucket.join(way.where("buckets"), "group").select("group", "band", "key", F.col("cuts").alias("tiles"))
         spread = member.join(shared, ["group", "band", "key"]).join(many.select("node", "raw", "keys"), "node")
@@ -259,7 +270,41 @@ def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: S
         cols = list(zip(*out)) if out else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "other", "links"])
 
-    return cut(rows.groupBy("unit", "band", "lo", "hi").applyInArrow(check, "node long, other long, links long"))
+    out = rows.groupBy("unit", "band", "lo", "hi").applyInArrow(check, "node long, other long, links long")
+    return cut(out.unionByName(known) if known is not None else out)
+
+
+def _units(rows: DataFrame, others) -> DataFrame:
+    """Each row once for each of the tiles that its tile is compared with; lo and hi name the unit."""
+    return rows.withColumn("j", F.explode(others)).withColumn("lo", F.least("tile", "j")).withColumn("hi", F.greatest("tile", "j"))
+
+
+def starred(members: DataFrame, shape: Shape, threshold: float) -> DataFrame:
+    """group, node, raw, head (the least node of the group) and linked: whether the two are similar enough."""
+    heads = members.groupBy("group").agg(F.min("node").alias("head"))
+    texts = cut(members.join(heads, "group").where("node = head").select("group", "head", F.col("raw").alias("head_raw")))
+    few = texts.agg(F.coalesce(F.sum(F.length("head_raw") + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (g, at), (h, to) = (shape.shingle(b.column(b.schema.get_field_index(c))) for c in ("raw", "head_raw"))
+            near = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                x, y = np.unique(g[at[i] : at[i + 1]]), np.unique(h[to[i] : to[i + 1]])
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near[i] = common >= threshold * (len(x) + len(y) - common) - 1e-9
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("group", "node", "raw", "head")), pa.array(near)], ["group", "node", "raw", "head", "linked"])
+
+    return cut(members.join(F.broadcast(texts) if few else texts, "group").mapInArrow(run, "group long, node long, raw binary, head long, linked boolean"))
+
+
+def _beyond(star: DataFrame) -> DataFrame:
+    """Rows of units that compare what is not linked to its head with everything in its group."""
+    size = star.groupBy("group").agg(F.ceil(F.count_if("linked") / TILE).cast("int").alias("near"), F.ceil(F.count_if(~F.col("linked")) / TILE).cast("int").alias("far")).where("far > 0")
+    h = F.xxhash64("node")
+    tile = F.when(F.col("linked"), F.pmod(h, F.greatest("near", F.lit(1)))).otherwise(F.col("near") + F.pmod(h, F.col("far"))).cast("int")
+    others = F.sequence(F.when(F.col("linked"), F.col("near")).otherwise(F.lit(0)), F.col("near") + F.col("far") - 1)
+    return _units(star.join(size, "group").withColumn("tile", tile), others)
 
 
 def with_keys(have: DataFrame, shape: Shape) -> DataFrame:

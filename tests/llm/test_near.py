@@ -266,3 +266,27 @@ def test_one_text_of_each_node_is_fetched(spark, monkeypatch, repeats):
     seen.clear()
     out = fuzzy_lines.dedup(make(spark, rows)).collect()
     assert [x.count() for x in seen] == [2] and sum(r.n_removed for r in out) == repeats
+
+
+def test_alike_lines_are_compared_with_one_of_them(spark, monkeypatch):
+    """A group of n lines sends some n lines, not n * n / TILE, and those beyond its head are found too."""
+    sent, real = [], near._units
+    monkeypatch.setattr(near, "TILE", 8)
+    monkeypatch.setattr(near, "_units", lambda *a: sent.append(out := real(*a)) or out)
+    base = "the same long footer line stands below each and every page of this site, with one number in it: "
+    texts = [base + f"{i:03}" for i in range(200)]
+    out = fuzzy_lines.dedup(make(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert sum(r.n_removed for r in out) == 199 and sum(x.count() for x in sent) <= 200
+    # a chain: each line is close to the next alone, so most are far from the head
+    sent.clear()
+    words = [f"{chr(97 + i % 26)}{i:02}" for i in range(60)]
+    chain = [" ".join(words[: 60 - k] + [w.upper() for w in words[60 - k :]]) for k in range(0, 60, 2)]
+    for limit in (10**9, 0):
+        monkeypatch.setattr(near, "BROADCAST_BYTES", limit)
+        out = fuzzy_lines.dedup(make(spark, [(i, t, "s") for i, t in enumerate(chain)])).collect()
+        sets = [{t[j : j + 5] for j in range(len(t) - 4)} for t in chain]
+        groups = Sets(range(len(chain)))
+        for i, j in itertools.combinations(range(len(chain)), 2):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                groups.join(i, j)
+        assert {r.doc_id for r in out if not r.n_removed} == {groups.top(i) for i in range(len(chain))}
