@@ -39,7 +39,7 @@ def read_measurements(spark: SparkSession, path: str, layer: str = "X") -> DataF
 
 def explode_matrix(df: DataFrame, id_col: str, vec_col: str, names: DataFrame) -> DataFrame:
     """(id, feature, value) of a vector column; ``names`` holds pos and feature."""
-    return df.select(id_col, F.posexplode(vec_col).alias("pos", "value")).join(F.broadcast(names), "pos").select(id_col, "feature", F.col("value").cast("double").alias("value"))
+    return df.select(id_col, F.posexplode(vec_col).alias("pos", "value")).join(names, "pos").select(id_col, "feature", F.col("value").cast("double").alias("value"))
 
 
 def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
