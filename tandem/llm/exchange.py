@@ -134,14 +134,14 @@ def doc_key(doc: np.ndarray, rid: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.int64).view(np.uint64)) ^ rid.astype(np.uint64))
 
 
-def gathered(batches: Iterator[tuple[str, Arrays]]) -> Iterator[tuple[str, Arrays]]:
-    """Arrays of one kind joined up to about GATHER entries."""
+def gathered(batches: Iterator[tuple[str, Arrays]], gather: int = GATHER) -> Iterator[tuple[str, Arrays]]:
+    """Arrays of one kind joined up to about ``gather`` entries."""
     held: dict[str, list[Arrays]] = {}
     join = lambda parts: {k: np.concatenate([h[k] for h in parts]) for k in parts[0]}
     for kind, b in batches:
         if len(b["key"]):
             held.setdefault(kind, []).append(b)
-        if sum(len(h["key"]) for h in held.get(kind, [])) >= GATHER:
+        if sum(len(h["key"]) for h in held.get(kind, [])) >= gather:
             yield kind, join(held.pop(kind))
     for kind, parts in held.items():
         yield kind, join(parts)
@@ -175,7 +175,7 @@ def meet(
         return packed("reply", spread(doc_key(reply["doc"], reply["rid"]), home[0]), reply)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, part in gathered(produce(batches)):
+        for kind, part in gathered(produce(batches), min(GATHER, 2 * bucket)):  # small buckets are asked for where entries are large
             if short:
                 part["key"] = part["key"] >> cut_off << cut_off
             rest, reply = settle[kind](part, False)
