@@ -50,15 +50,15 @@ def _bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def beta_tail(a: Column, x: Column, depth: Column) -> Column:
-    """The regularised incomplete beta function I(x; a, 1/2) for 0 < x < 1, by its continued fraction.
+def beta_tail(a: Column, x: Column, y: Column, depth: Column) -> Column:
+    """The regularised incomplete beta function I(x; a, 1/2) for 0 < x < 1 and y = 1 - x, by its continued fraction.
 
     The fraction is a fold over its terms from the last to the first, in the side of the
     function (x, or 1 - x with a and 1/2 in turn) on which it settles faster.
     """
     half = F.lit(0.5)
     swap = x > (a + 1) / (a + 2.5)
-    side = F.struct(swap.alias("swap"), F.when(swap, half).otherwise(a).alias("p"), F.when(swap, a).otherwise(half).alias("q"), F.when(swap, 1 - x).otherwise(x).alias("z"), _log_gamma_step(a).alias("g"), depth.cast("int").alias("depth"))
+    side = F.struct(swap.alias("swap"), F.when(swap, half).otherwise(a).alias("p"), F.when(swap, a).otherwise(half).alias("q"), F.when(swap, y).otherwise(x).alias("z"), _log_gamma_step(a).alias("g"), depth.cast("int").alias("depth"))
 
     def term(m: Column, s: Column) -> Column:
         k = F.floor(m / 2).cast("double")
@@ -76,11 +76,11 @@ def beta_tail(a: Column, x: Column, depth: Column) -> Column:
 
 
 def pearson_p_value(r: Column | str, n: Column | str) -> Column:
-    """Two-sided p of r from n rows: 1 if n = 2, 0 if r = +-1, null if r is missing or n < 2.
+    """Two-sided p of r from n rows: 1 if n = 2 or r = 0, 0 if r = +-1, null if r is missing or n < 2.
 
     An expression, so no Python worker; it is meant for aggregated rows, one for each feature.
     """
     r, n = (F.col(c) if isinstance(c, str) else c for c in (r, n))
     depth = F.least(F.lit(DEPTH), F.ceil(60 + 4 * F.sqrt(n)))
-    tail = beta_tail((n - 2) / F.lit(2.0), 1 - r * r, depth)
-    return F.when(r.isNull() | F.isnan(r) | n.isNull() | (n < 2), F.lit(None).cast("double")).when(n == 2, F.lit(1.0)).when(F.abs(r) >= 1, F.lit(0.0)).otherwise(tail)
+    tail = beta_tail((n - 2) / F.lit(2.0), 1 - r * r, r * r, depth)
+    return F.when(r.isNull() | F.isnan(r) | n.isNull() | (n < 2), F.lit(None).cast("double")).when((n == 2) | (r * r == 0), F.lit(1.0)).when(F.abs(r) >= 1, F.lit(0.0)).otherwise(tail)
