@@ -86,9 +86,10 @@ def banded(k: int, bands: int):
             buf, off = pack(column(b, "text"))
             start, end, _, _ = line_spans(buf, off)
             node, first = np.unique(line_nodes(buf, start, end), return_index=True)
-            new = ~np.isin(node, seen)
+            at = np.minimum(np.searchsorted(seen, node), max(0, len(seen) - 1))
+            new = seen[at] != node if len(seen) else np.ones(len(node), bool)
             node, start, end = node[new], start[first[new]], end[first[new]]
-            seen = np.concatenate([seen, node]) if len(seen) < SEEN else node
+            seen = np.sort(np.concatenate([seen, node]), kind="stable") if len(seen) < SEEN else node  # two sorted runs are merged
             if len(node):
                 yield node, tokens.band_keys(tokens.min_hashes(*line_shingles(buf, start, end, k), bands * BAND_ROWS), BAND_ROWS)
 

@@ -127,18 +127,18 @@ def shingles(tok: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def min_hashes(g: np.ndarray, goff: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
     """(texts x n) minima of n hash functions over each text's shingles; texts need one at least."""
     mult = np.random.default_rng(seed).integers(0, 2**31, n, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-    out = np.empty((len(goff) - 1, n), np.uint32)
+    out = np.empty((n, len(goff) - 1), np.uint32)  # a row a function, so that minima are written in place
     g = (g >> U(32)).astype(np.uint32)
     step = 0
-    while step < len(goff) - 1:  # some 64k shingles at a time, to stay in the cache
-        last = max(step + 1, int(np.searchsorted(goff, goff[step] + 65536, "right")) - 1)
+    while step < len(goff) - 1:  # some 128k shingles at a time, to stay in the cache
+        last = max(step + 1, int(np.searchsorted(goff, goff[step] + 131072, "right")) - 1)
         part, at = g[goff[step] : goff[last]], goff[step:last] - goff[step]
         buf = np.empty_like(part)
         for i in range(n):
             np.multiply(part, mult[i], out=buf)
-            out[step:last, i] = np.minimum.reduceat(buf, at)
+            np.minimum.reduceat(buf, at, out=out[i, step:last])
         step = last
-    return out
+    return out.T
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
