@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import near, tokens
 from .common import cut, pack, table, text_of
 from .near import Shape, components, once, pick, star_edges, verified
 from .passages import chunks, column
@@ -21,7 +21,9 @@ CHARS, THRESHOLD = 5, 0.8
 BAND_ROWS, RECALL = 6, 0.998
 #: Lines (8 bytes each) that a task remembers so as not to hash them again.
 SEEN = 1_000_000
-#: Bytes of (document, line numbers) up to which the lines to fetch are broadcast.
+#: Bytes of neighbouring lines that are cut into shingles at a time.
+BLOCK = 65_536
+#: Bytes of (document, line numbers) up to which the lines to fetch, and those to remove, are broadcast.
 BROADCAST_BYTES = 32_000_000
 
 
@@ -32,30 +34,50 @@ def line_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end = np.sort(np.r_[off[:-1], brk + 1]), np.sort(np.r_[off[1:], brk])
     of = np.repeat(np.arange(n), np.searchsorted(brk, off[1:]) - np.searchsorted(brk, off[:-1]) + 1)
     number = np.arange(len(of)) - np.searchsorted(of, of, "left")
-    word = np.r_[0, np.cumsum(~tokens._SPACE[buf])]
-    some = word[end] > word[start]
+    some = end > start
+    blank = np.flatnonzero(some)[tokens._SPACE[buf[start[some]]]]  # so far: most lines start with a word
+    some[blank] = [not tokens._SPACE[buf[s:e]].all() for s, e in zip(start[blank], end[blank])]
     return start[some], end[some], of[some], number[some]
 
 
 def line_nodes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Names a line by 64 bits of hash of its bytes."""
-    return tokens.span_hashes(buf, start, end).view(np.int64)
+    """Names a line, of a byte at least, by 64 bits of hash of its bytes."""
+    return tokens.long_hashes(buf, start, end).view(np.int64)
 
 
 def line_shingles(buf: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of k characters of each line, and offsets by line; lines of fewer characters are one run."""
-    place = np.flatnonzero((buf & 0xC0) != 0x80)
-    first, last = np.searchsorted(place, start), np.searchsorted(place, end)
+    """Hashes of the runs of k characters of each line, and offsets by line; lines of fewer characters are one run.
+
+    Lines come in order of place.  They are taken some BLOCK bytes at a time, to stay in the cache.
+    """
+    parts, counts, s = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    while s < len(start):
+        e = max(s + 1, int(np.searchsorted(end, start[s] + BLOCK, "right")))
+        g, count = _block_shingles(buf[start[s] : end[e - 1]], start[s:e] - start[s], end[s:e] - start[s], k)
+        parts.append(g)
+        counts.append(count)
+        s = e
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+
+def _block_shingles(buf: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of k characters of neighbouring lines, and how many each has."""
+    inner = (buf & 0xC0) == 0x80
+    if inner.any():
+        place = np.flatnonzero(~inner)
+        first, last = np.searchsorted(place, start), np.searchsorted(place, end)
+        place = np.r_[place, len(buf)]
+        whole = tokens.run_hashes(buf, place[:-k], place[k:]) if len(place) > k else np.zeros(0, np.uint64)
+    else:
+        first, last, whole = start, end, tokens.runs_of_bytes(buf, k)
     n = last - first
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
-    goff = np.r_[0, np.cumsum(count)]
-    at = np.arange(goff[-1]) + np.repeat(first - goff[:-1], count)
-    place = np.r_[place, len(buf)]
-    whole = tokens.span_hashes(buf, place[:-k], place[k:]) if len(place) > k else np.zeros(0, np.uint64)
+    to = np.cumsum(count)
+    at = np.arange(to[-1]) + np.repeat(first - to + count, count)
     g = whole[np.minimum(at, len(whole) - 1)] if len(whole) else np.zeros(len(at), np.uint64)
     short = np.flatnonzero((n < k) & (n > 0))
-    g[goff[short]] = tokens.span_hashes(buf, start[short], end[short])
-    return g, goff
+    g[(to - count)[short]] = tokens.span_hashes(buf, start[short], end[short])
+    return g, count
 
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
@@ -85,11 +107,13 @@ def banded(k: int, bands: int):
         for b in chunks(batches):
             buf, off = pack(column(b, "text"))
             start, end, _, _ = line_spans(buf, off)
-            node, first = np.unique(line_nodes(buf, start, end), return_index=True)
+            names = line_nodes(buf, start, end)
+            node, first = np.unique(names, return_index=True)
             at = np.minimum(np.searchsorted(seen, node), max(0, len(seen) - 1))
             new = seen[at] != node if len(seen) else np.ones(len(node), bool)
-            node, start, end = node[new], start[first[new]], end[first[new]]
+            node, first = node[new], np.sort(first[new])
             seen = np.sort(np.concatenate([seen, node]), kind="stable") if len(seen) < SEEN else node  # two sorted runs are merged
+            node, start, end = names[first], start[first], end[first]
             if len(node):
                 yield node, tokens.band_keys(tokens.min_hashes(*line_shingles(buf, start, end, k), bands * BAND_ROWS), BAND_ROWS)
 
@@ -103,11 +127,9 @@ def line_texts(rows: DataFrame) -> DataFrame:
         for b in chunks(batches):
             buf, off = pack(column(b, "text"))
             start, end, of, number = line_spans(buf, off)
-            asked = np.zeros(len(of), bool)
-            first = np.searchsorted(of, np.arange(b.num_rows + 1))
-            for i, d in enumerate(column(b, "lines")):
-                own = slice(first[i], first[i + 1])
-                asked[own] = np.isin(number[own], np.array(d.as_py()))
+            lines = column(b, "lines")  # (document, line) as one number; lines are fewer than bytes
+            wanted = np.repeat(np.arange(b.num_rows), lines.value_lengths()) * (len(buf) + 2) + np.asarray(lines.flatten())
+            asked = np.isin(of * (len(buf) + 2) + number, wanted)
             start, end = start[asked], end[asked]
             raw = pa.array([buf[s:e].tobytes() for s, e in zip(start, end)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(line_nodes(buf, start, end)), raw], ["node", "raw"])
@@ -132,19 +154,23 @@ def removed_lines(rows: DataFrame, k: int = CHARS, threshold: float = THRESHOLD)
     n_rows, n_texts = slim.where("head").agg(F.count("*"), F.count_distinct("doc", "rid")).first()
     edges = star_edges(rows.select("text"), banded(k, bands), slim.count() * bands)
     place = F.struct("doc", "rid", "line")
-    nodes = cut(slim.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    copied = cut(slim.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
 
     # the first place of a line lends its text
     def fetch(wanted: DataFrame) -> DataFrame:
-        at = cut(pick(nodes, wanted, "node").select("first.*").groupBy("doc", "rid").agg(F.collect_set("line").alias("lines")))
+        first = pick(slim, wanted, "node").groupBy("node").agg(F.min(place).alias("first"))
+        at = cut(first.select("first.*").groupBy("doc", "rid").agg(F.collect_set("line").alias("lines")))
         held = at.agg(F.coalesce(F.sum(F.lit(40) + 8 * F.size("lines")), F.lit(0))).first()[0]
         return once(line_texts(rows.join(F.broadcast(at) if held <= BROADCAST_BYTES else at, ["doc", "rid"])), n_rows > n_texts)
 
     found = verified(edges, fetch, Shape(shingle(k), bands, BAND_ROWS), threshold, counts=False)
     roots = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = nodes.join(roots, "node", "left").where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first", "n")
-    groups = named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1").select("root", "kept")
-    gone = slim.join(named.select("node", "root").join(groups, "root").select("node", "kept"), "node").where(place != F.col("kept"))
+    # of a line that has neither a copy nor a link nothing is asked
+    named = cut(copied.join(roots, "node", "full_outer").select("node", F.coalesce("root", "node").alias("root")))
+    hint = F.broadcast if named.count() <= near.BROADCAST_NODES else lambda df: df
+    members = cut(slim.join(hint(named), "node").select("root", "doc", "rid", "line"))
+    groups = cut(members.groupBy("root").agg(F.min(place).alias("kept")))
+    gone = members.join(hint(groups), "root").where(place != F.col("kept"))
 
     return cut(gone.groupBy("doc", "rid").agg(F.sort_array(F.collect_set("line")).alias("lines")))
 
@@ -169,7 +195,8 @@ def dedup(docs: DataFrame, k: int = CHARS, threshold: float = THRESHOLD) -> Data
     parts = F.split(text, "\n")
     left = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("lines", i), x)), lambda x: x.isNotNull())
     removed = F.coalesce("lines", F.array().cast("array<int>"))
-    return own.join(gone, "at", "left").select(
+    held = gone.agg(F.coalesce(F.sum(F.lit(40) + 4 * F.size("lines")), F.lit(0))).first()[0]
+    return own.join(F.broadcast(gone) if held <= BROADCAST_BYTES else gone, "at", "left").select(
         "row.*", F.size(parts).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"),
         F.when(F.col("lines").isNull(), text).otherwise(F.array_join(left, "\n")).alias("kept"),
     )

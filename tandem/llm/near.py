@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -16,6 +16,8 @@ from .common import cut, discard, saved, stays
 
 #: Members of a candidate group that are compared in one task with as many others.
 TILE = 128
+#: Members of a group up to which it is compared in one pass with the other small groups of its unit.
+FEW = 8
 #: (key, node) pairs that a task of the band exchange holds, about.
 BUCKET_PAIRS = 500_000
 #: Nodes up to this many (8 bytes each) are broadcast to pick their texts; more are shuffled.
@@ -41,7 +43,7 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def star_edges(rows: DataFrame, produce: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], n_pairs: float) -> DataFrame:
-    """Edges (a, b) that connect all nodes with a band key in common.
+    """Edges (a, b), some of them repeated, that connect all nodes with a band key in common.
 
     ``produce`` turns batches of rows into nodes (int64) and their band keys (a row of
     uint64 each).  Each task first joins up its own, so of a key that is everywhere only
@@ -80,7 +82,7 @@ def star_edges(rows: DataFrame, produce: Callable[[Iterator[pa.RecordBatch]], It
         return pa.Table.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=EDGES)
 
     packed = rows.mapInArrow(pack, "bucket int, keys binary, nodes binary, edges binary")
-    return packed.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
+    return packed.groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -96,9 +98,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spark, drop = edges.sparkSession, []
     swap = lambda e: e.select(F.col("b").alias("a"), F.col("a").alias("b"))
     least = lambda e: e.groupBy("a").agg(F.min("b").alias("m"))
-    now, path = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    seen = mark(now)
+
+    def write(e: DataFrame) -> tuple[DataFrame, str, tuple]:
+        """Writes these different edges; what tells whether they have changed is counted while they are written."""
+        seen = Observation()
+        out, path = saved(e.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("all")), "edges")
+        return out, path, (seen.get["n"], seen.get["all"])
+
+    now, path, seen = write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def hop(e: DataFrame, low: DataFrame) -> DataFrame:
         if 2 * seen[0] > BROADCAST_NODES:
@@ -117,10 +124,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = least(large)
         small = hop(large, low).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         last = path
-        now, path = saved(small, "edges")
+        now, path, new = write(small)
         discard(spark, last, *drop)
         drop.clear()
-        if (new := mark(now)) == seen:
+        if new == seen:
             break
         seen = new
     stays(path)
@@ -179,34 +186,69 @@ class Shape:
     rows: int
 
 
-def linked(raw: pa.Array, node: np.ndarray, group: np.ndarray, tile: np.ndarray, across: bool, keys: np.ndarray | None, band: int, shape: Shape, threshold: float, counts: bool) -> Iterator[tuple]:
+def linked(raw: pa.Array, node: np.ndarray, group: np.ndarray, tile: np.ndarray, across: bool, keys: np.ndarray | None, band: int, shape: Shape, threshold: float, counts: bool) -> pa.Table:
     """(node, other, links) of one unit; see verified()."""
     g, off = shape.shingle(raw)
-    order = np.lexsort((node, group))
-    cuts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
-    for s, e in zip(cuts, np.r_[cuts[1:], len(order)]):
-        own = order[s:e]
-        own = own[np.r_[True, node[own][1:] != node[own][:-1]]]
-        if len(own) < 2:
-            continue
-        held = [np.unique(g[off[i] : off[i + 1]]) for i in own]
-        n = np.array([len(x) for x in held], float)
-        common = _common(held)
-        link = common >= threshold * (n[:, None] + n[None, :] - common) - 1e-9
-        np.fill_diagonal(link, False)
-        apart = tile[own][:, None] != tile[own][None, :]
-        # units of one tile tell what hangs together inside it; only what joins tiles is new here
-        inside = np.column_stack(np.nonzero(np.triu(link & ~apart))) if across else np.zeros((0, 2), np.int64)
-        if across:
-            link &= apart
-        if counts and keys is not None:  # a pair counts in the first band that it shares
-            for i in np.flatnonzero(link.any(1)):
-                at = np.flatnonzero(link[i])
-                link[i, at] = ~(keys[own[i], :band] == keys[own[at], :band]).any(1)
-        ids = node[own]
-        if counts:
-            yield from ((int(ids[i]), None, int(c)) for i, c in enumerate(link.sum(1)) if c)
-        yield from ((int(ids[a]), int(ids[b]), 0) for a, b in _forest(len(own), inside, np.column_stack(np.nonzero(np.triu(link)))))
+    own = np.lexsort((node, group))
+    own = own[np.r_[True, (group[own][1:] != group[own][:-1]) | (node[own][1:] != node[own][:-1])]]
+    head = np.flatnonzero(np.r_[True, group[own][1:] != group[own][:-1]])
+    size = np.diff(np.r_[head, len(own)])
+    members = np.repeat(size, size)
+    found = [_few(g, off, own, np.flatnonzero((members > 1) & (members <= FEW)), group, threshold)]
+    for s, n in zip(head[size > FEW], size[size > FEW]):
+        held = [np.unique(g[off[i] : off[i + 1]]) for i in own[s : s + n]]
+        found.append(s + np.column_stack(np.nonzero(np.triu(_alike(held, threshold), 1))))
+    pair = np.concatenate(found)
+    apart = tile[own[pair[:, 0]]] != tile[own[pair[:, 1]]]
+    # units of one tile tell what hangs together inside it; only what joins tiles is new here
+    inside, pair = (pair[~apart], pair[apart]) if across else (pair[:0], pair)
+    if counts and keys is not None:  # a pair counts in the first band that it shares
+        earlier = np.zeros(len(pair), bool)
+        for j in range(band):
+            earlier |= keys[own[pair[:, 0]], j] == keys[own[pair[:, 1]], j]
+        pair = pair[~earlier]
+    ids = node[own]
+    links = np.bincount(pair.ravel(), minlength=len(own)) if counts else np.zeros(len(own), np.int64)
+    some = np.flatnonzero(links)
+    tree = np.array(_forest(len(own), inside, pair), np.int64).reshape(-1, 2)
+    other = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[tree[:, 1]])])
+    return pa.Table.from_arrays([pa.array(np.r_[ids[some], ids[tree[:, 0]]]), other, pa.array(np.r_[links[some], np.zeros(len(tree), np.int64)])], ["node", "other", "links"])
+
+
+def _alike(held: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of these sets are similar enough, as a matrix."""
+    n = np.array([len(x) for x in held], float)
+    common = _common(held)
+    return common >= threshold * (n[:, None] + n[None, :] - common) - 1e-9
+
+
+def _few(g: np.ndarray, off: np.ndarray, own: np.ndarray, at: np.ndarray, group: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs of places in ``own`` that are similar enough, of the groups of up to FEW members that stand at ``at``, all in one pass."""
+    if not len(at):
+        return np.zeros((0, 2), np.int64)
+    count = np.diff(off)[own[at]]
+    to = np.cumsum(count)
+    of = np.repeat(np.arange(len(at)), count)
+    mine = np.arange(to[-1]) + np.repeat(off[own[at]] - to + count, count)
+    label = np.cumsum(np.r_[0, group[own[at]][1:] != group[own[at]][:-1]])
+    # a bijection for each group, so that equal shingles of different groups stand apart; the lowest bits name the member
+    bits = np.uint64(len(at).bit_length())
+    key = np.sort(tokens.mix(g[mine] ^ tokens.mix((label + 1).astype(np.uint64))[of]) >> bits << bits | of.astype(np.uint64))
+    key = key[np.r_[True, key[1:] != key[:-1]]]
+    key, of = key >> bits, (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    n = np.bincount(of, minlength=len(at))
+    pairs = []
+    i = np.arange(len(key))
+    for step in range(1, FEW):
+        i = i[i + step < len(key)]
+        i = i[(key[i] == key[i + step]) & (label[of[i]] == label[of[i + step]])]
+        if not len(i):
+            break
+        pairs.append(of[i] * len(at) + of[i + step])
+    pair, common = np.unique(np.concatenate(pairs) if pairs else np.zeros(0, np.int64), return_counts=True)
+    a, b = pair // len(at), pair % len(at)
+    link = common >= threshold * (n[a] + n[b] - common) - 1e-9
+    return np.column_stack([at[a[link]], at[b[link]]])
 
 
 def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, threshold: float, counts: bool = True) -> DataFrame:
@@ -231,12 +273,13 @@ def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: S
     total, most = tiled.agg(F.count("*"), F.coalesce(F.max("tiles"), F.lit(0))).first()
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile")
     none = F.lit(None).cast("array<long>").alias("keys")
-    small = tiled.where("tiles = 1").join(fetch(groups if most <= 1 else tiled.where("tiles = 1").select("node")), "node").select(
+    texts = fetch(groups) if most <= 1 else cut(fetch(groups))
+    small = tiled.where("tiles = 1").join(texts, "node").select(
         F.pmod(F.xxhash64("group"), F.lit(max(1, total // 256))).alias("unit"), F.lit(-1).alias("band"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), "group", "node", F.lit(0).alias("tile"), "raw", none
     )
     rows, known = small, None
     if most > 1:
-        keyed = with_keys(fetch(tiled.where("tiles > 1").select("node")), shape)
+        keyed = with_keys(texts.join(tiled.where("tiles > 1"), "node", "left_semi"), shape)
         many = cut(tiled.where("tiles > 1").join(keyed, "node"))
         member = cut(many.select("group", "node", F.posexplode("keys").alias("band", "key")))
         bucket = cut(member.groupBy("group", "band", "key").agg(F.count("*").alias("n")).where("n > 1").select("group", "band", "key", F.ceil(F.col("n") / TILE).alias("cuts"), "n"))
@@ -256,7 +299,10 @@ def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: S
         # keys that no other member has go before the texts come in
         shared = bucket.join(way.where("buckets"), "group").select("group", "band", "key", F.col("cuts").alias("tiles"))
         spread = member.join(shared, ["group", "band", "key"]).join(many.select("node", "raw", "keys"), "node")
-        by_bucket = ends(spread.select("*", own)).withColumn("unit", F.xxhash64("group", "key")).select(*columns)
+        # a key belongs to one group, so small buckets of a band share a unit, in which each key is a group
+        units = max(1, bucket.where("cuts = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (256 * shape.bands))
+        unit = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("key"), F.lit(units))).otherwise(F.xxhash64("group", "key"))
+        by_bucket = ends(spread.select("*", own)).withColumn("unit", unit).select(*columns)
         rows = small.unionByName(by_tile).unionByName(by_bucket)
 
     def check(t: pa.Table) -> pa.Table:
@@ -266,9 +312,7 @@ def verified(edges: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: S
         if band >= 0:
             keys = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(len(node), shape.bands)
             group = keys[:, band]
-        out = list(linked(t.column("raw").combine_chunks(), node, group, tile, across, keys, band, shape, threshold, counts))
-        cols = list(zip(*out)) if out else [[], [], []]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "other", "links"])
+        return linked(t.column("raw").combine_chunks(), node, group, tile, across, keys, band, shape, threshold, counts)
 
     out = rows.groupBy("unit", "band", "lo", "hi").applyInArrow(check, "node long, other long, links long")
     return cut(out.unionByName(known) if known is not None else out)

@@ -290,3 +290,78 @@ def test_alike_lines_are_compared_with_one_of_them(spark, monkeypatch):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 groups.join(i, j)
         assert {r.doc_id for r in out if not r.n_removed} == {groups.top(i) for i in range(len(chain))}
+
+
+def test_texts_of_small_and_large_groups_are_fetched_once(spark, monkeypatch):
+    """One scan gives the texts of all groups, whether they are compared in one unit or cut into tiles."""
+    monkeypatch.setattr(near, "TILE", 8)
+    seen, real = [], fuzzy_lines.verified
+    monkeypatch.setattr(fuzzy_lines, "verified", lambda edges, fetch, *a, **k: real(edges, lambda nodes: seen.append(out := fetch(nodes)) or out, *a, **k))
+    many = [f"the same long footer line stands below each and every page of this site, with one number in it: {i:03}" for i in range(40)]
+    two = ["a heading that another document has with one letter changed at its very end, and nothing else: " + x for x in "ab"]
+    out = fuzzy_lines.dedup(make(spark, [(i, t, "s") for i, t in enumerate(many + two)])).collect()
+    assert [x.count() for x in seen] == [42] and {r.doc_id for r in out if not r.n_removed} == {0, 40}
+
+
+def test_few_removed_lines_shuffle_no_texts(spark, monkeypatch):
+    rows = make(spark, [(i, f"one line that stands twice\nand number {i % 3}, which has its own words {i}", "s") for i in range(30)])
+    plan = lambda: fuzzy_lines.dedup(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan() and "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(fuzzy_lines, "BROADCAST_BYTES", 0)
+    assert sum(r.n_removed for r in fuzzy_lines.dedup(rows).collect()) >= 29
+
+
+@pytest.mark.parametrize("block", [1, 40, 65_536])
+def test_shingles_do_not_depend_on_blocks(monkeypatch, block):
+    import pyarrow as pa
+
+    monkeypatch.setattr(fuzzy_lines, "BLOCK", block)
+    lines = ["abcdefgh", "é" * 7, "a\U0001f600b€cd", "abc", "", "x" * 90, "\U0001f600" * 6, "12345"]
+    g, off = fuzzy_lines.shingle(5)(pa.array([x.encode() for x in lines]))
+    assert off.tolist() == np.cumsum([0] + [max(len(x) - 4, min(1, len(x))) for x in lines]).tolist()
+    for i, x in enumerate(lines):
+        for j, h in enumerate(g[off[i] : off[i + 1]]):
+            raw = np.frombuffer(x[j : j + 5].encode(), np.uint8)
+            assert h == tokens.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0]
+
+
+def test_names_of_lines_follow_content():
+    lines = [b"a" * n for n in range(1, 40)] + [b"a" * 8 + b"b" * 8, b"b" * 8 + b"a" * 8, b"a\0", b"a\0\0", b"b" * 5000, b"b" * 4999 + b"c"]
+    off = np.cumsum([0] + [len(x) for x in lines])
+    names = fuzzy_lines.line_nodes(np.frombuffer(b"".join(lines), np.uint8), off[:-1], off[1:])
+    assert len(set(names.tolist())) == len(lines)
+    for i, x in enumerate(lines):
+        assert fuzzy_lines.line_nodes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0] == names[i]
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_groups_of_a_unit_equal_brute_force(across, monkeypatch):
+    """Groups below, at and above FEW members: links counted and forests that connect what they connect."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts, group = [], []
+    for i, size in enumerate([1, 2, 2, 3, 7, 8, 9, 20] * 4):
+        base = rng.choice(list("abcdefghij "), int(rng.integers(3, 150)))
+        for _ in range(size):
+            w = base.copy()
+            w[rng.integers(len(w), size=rng.integers(0, len(w) // 18 + 2))] = "z"
+            texts.append("".join(w).encode())
+            group.append(i)
+    group, tile = np.array(group), rng.integers(2, size=len(texts))
+    node = np.arange(len(texts))
+    sets = [grams(t.decode()) for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if group[i] == group[j] and similar(sets[i], sets[j])]
+    new = [(i, j) for i, j in pairs if not across or tile[i] != tile[j]]
+    got = near.linked(pa.array(texts, pa.binary()), node, group, tile, across, None, -1, near.Shape(fuzzy_lines.shingle(5), 21, 6), 0.8, True).to_pylist()
+    assert {r["node"]: r["links"] for r in got if r["other"] is None} == Counter(x for p in new for x in p)
+    want, have = Sets(node.tolist()), Sets(node.tolist())
+    for i, j in pairs:
+        want.join(i, j)
+        if across and tile[i] == tile[j]:
+            have.join(i, j)
+    tree = [(r["node"], r["other"]) for r in got if r["other"] is not None]
+    assert set(tree) <= set(new)
+    for i, j in tree:
+        have.join(i, j)
+    assert [want.top(i) for i in node.tolist()] == [have.top(i) for i in node.tolist()] and 0 < len(tree) < len(new)
